@@ -441,9 +441,18 @@ def cka_per_subject(spark, sf):
             .select("subject", r6("cka").alias("cka")))
 
 
-CKA_SMALL = [("a", 0, "s0", 1, 8), ("b", 0, "s0", 33, 8)]
-CKA_EVERY = cka_sql([0], CKA_SMALL).replace(
-    "(SELECT unnest([0]) AS s) t", "(SELECT unnest(range(n)) AS s FROM nw) t")
+# every rotation: whole series as lists, rotated by slicing the doubled list
+CKA_EVERY = (
+    f"WITH {S.spaces(S.PLAIN)}, ex AS (SELECT side, w, unnest(range(1, len(v) + 1)) AS f, "
+    f"unnest(v) AS x FROM sp), mu AS (SELECT side, f, avg(x) AS m FROM ex GROUP BY ALL), "
+    f"c AS (SELECT ex.side, ex.f, list(x - m ORDER BY w) AS xs FROM ex JOIN mu "
+    f"ON ex.side = mu.side AND ex.f = mu.f GROUP BY ALL), "
+    f"nr AS (SELECT a.side, sqrt(sum(list_dot_product(a.xs, b.xs) ** 2)) AS nr "
+    f"FROM c a JOIN c b ON a.side = b.side GROUP BY 1), "
+    f"cka AS (SELECT s::BIGINT AS shift, sum(list_dot_product(a.xs, "
+    f"list_concat(b.xs, b.xs)[n - s + 1:n - s + n]) ** 2) / (max(x.nr) * max(y.nr) + 1e-20) "
+    f"AS cka FROM c a, c b, nw, (SELECT unnest(range(n)) AS s FROM nw) t, nr x, nr y "
+    f"WHERE a.side = 'a' AND b.side = 'b' AND x.side = 'a' AND y.side = 'b' GROUP BY 1) ")
 
 
 def cka_curve(spark, sf, slots):
@@ -453,7 +462,7 @@ def cka_curve(spark, sf, slots):
 
 @query("cka_all_shifts", CKA_EVERY + f"SELECT shift AS d, {S.r6('cka')} AS score FROM cka")
 def cka_all_shifts(spark, sf):
-    return cka_curve(spark, sf, CKA_SMALL).select("d", r6("score").alias("score"))
+    return cka_curve(spark, sf, B.PLAIN).select("d", r6("score").alias("score"))
 
 
 @query("cka_all_shifts_layer_max")
@@ -462,10 +471,10 @@ def cka_all_shifts_layer_max(spark, sf):
             .select("d", r6("score").alias("score")))
 
 
-@query("cka_calibrated", CKA_EVERY.rstrip().rstrip(",") + ", cv AS (SELECT 0 AS q, shift AS d, "
+@query("cka_calibrated", CKA_EVERY.rstrip() + ", cv AS (SELECT 0 AS q, shift AS d, "
        f"round(cka, 12) AS score FROM cka), {S.cyclic('cv', 'q')} "
        f"SELECT {rsql(CAL_COLS)} FROM cal")
 def cka_calibrated(spark, sf):
-    curve = cka_curve(spark, sf, CKA_SMALL).withColumn("score", F.round("score", 12))
+    curve = cka_curve(spark, sf, B.PLAIN).withColumn("score", F.round("score", 12))
     return rounded(cal.calibrate_cyclic(curve, ["grid"], B.window_count(spark, sf)), [],
                    CAL_COLS)
