@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isochord.operators.knn import _matrix
+from isochord.operators.ordered import attach
 
 HELD_CELLS = 1 << 23
 
@@ -93,7 +94,7 @@ def centred_square_norm(products: DataFrame, keys: list[str], name: str) -> Data
     count = products.filter("f = 0 AND g = 0").select(*keys, F.col("s").alias("n"))
     inner = (products.filter("f > 0 AND g > 0")
              .join(mean_col, [*keys, "f"]).join(mean_row, [*keys, "g"]))
-    inner = inner.join(count, keys) if keys else inner.crossJoin(F.broadcast(count))
+    inner = attach(inner, count, keys)
     c = F.col("s") - F.col("sf") * F.col("sg") / F.col("n")
     return inner.groupBy(*keys).agg(F.sum(c * c).alias(name))
 

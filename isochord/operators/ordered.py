@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def attach(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds per-key totals to every row; without keys ``totals`` is a single row."""
+    return df.join(totals, keys) if keys else df.join(F.broadcast(totals))
+
+
 def value_bounds(df: DataFrame, value: str, n_ranges: int | None = None) -> list[float]:
     """Approximate quantiles as range bounds: at most ``n_ranges`` numbers."""
     n = n_ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isochord.functions.dist import t_pvalue
-from isochord.operators.ordered import average_ranks, running, running_min, value_bounds, \
-    value_counts
+from isochord.functions.vectors import missing_to_null
+from isochord.operators.ordered import (attach, average_ranks, running, running_min,
+                                        value_bounds, value_counts)
 
 
 # -- two-sample contrasts ------------------------------------------------------------
@@ -69,7 +70,7 @@ def gini(df: DataFrame, keys: list[str], value: str,
     run = running(value_counts(df.filter(F.col(value).isNotNull()), keys, value),
                   keys, value, {"cum": "n"}, bounds)
     low = run.groupBy(*keys).agg(F.min(value).alias("low"))
-    run = run.join(low, keys) if keys else run.crossJoin(F.broadcast(low))
+    run = attach(run, low, keys)
     x = F.col(value) - F.when(F.col("low") < 0, F.col("low")).otherwise(F.lit(0.0))
     # a value of rank r enters the cumulative sums of all ranks from r to n
     n, cum, total = F.col("n"), F.col("cum"), F.max("cum_all")
@@ -239,7 +240,7 @@ def zscored(df: DataFrame, keys: list[str], value: str, name: str, eps: float =
     sd = F.stddev_pop(value)
     scale = F.when(sd < flat, 1.0).otherwise(sd) if flat is not None else sd + F.lit(eps)
     stats = df.groupBy(*keys).agg(F.avg(value).alias("__mu"), scale.alias("__sd"))
-    joined = df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))
+    joined = attach(df, stats, keys)
     z = (F.col(value) - F.col("__mu")) / F.col("__sd")
     if limit is not None:
         z = F.greatest(F.least(z, F.lit(float(limit))), F.lit(-float(limit)))
@@ -257,7 +258,6 @@ def iqr_scaled(df: DataFrame, keys: list[str], value: str, name: str,
 
 def mean_imputed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Missing or non-finite values become the column mean, or 0 where there is none."""
-    from isochord.functions.vectors import missing_to_null
     d = df.withColumn(value, missing_to_null(value))
     means = d.groupBy(*keys).agg(F.avg(value).alias("__mean"))
     return (d.join(means, keys)
