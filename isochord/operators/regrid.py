@@ -54,8 +54,16 @@ def to_common(emb: DataFrame, keys: list[str], win_sec: float, n_common: int,
 
 
 def window_of_scan(tr: Column, win_sec: float, shift_sec: float) -> Column:
-    """Window whose shifted span holds the scan's centre time (may be out of range)."""
-    return F.floor(((tr + 0.5) * TR_SEC - shift_sec) / win_sec).cast("bigint")
+    """Window whose shifted span holds the scan's centre time (may be out of range).
+
+    The division gives the candidate; comparing with its two edges settles centres that
+    fall on an edge the same way as the half-open interval does.
+    """
+    centre = (tr + 0.5) * TR_SEC
+    w = F.floor((centre - shift_sec) / win_sec)
+    early = centre < w * win_sec + F.lit(float(shift_sec))
+    late = centre >= (w + 1) * win_sec + F.lit(float(shift_sec))
+    return (w - F.when(early, 1).otherwise(0) + F.when(late, 1).otherwise(0)).cast("bigint")
 
 
 def window_pool(scans: DataFrame, keys: list[str], win_sec: float, shift_sec: float,
@@ -115,9 +123,9 @@ def sampled_positions(n_frames: Column, n: int) -> Column:
     """n positions spread evenly over 0..n_frames-1, truncated; a single one is 0."""
     if n == 1:
         return F.array(F.lit(0).cast("bigint"))
-    steps = F.sequence(F.lit(0), F.lit(n - 1))
-    return F.transform(steps, lambda i: (i * ((n_frames - 1) / F.lit(float(n - 1))))
-                       .cast("bigint"))
+    step = (n_frames - 1) / F.lit(float(n - 1))
+    inner = F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda i: (i * step).cast("bigint"))
+    return F.concat(inner, F.array((n_frames - 1).cast("bigint")))
 
 
 def scan_inventory(ids: DataFrame, keys: list[str], expected: int) -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isochord.functions.vectors import modulo
-from isochord.operators.overlap import layer_pairs
+from isochord.operators.knn import knn_edges
+from isochord.operators.overlap import layer_pairs, shared_edges
 
 SEGMENT = 16384
 UNROLL_LIMIT = 65536
@@ -93,3 +94,31 @@ def shift_curve(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str]
 def max_over_layers(curve: DataFrame, keys: list[str]) -> DataFrame:
     """The layer pair is chosen anew at every rotation."""
     return curve.groupBy(*keys, "d").agg(F.max("score").alias("score"))
+
+
+def truncated(emb: DataFrame, n_windows: int, shifts: list[int], leading: bool) -> DataFrame:
+    """The overlapping part of one side under each shift, renumbered from 0.
+
+    At shift d window i of the leading side meets window i - d of the other.
+    """
+    d = F.col("shift")
+    lo = F.greatest(d, F.lit(0)) if leading else F.greatest(-d, F.lit(0))
+    hi = n_windows - (F.greatest(-d, F.lit(0)) if leading else F.greatest(d, F.lit(0)))
+    return (emb.withColumn("shift", F.explode(F.array(*[F.lit(int(s)) for s in shifts])))
+            .filter((F.col("w") >= lo) & (F.col("w") < hi))
+            .withColumn("w", (F.col("w") - lo).cast("bigint")))
+
+
+def truncating_scores(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str],
+                      on: list[str], n_windows: int, k: int, shifts: list[int]) -> DataFrame:
+    """Layer-maximised overlap with both sides cut to the overlap and searched anew."""
+    ea = knn_edges(truncated(a, n_windows, shifts, True), [*on, *a_keys, "shift"], k)
+    eb = knn_edges(truncated(b, n_windows, shifts, False), [*on, *b_keys, "shift"], k)
+    hits = (shared_edges(ea, eb, [*on, "shift"]).groupBy(*on, *a_keys, *b_keys, "shift")
+            .agg(F.count(F.lit(1)).alias("hits")))
+    left = F.lit(float(n_windows)) - F.abs("shift")
+    best = hits.groupBy(*on, "shift").agg(F.max(F.col("hits") / (left * k)).alias("score"))
+    every = a.select(*on).distinct().withColumn(
+        "shift", F.explode(F.array(*[F.lit(int(s)) for s in shifts])))
+    return every.join(best, [*on, "shift"], "left").select(
+        *on, "shift", F.coalesce("score", F.lit(0.0)).alias("score"))

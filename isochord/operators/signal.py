@@ -260,6 +260,7 @@ def _lempel_ziv(bits: bytes) -> float:
             size += 1
         words += 1
         start += size
+    words += start == n  # a last word that ends with the string counts once more
     return words * np.log(n) / n if n > 1 else 0.0
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isochord.plans import alignment  # noqa: F401
+from isochord.plans import alignment, nulls  # noqa: F401
 from isochord.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
