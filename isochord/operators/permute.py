@@ -59,19 +59,21 @@ def block_permutation_table(spark: SparkSession, n: int, block_len: int, n_draws
 
 
 def permuted_scores(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str],
-                    on: list[str], perms: DataFrame, n_windows: int, k: int,
+                    on: list[str], perms: DataFrame, n_draws: int, n_windows: int, k: int,
                     pairs: DataFrame) -> DataFrame:
-    """mKNN of a with b under every draw, per pair of spaces; draw NULL is the observed one."""
+    """mKNN of a with b under every draw, per pair of spaces; draw -1 is the observed one."""
+    spark = perms.sparkSession
+    stay = spark.range(n_windows).select(F.lit(-1).cast("bigint").alias("draw"),
+                                         F.col("id").alias("old"), F.col("id").alias("new"))
+    perms = perms.unionByName(stay)
     head = perms.select("draw", F.col("old").alias("i"), F.col("new").alias("ni"))
     tail = perms.select("draw", F.col("old").alias("j"), F.col("new").alias("nj"))
     moved = (b.select(*on, *b_keys, "i", "j").join(head, "i").join(tail, ["draw", "j"])
              .select(*on, *b_keys, "draw", F.col("ni").alias("i"), F.col("nj").alias("j")))
-    still = b.select(*on, *b_keys, F.lit(-1).cast("bigint").alias("draw"), "i", "j")
-    hits = (shared_edges(a.select(*on, *a_keys, "i", "j"), moved.unionByName(still), on)
+    hits = (shared_edges(a.select(*on, *a_keys, "i", "j"), moved, on)
             .groupBy(*on, *a_keys, *b_keys, "draw").agg(F.count(F.lit(1)).alias("hits")))
-    draws = perms.select("draw").distinct().union(
-        perms.sparkSession.range(-1, 0).withColumnRenamed("id", "draw"))
-    wanted = pairs.select(*on, *a_keys, *b_keys).join(F.broadcast(draws))
+    every = F.sequence(F.lit(-1).cast("bigint"), F.lit(n_draws - 1).cast("bigint"))
+    wanted = pairs.select(*on, *a_keys, *b_keys, F.explode(every).alias("draw"))
     keys = [*on, *a_keys, *b_keys, "draw"]
     return wanted.join(hits, keys, "left").select(
         *keys, (F.coalesce("hits", F.lit(0)) / F.lit(float(n_windows * k))).alias("score"))

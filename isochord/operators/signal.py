@@ -232,8 +232,12 @@ def permutation_entropy(windows: DataFrame) -> DataFrame:
         + F.when(F.get(a, i) > F.get(a, i + 1), 4).otherwise(0)))
     rest = [c for c in windows.columns if c != "samples"]
     d = windows.select(*rest, pattern.alias("__c"))
-    counts = [F.size(F.filter("__c", lambda c, v=v: c == v)) / F.size("__c") for v in range(8)]
-    plogp = [F.when(p > 0, -p * F.log(p)).otherwise(0.0) for p in counts]
+
+    def part(code):
+        p = F.size(F.filter("__c", lambda c: c == code)) / F.size("__c")
+        return F.when(p > 0, -p * F.log(p)).otherwise(0.0)
+
+    plogp = [part(code) for code in range(8)]
     return d.select(*rest, (sum(plogp[1:], plogp[0]) / F.log(F.lit(6.0))).alias("perm_entropy"))
 
 

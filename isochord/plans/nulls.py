@@ -48,7 +48,7 @@ def permuted(spark, sf, slots, perms):
     n = B.window_count(spark, sf)
     scores = permute.permuted_scores(
         edges(spark, sf, "a", slots), edges(spark, sf, "b", slots), ["la"], ["lb"],
-        ["grid", "subject"], perms, n, K, B.slot_pairs(spark, slots, with_subject=True))
+        ["grid", "subject"], perms, DRAWS, n, K, B.slot_pairs(spark, slots, with_subject=True))
     best = scores.groupBy("subject", "draw").agg(F.max("score").alias("score"))
     return cal.calibrate_linear(best, ["subject"], F.col("draw") < 0, F.col("draw") >= 0, ALPHA)
 
