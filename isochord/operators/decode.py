@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isochord.functions.vectors import l2, missing_to_null
-from isochord.operators.moments import moment_matrix
+from isochord.operators.moments import augmented, moment_matrix
 
 # Penalties and fold count.
 ALPHAS = np.logspace(-1, 4, 10)
@@ -99,10 +99,8 @@ def ridge_r2(emb: DataFrame, features: DataFrame, keys: list[str], feature_keys:
 
     def solve(pdf):
         dim = int(pdf["dim"].iloc[0])
-        mats = []
-        for cells in pdf.sort_values("fold")["m"]:
-            side = int(round(len(cells) ** 0.5))
-            mats.append(np.asarray(cells, dtype=np.float64).reshape(side, side))
+        mats = [augmented(row.n, row.total, row.products)
+                for row in pdf.sort_values("fold").itertuples(index=False)]
         r2 = ridge_from_moments(mats, dim)
         out = {c: [pdf[c].iloc[0]] * len(names) for c in keys}
         return pd.DataFrame({**out, "feature": names,

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isochord.operators.knn import knn_edges
-from isochord.operators.moments import centred_square_norm, cross_products, moment_matrix
-from isochord.operators.ordered import attach, running, value_counts
+from isochord.operators.moments import augmented, centred, cross_products, moment_matrix
+from isochord.operators.ordered import running, value_counts
 
 # range bounds for ratios of neighbour distances, which crowd just above one
 RATIO_BOUNDS = [1.001, 1.002, 1.005, 1.01, 1.015, 1.02, 1.03, 1.04, 1.05, 1.07, 1.1, 1.15,
@@ -19,16 +19,10 @@ RATIO_BOUNDS = [1.001, 1.002, 1.005, 1.01, 1.015, 1.02, 1.03, 1.04, 1.05, 1.07,
 
 def participation_ratio(emb: DataFrame, keys: list[str]) -> DataFrame:
     """(sum of eigenvalues)^2 / sum of squares, from trace and Frobenius norm alone."""
-    products = cross_products(emb, keys, "vec", "vec")
-    means = products.filter("f = 0 AND g > 0").select(*keys, F.col("g").alias("f"),
-                                                     F.col("s").alias("sf"))
-    count = products.filter("f = 0 AND g = 0").select(*keys, F.col("s").alias("n"))
-    trace = (attach(products.filter("f = g AND f > 0").join(means, [*keys, "f"]), count, keys)
-             .groupBy(*keys)
-             .agg(F.sum(F.col("s") - F.col("sf") * F.col("sf") / F.col("n")).alias("trace")))
-    both = attach(centred_square_norm(products, keys, "sq"), trace, keys)
-    return both.select(*keys, (F.col("trace") * F.col("trace")
-                               / (F.col("sq") + F.lit(1e-12))).alias("participation_ratio"))
+    c = centred()
+    trace = F.sum(F.when(F.col("f") == F.col("g"), c))
+    return cross_products(emb, keys, "vec", "vec").groupBy(*keys).agg(
+        (trace * trace / (F.sum(c * c) + F.lit(1e-12))).alias("participation_ratio"))
 
 
 def spectrum_stats(emb: DataFrame, keys: list[str], n_top: int = 64) -> DataFrame:
@@ -45,11 +39,9 @@ def spectrum_stats(emb: DataFrame, keys: list[str], n_top: int = 64) -> DataFram
     def decompose(batches):
         for pdf in batches:
             rows = []
-            for cells in pdf["m"]:
-                side = int(round(len(cells) ** 0.5))
-                full = np.asarray(cells).reshape(side, side)
-                n, total = full[0, 0], full[0, 1:]
-                cov = full[1:, 1:] - np.outer(total, total) / n
+            for row in pdf.itertuples(index=False):
+                full = augmented(row.n, row.total, row.products)
+                cov = full[1:, 1:] - np.outer(full[0, 1:], full[0, 1:]) / row.n
                 ev = np.sort(np.linalg.eigvalsh(cov).clip(min=0))[::-1]
                 s = ev.sum()
                 share = ev / s if s > 0 else ev

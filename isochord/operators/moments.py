@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isochord.operators.knn import _matrix
-from isochord.operators.ordered import attach
 
 HELD_CELLS = 1 << 23
 
@@ -34,27 +33,31 @@ def _group_codes(batch: pa.RecordBatch, keys: list[str]):
 
 
 def cross_products(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """Per key: (f, g, s) with s = sum over rows of [1, left]_f * [1, right]_g.
+    """Per key and cell (f, g): s = sum of left_f * right_g, sx and sy = the two sums, n rows.
 
-    Index 0 is the constant, so s(0,0) counts rows, s(f,0) and s(0,g) are the sums.
+    Every cell carries what centring it needs, so nothing has to be joined back.
     """
     keys = list(keys)
-    schema = T.StructType([df.schema[c] for c in keys]
-                          + [T.StructField("f", T.IntegerType()),
-                             T.StructField("row", T.ArrayType(T.DoubleType()))])
+    doubles = T.ArrayType(T.DoubleType())
+    schema = T.StructType([df.schema[c] for c in keys] + [
+        T.StructField("f", T.IntegerType()), T.StructField("n", T.DoubleType()),
+        T.StructField("sx", T.DoubleType()), T.StructField("s", doubles),
+        T.StructField("sy", doubles)])
+    arrow_types = {}
+
+    def lists(m):
+        offsets = np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(m).ravel()))
 
     def flush(held):
         for key, m in held.items():
-            n, width = m.shape
-            cols = [pa.array([v] * n, type=arrow_types[c]) for v, c in zip(key, keys)]
-            flat = pa.array(m.ravel())
-            offsets = pa.array(np.arange(0, n * width + 1, width, dtype=np.int32))
+            rows = m.shape[0] - 1
+            cols = [pa.array([v] * rows, type=arrow_types[c]) for v, c in zip(key, keys)]
             yield pa.RecordBatch.from_arrays(
-                cols + [pa.array(np.arange(n, dtype=np.int32)),
-                        pa.ListArray.from_arrays(offsets, flat)],
-                names=keys + ["f", "row"])
-
-    arrow_types = {}
+                cols + [pa.array(np.arange(1, rows + 1, dtype=np.int32)),
+                        pa.array(np.full(rows, m[0, 0])), pa.array(m[1:, 0]),
+                        lists(m[1:, 1:]), lists(np.tile(m[0, 1:], (rows, 1)))],
+                names=keys + ["f", "n", "sx", "s", "sy"])
 
     def fold(batches):
         held, cells = {}, 0
@@ -83,28 +86,42 @@ def cross_products(df: DataFrame, keys: list[str], left: str, right: str) -> Dat
 
     partial = (df.select(*keys, F.col(left).alias("__left"), F.col(right).alias("__right"))
                .mapInArrow(fold, schema))
-    return (partial.select(*keys, "f", F.posexplode("row").alias("g", "v"))
-            .groupBy(*keys, "f", "g").agg(F.sum("v").alias("s")))
+    return (partial.select(*keys, "f", "n", "sx", F.posexplode(F.arrays_zip("s", "sy"))
+                           .alias("g", "cell"))
+            .groupBy(*keys, "f", (F.col("g") + 1).alias("g"))
+            .agg(F.sum("cell.s").alias("s"), F.sum("sx").alias("sx"),
+                 F.sum("cell.sy").alias("sy"), F.sum("n").alias("n")))
+
+
+def centred() -> Column:
+    """One cell of the centred cross-product matrix."""
+    return F.col("s") - F.col("sx") * F.col("sy") / F.col("n")
 
 
 def centred_square_norm(products: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Squared Frobenius norm of the centred cross-product matrix, per key."""
-    mean_row = products.filter("f = 0 AND g > 0").select(*keys, "g", F.col("s").alias("sg"))
-    mean_col = products.filter("g = 0 AND f > 0").select(*keys, "f", F.col("s").alias("sf"))
-    count = products.filter("f = 0 AND g = 0").select(*keys, F.col("s").alias("n"))
-    inner = (products.filter("f > 0 AND g > 0")
-             .join(mean_col, [*keys, "f"]).join(mean_row, [*keys, "g"]))
-    inner = attach(inner, count, keys)
-    c = F.col("s") - F.col("sf") * F.col("sg") / F.col("n")
-    return inner.groupBy(*keys).agg(F.sum(c * c).alias(name))
+    return products.groupBy(*keys).agg(F.sum(centred() * centred()).alias(name))
 
 
 def moment_matrix(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
-    """One row per key with the full symmetric matrix, for solves in D x D space.
+    """One row per key: n, the sums and the D x D cross-products, for solves in that space.
 
-    The array holds (1 + D)^2 numbers in row order: bounded by the number of columns.
+    The arrays hold D and D^2 numbers in row order: bounded by the number of columns.
     """
     cells = cross_products(df, keys, vec, vec)
-    packed = F.array_sort(F.collect_list(F.struct("f", "g", "s")))
-    return (cells.groupBy(*keys).agg(packed.alias("cells"))
-            .select(*keys, F.transform("cells", lambda c: c["s"]).alias("m")))
+    held = F.array_sort(F.collect_list(F.struct("f", "g", "s", "sx")))
+    return (cells.groupBy(*keys).agg(F.max("n").alias("n"), held.alias("cells"))
+            .select(*keys, "n",
+                    F.transform(F.filter("cells", lambda c: c["g"] == 1), lambda c: c["sx"])
+                    .alias("total"),
+                    F.transform("cells", lambda c: c["s"]).alias("products")))
+
+
+def augmented(n: float, total, products) -> np.ndarray:
+    """The matrix of [1, x]^T [1, x] from one row of :func:`moment_matrix`."""
+    total = np.asarray(total, dtype=np.float64)
+    d = len(total)
+    m = np.empty((d + 1, d + 1))
+    m[0, 0], m[0, 1:], m[1:, 0] = n, total, total
+    m[1:, 1:] = np.asarray(products, dtype=np.float64).reshape(d, d)
+    return m

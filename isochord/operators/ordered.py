@@ -17,12 +17,18 @@ def attach(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(totals, keys) if keys else df.join(F.broadcast(totals))
 
 
-def value_bounds(df: DataFrame, value: str, n_ranges: int | None = None) -> list[float]:
-    """Approximate quantiles as range bounds: at most ``n_ranges`` numbers."""
-    n = n_ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    probs = [i / n for i in range(1, n)]
-    found = df.stat.approxQuantile(value, probs, 0.01)
-    return sorted(set(found))
+def values_bounds(df: DataFrame, values: list[str]) -> list[list[float]]:
+    """Approximate quantiles of several columns in one pass, as range bounds.
+
+    As many ranges as shuffle partitions; this small list is all the driver sees.
+    """
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = df.stat.approxQuantile(values, [i / n for i in range(1, n)], 0.01)
+    return [sorted(set(f)) for f in found]
+
+
+def value_bounds(df: DataFrame, value: str) -> list[float]:
+    return values_bounds(df, [value])[0]
 
 
 def range_of(value: Column, bounds: list[float]) -> Column:

@@ -36,12 +36,17 @@ def packed(edges: DataFrame, keys: list[str], n_windows: int, name: str,
 
 
 def shift_counts(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str],
-                 on: list[str], n_windows: int, segment: int = SEGMENT,
-                 unroll_limit: int = UNROLL_LIMIT) -> DataFrame:
-    """Number of coinciding edges per pair of spaces and rotation, zeros left out."""
+                 on: list[str], n_windows: int, pairs: DataFrame | None = None,
+                 segment: int = SEGMENT, unroll_limit: int = UNROLL_LIMIT) -> DataFrame:
+    """Number of coinciding edges per pair of spaces and rotation, zeros left out.
+
+    Pairs not listed in ``pairs`` are dropped while positions are still packed.
+    """
     keys = [*on, *a_keys, *b_keys]
     met = (packed(a, [*on, *a_keys], n_windows, "a", segment)
            .join(packed(b, [*on, *b_keys], n_windows, "b", segment), [*on, "u"]))
+    if pairs is not None:
+        met = met.join(pairs.select(*keys), keys)
     crowd = F.size("pos_a").cast("bigint") * F.size("pos_b").cast("bigint")
 
     few = (met.filter(crowd <= unroll_limit)
@@ -85,7 +90,7 @@ def shift_curve(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str]
     pairs = layer_pairs(a, b, a_keys, b_keys, on) if pairs is None else pairs
     grid = pairs.select(*keys, F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.lit(n_windows - 1).cast("bigint"))).alias("d"))
-    counts = shift_counts(a, b, a_keys, b_keys, on, n_windows, **kw)
+    counts = shift_counts(a, b, a_keys, b_keys, on, n_windows, pairs, **kw)
     return (grid.join(counts, [*keys, "d"], "left")
             .select(*keys, "d", (F.coalesce("hits", F.lit(0))
                                  / F.lit(float(n_windows * k))).alias("score")))

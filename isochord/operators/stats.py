@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from isochord.functions.dist import t_pvalue
 from isochord.functions.vectors import missing_to_null
 from isochord.operators.ordered import (attach, average_ranks, running, running_min,
-                                        value_bounds, value_counts)
+                                        value_bounds, value_counts, values_bounds)
 
 
 # -- two-sample contrasts ------------------------------------------------------------
@@ -124,6 +124,8 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str,
              bounds_y: list[float] | None = None) -> DataFrame:
     """Average-rank correlation with its two-sided Student-t p-value."""
     d = df.select(*keys, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if bounds_x is None or bounds_y is None:
+        bounds_x, bounds_y = values_bounds(d, [x, y])
     rx = average_ranks(d, keys, x, "rx", bounds_x).drop("n")
     ry = average_ranks(d, keys, y, "ry", bounds_y).drop("n")
     both = d.groupBy(*keys, x, y).agg(F.count(F.lit(1)).cast("double").alias("m"))

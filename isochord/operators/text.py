@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isochord.operators.ordered import attach
+from isochord.session import inline, spread
 
 # Keyword lists per attribute.
 LEXICONS = {
@@ -57,14 +58,14 @@ ACTION_LABELS = [
 
 def occurrences(text: Column, word: str) -> Column:
     """Non-overlapping occurrences of a literal."""
-    gone = F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))
-    return (gone / F.lit(len(word))).cast("bigint")
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))
+    return (gone / F.lit(len(word.encode()))).cast("bigint")
 
 
 def caption_hits(captions: DataFrame, text: str = "text") -> DataFrame:
     """Keyword hits per attribute, one column each."""
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
-    d = captions.withColumn("__t", padded)
+    d = spread(captions).withColumn("__t", padded)
     hits = {name: sum((occurrences(F.col("__t"), w) for w in words[1:]),
                       occurrences(F.col("__t"), words[0])) for name, words in LEXICONS.items()}
     return d.select(*[c for c in captions.columns if c != text],
@@ -73,7 +74,8 @@ def caption_hits(captions: DataFrame, text: str = "text") -> DataFrame:
 
 def caption_attributes(captions: DataFrame, text: str = "text") -> DataFrame:
     """Keyword hits standardised per attribute over all captions."""
-    hits = caption_hits(captions, text)
+    # one exchange of the small counts serves both the moments and the rows
+    hits = caption_hits(captions, text).repartition(*[c for c in captions.columns if c != text])
     stats = hits.agg(*[F.avg(n).alias(f"__m_{n}") for n in LEXICONS],
                      *[F.stddev_pop(n).alias(f"__s_{n}") for n in LEXICONS])
     rest = [c for c in hits.columns if c not in LEXICONS]
@@ -83,11 +85,15 @@ def caption_attributes(captions: DataFrame, text: str = "text") -> DataFrame:
 
 
 def term_counts(docs: DataFrame, doc: str, text: str, stop_words: list[str]) -> DataFrame:
-    """(doc, term, tf): words of two or more letters or digits, lower-cased."""
+    """(doc, term, tf): words of two or more letters or digits, lower-cased.
+
+    Texts are placed by document first: a text is smaller than its exploded words, and
+    both the counts here and any later sum over a document then need no other shuffle.
+    """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))),
                                  F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    return (docs.select(doc, F.explode(words).alias("term"))
-            .filter(~F.col("term").isin(stop_words))
+    return (docs.select(doc, text).repartition(doc).select(doc, F.explode(words).alias("term"))
+            .filter(F.col("term").isNotNull() & ~F.col("term").isin(stop_words))
             .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -119,7 +125,7 @@ def mined_labels(captions: DataFrame, order: str, text: str = "text",
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))),
                                  F.lit("[a-z]{4,}"), F.lit(0))
     known = MINING_STOP_WORDS + OBJECT_LABELS + SCENE_LABELS + ACTION_LABELS
-    return (captions.select(order, F.posexplode(words).alias("pos", "word"))
+    return (spread(captions.select(order, text)).select(order, F.posexplode(words).alias("pos", "word"))
             .filter(~F.col("word").isin(known))
             .groupBy("word").agg(F.count(F.lit(1)).alias("n"),
                                  F.min(F.struct(order, "pos")).alias("first"))
@@ -131,8 +137,7 @@ def label_bank(captions: DataFrame, order: str, text: str = "text",
     """All labels with their kind: fixed objects, scenes, actions, then mined words."""
     fixed = ([(w, "object") for w in OBJECT_LABELS] + [(w, "scene") for w in SCENE_LABELS]
              + [(w, "action") for w in ACTION_LABELS])
-    spark = captions.sparkSession
-    return spark.createDataFrame(fixed, "label string, kind string").unionByName(
+    return inline(captions.sparkSession, fixed, ["label", "kind"]).unionByName(
         mined_labels(captions, order, text, n_mined)
         .select(F.col("word").alias("label"), F.lit("mined").alias("kind")))
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from isochord.session import inline
 
 K = 5
 ALPHA = 0.05
@@ -25,8 +28,15 @@ MODELS = [("m0", "f0", 0, 1, 8), ("m1", "f0", 1, 9, 8), ("m2", "f0", 2, 17, 8),
           ("m6", "f2", 0, 49, 8), ("m7", "f2", 1, 57, 8)]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; its schema is looked up in the files once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,23 +72,21 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, f, r) for m, f, r, _, _ in MODELS],
-                                 "model string, family string, size_rank int")
+    return inline(spark, [(m, f, r) for m, f, r, _, _ in MODELS],
+                  ["model", "family", "size_rank"])
 
 
 def model_pairs(spark: SparkSession) -> DataFrame:
     """Unordered pairs of models, families attached."""
-    dim = model_dim(spark)
-    a = dim.select(F.lit("base").alias("grid"), F.col("model").alias("model_a"),
-                   F.col("family").alias("family_a"), F.col("size_rank").alias("rank_a"))
-    b = dim.select(F.lit("base").alias("grid"), F.col("model").alias("model_b"),
-                   F.col("family").alias("family_b"), F.col("size_rank").alias("rank_b"))
-    return a.join(b, "grid").filter("model_a < model_b")
+    rows = [("base", a[0], b[0], a[1], b[1], a[2], b[2])
+            for a in MODELS for b in MODELS if a[0] < b[0]]
+    return inline(spark, rows, ["grid", "model_a", "model_b", "family_a", "family_b",
+                                "rank_a", "rank_b"])
 
 
 def slot_pairs(spark: SparkSession, slots, with_subject: bool = False) -> DataFrame:
     """Layer pairs (within a subject where asked) as a small table."""
-    rows = {("base", sa[2], sa[1], sb[1]) for sa in slots for sb in slots
-            if sa[0] == "a" and sb[0] == "b" and sa[2] == sb[2]}
-    df = spark.createDataFrame(sorted(rows), "grid string, subject string, la int, lb int")
+    rows = sorted({("base", sa[2], sa[1], sb[1]) for sa in slots for sb in slots
+                   if sa[0] == "a" and sb[0] == "b" and sa[2] == sb[2]})
+    df = inline(spark, rows, ["grid", "subject", "la", "lb"])
     return df if with_subject else df.drop("subject")

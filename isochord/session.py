@@ -56,3 +56,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, if the input comes in fewer splits than there are cores.
+
+    Only a small input can: a large one has more splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def inline(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A small fixed table as a local relation, without a Python worker."""
+    def cell(v):
+        return "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else repr(v)
+    body = ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
