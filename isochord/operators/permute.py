@@ -13,6 +13,8 @@ from isochord.operators.overlap import shared_edges
 from isochord.operators.regrid import vector_sum
 
 PRIME = 2147483647
+# statistics compared with their null are rounded, so that equal ones count as equal
+TIE_DIGITS = 9
 
 
 def draw_index(r: Column, m: Column, n: int, stream: int = 0) -> Column:
@@ -113,12 +115,14 @@ def neighbour_enrichment(edges: DataFrame, features: DataFrame, names: list[str]
     pop = population.groupBy("feature").agg(
         F.avg("v").alias("pop_mean"), F.stddev_pop("v").alias("sd"), F.var_pop("v").alias("var"))
     near = edges.select(F.col("j").alias("w")).join(population, "w").groupBy("feature").agg(
-        F.count("v").alias("n_neighbours"), F.avg("v").alias("obs_mean"),
-        F.var_pop("v").alias("obs_var"))
+        F.count("v").alias("n_neighbours"),
+        F.round(F.avg("v"), TIE_DIGITS).alias("obs_mean"),
+        F.round(F.var_pop("v"), TIE_DIGITS).alias("obs_var"))
     total = edges.agg(F.count(F.lit(1)).alias("size")).withColumn("first", F.lit(0).cast("bigint"))
     null = (drawn_samples(population, [], total, n, n_draws)
-            .groupBy("feature", "draw").agg(F.avg("v").alias("null_mean"),
-                                            F.var_pop("v").alias("null_var")))
+            .groupBy("feature", "draw")
+            .agg(F.round(F.avg("v"), TIE_DIGITS).alias("null_mean"),
+                 F.round(F.var_pop("v"), TIE_DIGITS).alias("null_var")))
     joined = null.join(near, "feature")
     p = joined.groupBy("feature").agg(two_sided("null_mean", "obs_mean").alias("p_mean"),
                                       two_sided("null_var", "obs_var").alias("p_var"))
@@ -148,7 +152,7 @@ def varratio(edges: DataFrame, features: DataFrame, names: list[str], n: int, n_
         per = members.groupBy(*extra, "feature", "i").agg(F.var_samp("v").alias("var"))
         return (per.join(F.broadcast(overall), "feature")
                 .groupBy(*extra, "feature")
-                .agg(F.median(F.col("var") / F.col("gv")).alias(name),
+                .agg(F.round(F.median(F.col("var") / F.col("gv")), TIE_DIGITS).alias(name),
                      F.count(F.lit(1)).alias("n_used")))
 
     near = (edges.join(sets.select("i"), "i").select("i", F.col("j").alias("w"))
@@ -185,11 +189,13 @@ def trace_cov_ratio(edges: DataFrame, emb: DataFrame, n: int, n_draws: int,
     near = (edges.join(sets.select("i"), "i").select("i", F.col("j").alias("w"))
             .join(vectors, "w"))
     obs = (trace_cov(near, ["i"]).join(F.broadcast(overall))
-           .agg(F.median(F.col("trace") / F.col("gtv")).alias("median_ratio"),
+           .agg(F.round(F.median(F.col("trace") / F.col("gtv")), TIE_DIGITS)
+                .alias("median_ratio"),
                 F.count(F.lit(1)).alias("n_used")))
     null = (trace_cov(drawn_samples(vectors, ["i"], sets, n, n_draws), ["draw", "i"])
             .join(F.broadcast(overall)).groupBy("draw")
-            .agg(F.median(F.col("trace") / F.col("gtv")).alias("null_ratio")))
+            .agg(F.round(F.median(F.col("trace") / F.col("gtv")), TIE_DIGITS)
+                 .alias("null_ratio")))
     below = F.sum(F.when(F.col("null_ratio") <= F.col("median_ratio"), 1).otherwise(0))
     return null.join(F.broadcast(obs)).groupBy("median_ratio", "n_used").agg(
         ((below + 1) / F.lit(n_draws + 1.0)).alias("p"))

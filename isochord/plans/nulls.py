@@ -230,9 +230,9 @@ def window_feature_table(spark, sf):
        f"pp AS (SELECT draw, unnest(range(c)) AS m FROM pl), "
        f"{draw_sql('draw', 'm', 'dr', 'pp', 'draw')}, "
        f"po AS (SELECT feature, avg(x) AS pm, stddev_pop(x) AS psd, var_pop(x) AS pv FROM ft "
-       f"GROUP BY 1), ne AS (SELECT feature, count(*)::BIGINT AS c, avg(x) AS om, "
-       f"var_pop(x) AS ov FROM ed JOIN ft ON ed.j = ft.w GROUP BY 1), "
-       f"nu AS (SELECT feature, draw, avg(x) AS nm, var_pop(x) AS nv FROM dr JOIN ft "
+       f"GROUP BY 1), ne AS (SELECT feature, count(*)::BIGINT AS c, round(avg(x), 9) AS om, "
+       f"round(var_pop(x), 9) AS ov FROM ed JOIN ft ON ed.j = ft.w GROUP BY 1), "
+       f"nu AS (SELECT feature, draw, round(avg(x), 9) AS nm, round(var_pop(x), 9) AS nv FROM dr JOIN ft "
        f"ON idx = ft.w GROUP BY 1, 2), pq AS (SELECT feature, "
        f"least(1.0, 2 * least(avg((nm >= om)::INT), avg((nm <= om)::INT))) AS p_mean, "
        f"least(1.0, 2 * least(avg((nv >= ov)::INT), avg((nv <= ov)::INT))) AS p_var "
@@ -252,13 +252,13 @@ def neighbour_enrichment(spark, sf):
        f"ed AS (SELECT i, j FROM nn WHERE side = 'b'), "
        f"us AS (SELECT i, count(*) AS c FROM ed GROUP BY 1 HAVING count(*) >= 2), "
        f"gv AS (SELECT feature, var_samp(x) + 1e-12 AS g FROM ft GROUP BY 1), "
-       f"ob AS (SELECT feature, median(r) AS med, count(*)::BIGINT AS n_used FROM (SELECT "
+       f"ob AS (SELECT feature, round(median(r), 9) AS med, count(*)::BIGINT AS n_used FROM (SELECT "
        f"ft.feature, ed.i, var_samp(x) / max(g) AS r FROM ed JOIN us USING (i) JOIN ft "
        f"ON ed.j = ft.w JOIN gv USING (feature) GROUP BY 1, 2) GROUP BY 1), "
        f"pl AS (SELECT i, c, unnest(range({R_VAR})) AS draw FROM us), "
        f"pp AS (SELECT i, draw, i * 1000003 + unnest(range(c)) AS m FROM pl), "
        f"{draw_sql('draw', 'm', 'dr', 'pp', 'i, draw')}, "
-       f"nu AS (SELECT feature, draw, median(r) AS nmed FROM (SELECT ft.feature, draw, i, "
+       f"nu AS (SELECT feature, draw, round(median(r), 9) AS nmed FROM (SELECT ft.feature, draw, i, "
        f"var_samp(x) / max(g) AS r FROM dr JOIN ft ON idx = ft.w JOIN gv USING (feature) "
        f"GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT feature, n_used, {S.r6('max(med)')} "
        f"AS median_ratio, {S.r6(f'(1 + count(*) FILTER (nmed <= med)) / ({R_VAR} + 1)')} AS p "
@@ -276,13 +276,13 @@ def varratio_test(spark, sf):
        f"xe AS (SELECT w, unnest(range(1, len(v) + 1)) AS f, unnest(v) AS x FROM sp "
        f"WHERE side = 'a'), "
        f"gt AS (SELECT sum(v) + 1e-12 AS g FROM (SELECT var_samp(x) AS v FROM xe GROUP BY f)), "
-       f"ob AS (SELECT median(t / g) AS med, count(*)::BIGINT AS n_used FROM (SELECT i, sum(v) "
+       f"ob AS (SELECT round(median(t / g), 9) AS med, count(*)::BIGINT AS n_used FROM (SELECT i, sum(v) "
        f"AS t FROM (SELECT i, f, var_samp(x) AS v FROM ed JOIN us USING (i) JOIN xe "
        f"ON ed.j = xe.w GROUP BY 1, 2) GROUP BY 1), gt), "
        f"pl AS (SELECT i, c, unnest(range({R_TRACE})) AS draw FROM us), "
        f"pp AS (SELECT i, draw, i * 1000003 + unnest(range(c)) AS m FROM pl), "
        f"{draw_sql('draw', 'm', 'dr', 'pp', 'i, draw')}, "
-       f"nu AS (SELECT draw, median(t / g) AS nmed FROM (SELECT draw, i, sum(v) AS t FROM "
+       f"nu AS (SELECT draw, round(median(t / g), 9) AS nmed FROM (SELECT draw, i, sum(v) AS t FROM "
        f"(SELECT draw, i, f, var_samp(x) AS v FROM dr JOIN xe ON idx = xe.w GROUP BY 1, 2, 3) "
        f"GROUP BY 1, 2), gt GROUP BY 1) SELECT {S.r6('max(med)')} AS median_ratio, n_used, "
        f"{S.r6(f'(1 + count(*) FILTER (nmed <= med)) / ({R_TRACE} + 1)')} AS p "
