@@ -18,9 +18,14 @@ from pyspark.sql import types as T
 
 from isochord.functions.vectors import modulo
 from isochord.operators.knn import _matrix
-from isochord.operators.moments import centred_square_norm, cross_products
+from isochord.operators.moments import (augmented, centred_square_norm, cross_products,
+                                        moment_matrix)
 
-FEATURE_BLOCK = 16
+
+
+def feature_block_for(n_windows: int) -> int:
+    """Features kept together: about two million numbers, so long series travel singly."""
+    return max(1, min(16, (1 << 21) // n_windows))
 
 
 def self_norm(emb: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -45,7 +50,7 @@ def cka_at_shifts(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[st
 
 
 def spectra(emb: DataFrame, keys: list[str], n_windows: int,
-            feature_block: int = FEATURE_BLOCK) -> DataFrame:
+            feature_block: int) -> DataFrame:
     """Transformed, centred feature series: one row per (keys, feature block)."""
     blocks = F.sequence(F.lit(0), F.floor((F.size("vec") - 1) / feature_block).cast("int"))
     cut = (emb.select(*keys, "w", "vec", F.explode(blocks).alias("fb"))
@@ -73,8 +78,9 @@ def spectra(emb: DataFrame, keys: list[str], n_windows: int,
 
 def cka_all_shifts(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str],
                    on: list[str], n_windows: int,
-                   feature_block: int = FEATURE_BLOCK) -> DataFrame:
+                   feature_block: int | None = None) -> DataFrame:
     """CKA at every rotation d = 0..W-1."""
+    feature_block = feature_block or feature_block_for(n_windows)
     keys = [*on, *a_keys, *b_keys]
     sa, sb = (spectra(x, [*on, *k], n_windows, feature_block)
               .withColumnsRenamed({"fb": f"fb_{s}", "n_features": f"n_{s}",
@@ -103,3 +109,46 @@ def cka_all_shifts(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[s
             .join(self_norm(b, [*on, *b_keys], "norm_b"), [*on, *b_keys])
             .select(*keys, "d", (F.col("cross") / (F.col("norm_a") * F.col("norm_b")
                                                    + F.lit(1e-20))).alias("score")))
+
+
+def cka_without_top(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str],
+                    on: list[str], n_windows: int, shifts: list[int],
+                    ranks: list[int]) -> DataFrame:
+    """CKA after removing the r strongest principal directions of either side.
+
+    Removing directions only changes the D x D moment matrices, so one pass over the
+    windows serves every r.
+    """
+    keys = [*on, *a_keys, *b_keys, "shift"]
+    rotated = (b.select(*on, *b_keys, F.col("vec").alias("vec_b"), "w",
+                        F.explode(F.array(*[F.lit(int(s)) for s in shifts])).alias("shift"))
+               .withColumn("w", modulo(F.col("w") + F.col("shift"), n_windows)))
+    both = (a.select(*on, *a_keys, "w", F.col("vec").alias("vec_a")).join(rotated, [*on, "w"])
+            .select(*keys, F.concat("vec_a", "vec_b").alias("vec"), F.size("vec_a").alias("dim")))
+    dims = both.groupBy(*keys).agg(F.max("dim").alias("dim"))
+    m = moment_matrix(both, keys, "vec").join(dims, keys)
+    schema = T.StructType([m.schema[c] for c in keys]
+                          + [T.StructField("r", T.IntegerType()),
+                             T.StructField("cka", T.DoubleType())])
+
+    def deflated(cov, r):
+        """Projection away from the r leading eigenvectors."""
+        vec = np.linalg.eigh(cov)[1][:, ::-1][:, :r]
+        return np.eye(len(cov)) - vec @ vec.T
+
+    def solve(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                full = augmented(row.n, row.total, row.products)
+                cov = full[1:, 1:] - np.outer(full[0, 1:], full[0, 1:]) / row.n
+                x, y = slice(0, row.dim), slice(row.dim, None)
+                values = []
+                for r in ranks:
+                    px, py = deflated(cov[x, x], r), deflated(cov[y, y], r)
+                    norms = [np.linalg.norm(p @ cov[s, s] @ p) for p, s in ((px, x), (py, y))]
+                    values.append(np.linalg.norm(px @ cov[x, y] @ py) ** 2
+                                  / (norms[0] * norms[1] + 1e-20))
+                out = {name: getattr(row, name) for name in keys}
+                yield pd.DataFrame({**out, "r": ranks, "cka": values})
+
+    return m.mapInPandas(solve, schema)

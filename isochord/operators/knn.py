@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_ROWS = 2048
+# rows of one block: lower it for very wide vectors, a task holds two blocks
+BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 TIE_DIGITS = 12
 

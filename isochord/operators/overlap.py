@@ -73,3 +73,20 @@ def ranked_once(df: DataFrame, keys: list[str], order, name: str) -> DataFrame:
     """Position inside the key group, starting at 0."""
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
+
+
+def mknn_by_k(a: DataFrame, b: DataFrame, on: list[str], n_windows: int,
+              ks: list[int]) -> DataFrame:
+    """Overlap as the neighbourhood widens, from one search at the largest k.
+
+    A shared edge counts for every k that reaches its worse rank; only counts per rank are
+    kept, at most one per neighbour place.
+    """
+    worse = F.greatest(F.col("ra"), F.col("rb"))
+    met = (a.select(*on, "i", "j", F.col("rank").alias("ra"))
+           .join(b.select(*on, "i", "j", F.col("rank").alias("rb")), [*on, "i", "j"])
+           .groupBy(*on, worse.alias("rank")).agg(F.count(F.lit(1)).alias("hits")))
+    reached = F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank")))
+    per_k = met.select(*on, reached.alias("k"), "hits").groupBy(*on, "k").agg(
+        F.sum("hits").alias("hits"))
+    return per_k.select(*on, "k", (F.col("hits") / (F.col("k") * float(n_windows))).alias("mknn"))

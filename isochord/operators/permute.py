@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from isochord.operators.ordered import attach, quantiles
 from isochord.operators.overlap import shared_edges
 from isochord.operators.regrid import vector_sum
 
 PRIME = 2147483647
 # statistics compared with their null are rounded, so that equal ones count as equal
 TIE_DIGITS = 9
+# range bounds for ratios of variances, which lie around one
+RATIO_BOUNDS = [0.1, 0.3, 0.5, 0.65, 0.8, 0.9, 1.0, 1.1, 1.25, 1.5, 2.0, 3.0]
 
 
 def draw_index(r: Column, m: Column, n: int, stream: int = 0) -> Column:
@@ -139,6 +142,12 @@ def usable_sets(edges: DataFrame, min_n: int = 2) -> DataFrame:
             .withColumn("first", F.col("i") * 1000003))
 
 
+def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Rounded median per key; a key has a value per window, so it is spread over tasks."""
+    m = quantiles(df, keys, value, {name: 0.5}, RATIO_BOUNDS)
+    return m.withColumn(name, F.round(name, TIE_DIGITS))
+
+
 def varratio(edges: DataFrame, features: DataFrame, names: list[str], n: int, n_draws: int,
              min_n: int = 2) -> DataFrame:
     """Median over anchors of neighbour variance / overall variance, with one-sided p."""
@@ -150,10 +159,10 @@ def varratio(edges: DataFrame, features: DataFrame, names: list[str], n: int, n_
 
     def median_ratio(members: DataFrame, extra: list[str], name: str) -> DataFrame:
         per = members.groupBy(*extra, "feature", "i").agg(F.var_samp("v").alias("var"))
-        return (per.join(F.broadcast(overall), "feature")
-                .groupBy(*extra, "feature")
-                .agg(F.round(F.median(F.col("var") / F.col("gv")), TIE_DIGITS).alias(name),
-                     F.count(F.lit(1)).alias("n_used")))
+        ratio = per.join(overall, "feature").withColumn("ratio", F.col("var") / F.col("gv"))
+        keys = [*extra, "feature"]
+        return (medians(ratio, keys, "ratio", name)
+                .join(ratio.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_used")), keys))
 
     near = (edges.join(sets.select("i"), "i").select("i", F.col("j").alias("w"))
             .join(population, "w"))
@@ -188,15 +197,13 @@ def trace_cov_ratio(edges: DataFrame, emb: DataFrame, n: int, n_draws: int,
     sets = usable_sets(edges, min_n)
     near = (edges.join(sets.select("i"), "i").select("i", F.col("j").alias("w"))
             .join(vectors, "w"))
-    obs = (trace_cov(near, ["i"]).join(F.broadcast(overall))
-           .agg(F.round(F.median(F.col("trace") / F.col("gtv")), TIE_DIGITS)
-                .alias("median_ratio"),
-                F.count(F.lit(1)).alias("n_used")))
-    null = (trace_cov(drawn_samples(vectors, ["i"], sets, n, n_draws), ["draw", "i"])
-            .join(F.broadcast(overall)).groupBy("draw")
-            .agg(F.round(F.median(F.col("trace") / F.col("gtv")), TIE_DIGITS)
-                 .alias("null_ratio")))
-    below = F.sum(F.when(F.col("null_ratio") <= F.col("median_ratio"), 1).otherwise(0))
-    return null.join(F.broadcast(obs)).groupBy("median_ratio", "n_used").agg(
-        ((below + 1) / F.lit(n_draws + 1.0)).alias("p"))
-
+    near = trace_cov(near, ["i"]).select(F.lit(-1).alias("draw"), "i", "trace")
+    drawn = trace_cov(drawn_samples(vectors, ["i"], sets, n, n_draws), ["draw", "i"])
+    ratio = attach(near.unionByName(drawn), overall, []).withColumn(
+        "ratio", F.col("trace") / F.col("gtv"))
+    med = medians(ratio, ["draw"], "ratio", "m")
+    obs = med.filter("draw = -1").select(F.col("m").alias("median_ratio"))
+    used = sets.agg(F.count(F.lit(1)).alias("n_used"))
+    below = F.sum(F.when(F.col("m") <= F.col("median_ratio"), 1).otherwise(0))
+    return attach(attach(med.filter("draw >= 0"), obs, []), used, []).groupBy(
+        "median_ratio", "n_used").agg(((below + 1) / F.lit(n_draws + 1.0)).alias("p"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from isochord.functions.dist import t_pvalue
 from isochord.functions.vectors import missing_to_null
-from isochord.operators.ordered import (attach, average_ranks, running, running_min,
+from isochord.operators.ordered import (attach, average_ranks, quantiles, running, running_min,
                                         value_bounds, value_counts, values_bounds)
 
 
@@ -249,13 +249,23 @@ def zscored(df: DataFrame, keys: list[str], value: str, name: str, eps: float =
     return joined.withColumn(name, z).drop("__mu", "__sd")
 
 
-def iqr_scaled(df: DataFrame, keys: list[str], value: str, name: str,
-               limit: float = 20.0) -> DataFrame:
-    """(x - p25) / (p75 - p25 + 1e-8), clipped; quartiles interpolate linearly."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
-    z = (F.col(value) - F.col("__q")[0]) / (F.col("__q")[1] - F.col("__q")[0] + F.lit(1e-8))
+def iqr_scaled(df: DataFrame, keys: list[str], value: str, name: str, limit: float = 20.0,
+               bounded: bool = False) -> DataFrame:
+    """(x - p25) / (p75 - p25 + 1e-8), clipped; quartiles interpolate linearly.
+
+    ``bounded`` says that every key is one signal window of a known length; the built-in
+    percentile, which holds a key's values in one task, is then the cheaper way.
+    """
+    if bounded:
+        both = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
+        q = (df.groupBy(*keys).agg(both.alias("__q"))
+             .select(*keys, F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi")))
+    else:
+        q = quantiles(df, keys, value, {"__lo": 0.25, "__hi": 0.75})
+    z = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + F.lit(1e-8))
     return (df.join(q, keys)
-            .withColumn(name, F.greatest(F.least(z, F.lit(limit)), F.lit(-limit))).drop("__q"))
+            .withColumn(name, F.greatest(F.least(z, F.lit(limit)), F.lit(-limit)))
+            .drop("__lo", "__hi"))
 
 
 def mean_imputed(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -441,18 +441,21 @@ def cka_per_subject(spark, sf):
             .select("subject", r6("cka").alias("cka")))
 
 
-# every rotation: whole series as lists, rotated by slicing the doubled list
-CKA_EVERY = (
-    f"WITH {S.spaces(S.PLAIN)}, ex AS (SELECT side, w, unnest(range(1, len(v) + 1)) AS f, "
-    f"unnest(v) AS x FROM sp), mu AS (SELECT side, f, avg(x) AS m FROM ex GROUP BY ALL), "
-    f"c AS (SELECT ex.side, ex.f, list(x - m ORDER BY w) AS xs FROM ex JOIN mu "
-    f"ON ex.side = mu.side AND ex.f = mu.f GROUP BY ALL), "
-    f"nr AS (SELECT a.side, sqrt(sum(list_dot_product(a.xs, b.xs) ** 2)) AS nr "
-    f"FROM c a JOIN c b ON a.side = b.side GROUP BY 1), "
-    f"cka AS (SELECT s::BIGINT AS shift, sum(list_dot_product(a.xs, "
-    f"list_concat(b.xs, b.xs)[n - s + 1:n - s + n]) ** 2) / (max(x.nr) * max(y.nr) + 1e-20) "
-    f"AS cka FROM c a, c b, nw, (SELECT unnest(range(n)) AS s FROM nw) t, nr x, nr y "
-    f"WHERE a.side = 'a' AND b.side = 'b' AND x.side = 'a' AND y.side = 'b' GROUP BY 1) ")
+def cka_every(slots):
+    """CKA at every rotation: whole series as lists, rotated by slicing the doubled list."""
+    return (
+        f"WITH {S.spaces(slots)}, ex AS (SELECT side, layer, w, unnest(range(1, len(v) + 1)) AS f, "
+        f"unnest(v) AS x FROM sp), mu AS (SELECT side, layer, f, avg(x) AS m FROM ex GROUP BY ALL), "
+        f"c AS (SELECT ex.side, ex.layer, ex.f, list(x - m ORDER BY w) AS xs FROM ex JOIN mu "
+        f"ON ex.side = mu.side AND ex.layer = mu.layer AND ex.f = mu.f GROUP BY ALL), "
+        f"nr AS (SELECT a.side, a.layer, sqrt(sum(list_dot_product(a.xs, b.xs) ** 2)) AS nr "
+        f"FROM c a JOIN c b ON a.side = b.side AND a.layer = b.layer GROUP BY ALL), "
+        f"cka AS (SELECT a.layer AS la, b.layer AS lb, s::BIGINT AS shift, "
+        f"sum(list_dot_product(a.xs, list_concat(b.xs, b.xs)[n - s + 1:n - s + n]) ** 2) "
+        f"/ (max(x.nr) * max(y.nr) + 1e-20) AS cka FROM c a, c b, nw, "
+        f"(SELECT unnest(range(n)) AS s FROM nw) t, nr x, nr y "
+        f"WHERE a.side = 'a' AND b.side = 'b' AND x.side = 'a' AND x.layer = a.layer "
+        f"AND y.side = 'b' AND y.layer = b.layer GROUP BY ALL) ")
 
 
 def cka_curve(spark, sf, slots):
@@ -460,21 +463,47 @@ def cka_curve(spark, sf, slots):
                               ["la"], ["lb"], ["grid"], B.window_count(spark, sf))
 
 
-@query("cka_all_shifts", CKA_EVERY + f"SELECT shift AS d, {S.r6('cka')} AS score FROM cka")
+@query("cka_all_shifts", cka_every(S.PLAIN) + f"SELECT shift AS d, {S.r6('cka')} AS score FROM cka")
 def cka_all_shifts(spark, sf):
     return cka_curve(spark, sf, B.PLAIN).select("d", r6("score").alias("score"))
 
 
-@query("cka_all_shifts_layer_max")
+@query("cka_all_shifts_layer_max", cka_every(S.LAYERED) + f"SELECT shift AS d, "
+       f"{S.r6('max(cka)')} AS score FROM cka GROUP BY 1")
 def cka_all_shifts_layer_max(spark, sf):
     return (shift_curve.max_over_layers(cka_curve(spark, sf, B.LAYERED), ["grid"])
             .select("d", r6("score").alias("score")))
 
 
-@query("cka_calibrated", CKA_EVERY.rstrip() + ", cv AS (SELECT 0 AS q, shift AS d, "
+@query("cka_calibrated", cka_every(S.PLAIN).rstrip() + ", cv AS (SELECT 0 AS q, shift AS d, "
        f"round(cka, 12) AS score FROM cka), {S.cyclic('cv', 'q')} "
        f"SELECT {rsql(CAL_COLS)} FROM cal")
 def cka_calibrated(spark, sf):
     curve = cka_curve(spark, sf, B.PLAIN).withColumn("score", F.round("score", 12))
     return rounded(cal.calibrate_cyclic(curve, ["grid"], B.window_count(spark, sf)), [],
                    CAL_COLS)
+
+
+# -- where alignment lives ----------------------------------------------------------
+
+K_GRID, R_GRID = [5, 10, 20, 50], [0, 1, 2, 3, 5, 10]
+
+
+@query("mknn_by_k", f"WITH {S.spaces()}, {S.knn(max(K_GRID))}, ks AS (SELECT unnest({K_GRID}) AS k) "
+       f"SELECT k::BIGINT AS k, {S.r6('count(*) / (k * max(n))::DOUBLE')} AS mknn FROM ks, nw, "
+       f"nn a JOIN nn b ON a.i = b.i AND a.j = b.j AND a.side = 'a' AND b.side = 'b' "
+       f"WHERE a.rank <= k AND b.rank <= k GROUP BY k")
+def mknn_by_k(spark, sf):
+    """Overlap as the neighbourhood widens."""
+    out = overlap.mknn_by_k(edges(spark, sf, "a", k=max(K_GRID)),
+                            edges(spark, sf, "b", k=max(K_GRID)), ON,
+                            B.window_count(spark, sf), K_GRID)
+    return out.select(F.col("k").cast("bigint").alias("k"), r6("mknn").alias("mknn"))
+
+
+@query("cka_without_top_directions")
+def cka_without_top_directions(spark, sf):
+    """CKA after deleting the strongest directions of both sides."""
+    out = cka.cka_without_top(cka_side(spark, sf, "a", B.PLAIN), cka_side(spark, sf, "b", B.PLAIN),
+                              ["la"], ["lb"], ["grid"], B.window_count(spark, sf), [0], R_GRID)
+    return out.select("r", r6("cka").alias("cka"))

@@ -168,7 +168,7 @@ def bipolar_iqr(spark, sf):
     d = signal.bipolar(sig, ["t"], "ch", PAIRS).withColumn("w", n)
     full = d.groupBy("w").agg(F.max("t").alias("last")).filter(
         F.col("last") == (F.col("w") + 1) * LENGTH - 1).select("w")
-    out = stats.iqr_scaled(d.join(full, "w"), ["pair", "w"], "x", "z")
+    out = stats.iqr_scaled(d.join(full, "w"), ["pair", "w"], "x", "z", bounded=True)
     return out.select(F.col("pair").cast("bigint").alias("pair"), "t", r6("z").alias("z"))
 
 
@@ -184,6 +184,41 @@ def spectral_edge(spark, sf):
     return signal.spectral_edge(spectrum, ["user_id"], 0.9)
 
 
+SPECTRAL = [n for n in signal.FEATURES if n not in ("pe_theta", "pe_alpha")]
+BAND_SQL = ", ".join(f"ln(sum(p) FILTER (f >= {lo} AND f < {hi}) + 1e-20) AS abs_{n}, "
+                     f"sum(p) FILTER (f >= {lo} AND f < {hi}) / (sum(p) + 1e-20) AS rel_{n}"
+                     for n, (lo, hi) in signal.BANDS.items())
+
+
+@query("spectral_features", f"WITH {SIG}, x AS (SELECT ch, w, t % {LENGTH} AS k, "
+       f"(x - avg(x) OVER (PARTITION BY ch, w)) * (0.5 - 0.5 * cos(2 * pi() * (t % {LENGTH}) / "
+       f"{LENGTH})) AS y FROM sw), ps AS (SELECT ch, w, f, 2 * (sum(y * cos(2 * pi() * f * k / "
+       f"{LENGTH})) ** 2 + sum(y * sin(2 * pi() * f * k / {LENGTH})) ** 2) / ({FS} * "
+       f"(SELECT sum((0.5 - 0.5 * cos(2 * pi() * i / {LENGTH})) ** 2) FROM "
+       f"(SELECT unnest(range({LENGTH})) AS i))) AS p FROM x, "
+       f"(SELECT unnest(range(1, 31)) AS f) GROUP BY 1, 2, 3), "
+       f"cu AS (SELECT *, sum(p) OVER (PARTITION BY ch, w ORDER BY f) / (sum(p) OVER "
+       f"(PARTITION BY ch, w) + 1e-20) AS cum, p / (sum(p) OVER (PARTITION BY ch, w) + 1e-20) AS s "
+       f"FROM ps), sp AS (SELECT ch, w, {BAND_SQL}, -sum(s * ln(s + 1e-20)) / ln(30) AS spec_entropy, "
+       f"coalesce(min(f) FILTER (cum >= 0.5), 30) AS median_freq, "
+       f"coalesce(min(f) FILTER (cum >= 0.9), 30) AS spec_edge90 FROM cu GROUP BY 1, 2), "
+       f"d1 AS (SELECT *, x - lag(x) OVER q AS a, (x > lead(x) OVER q)::INT + 2 * "
+       f"(x > lead(x, 2) OVER q)::INT + 4 * (lead(x) OVER q > lead(x, 2) OVER q)::INT AS c FROM sw "
+       f"WINDOW q AS (PARTITION BY ch, w ORDER BY t)), d2 AS (SELECT *, a - lag(a) OVER q AS b "
+       f"FROM d1 WINDOW q AS (PARTITION BY ch, w ORDER BY t)), "
+       f"hj AS (SELECT ch, w, sqrt((var_pop(a) + 1e-20) / (var_pop(x) + 1e-20)) AS hjorth_mobility, "
+       f"sqrt((var_pop(b) + 1e-20) / (var_pop(a) + 1e-20)) / sqrt((var_pop(a) + 1e-20) / "
+       f"(var_pop(x) + 1e-20)) AS hjorth_complexity FROM d2 GROUP BY 1, 2), "
+       f"pc AS (SELECT ch, w, c, count(*) / sum(count(*)) OVER (PARTITION BY ch, w) AS pr FROM d1 "
+       f"WHERE c IS NOT NULL GROUP BY 1, 2, 3), pe AS (SELECT ch, w, -sum(pr * ln(pr)) / ln(6.0) "
+       f"AS pe_broad FROM pc GROUP BY 1, 2) SELECT w, "
+       + ", ".join(f"{S.r6(f'median({n})')} AS {n}" for n in SPECTRAL)
+       + " FROM sp JOIN hj USING (ch, w) JOIN pe USING (ch, w) GROUP BY w")
+def spectral_features(spark, sf):
+    """The markers that do not need a band-pass filter, median over channels."""
+    return rounded(signal.window_features(signal_windows(spark, sf), [], FS), ["w"], SPECTRAL)
+
+
 @query("nice_features")
 def nice_features(spark, sf):
     return rounded(signal.window_features(signal_windows(spark, sf), [], FS), ["w"],

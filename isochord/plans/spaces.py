@@ -71,7 +71,18 @@ def eigenspectrum(spark, sf):
             .select("place", r6("share").alias("share")))
 
 
-@query("local_twonn")
+@query("local_twonn", f"WITH {S.spaces(FULL)}, {S.knn(20)}, "
+       f"z AS (SELECT w, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS z "
+       f"FROM sp), pd AS (SELECT a.i, a.j, list_distance(x.z, y.z) AS d FROM nn a JOIN nn b "
+       f"ON a.i = b.i AND a.j <> b.j JOIN z x ON x.w = a.j JOIN z y ON y.w = b.j), "
+       f"rk AS (SELECT i, j, d, row_number() OVER (PARTITION BY i, j ORDER BY d) AS r FROM pd), "
+       f"m AS (SELECT i, max(CASE WHEN r = 2 THEN d END) / greatest(max(CASE WHEN r = 1 THEN d END), "
+       f"1e-12) AS mu FROM rk WHERE r <= 2 GROUP BY i, j), "
+       f"o AS (SELECT i, mu, row_number() OVER (PARTITION BY i ORDER BY mu) AS rn, "
+       f"count(*) OVER (PARTITION BY i) AS c FROM m WHERE mu > 1 + 1e-12), "
+       f"k AS (SELECT *, greatest(c * 90 // 100, 4) AS n FROM o) "
+       f"SELECT i AS w, {S.r6('regr_slope(-ln(1 - rn / (n + 1)::DOUBLE), ln(mu))')} AS local_id "
+       f"FROM k WHERE rn <= n GROUP BY i")
 def local_twonn(spark, sf):
     return (geometry.local_twonn(whole(spark, sf), ["grid"])
             .select(F.col("i").alias("w"), r6("local_id").alias("local_id")))
