@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from helpers import emb_frame
-from isochord.operators import cka, geometry, moments
+from helpers import brute_knn, emb_frame
+from isochord.operators import cka, geometry, knn, moments, overlap
 
 
 def gram(x):
@@ -99,3 +99,34 @@ def test_local_dimension(spark):
         sim = z @ z[i]
         near = [j for j in np.argsort(-sim) if j != i][:20]
         assert got[i] == pytest.approx(two_nn(z[near]))
+
+
+def test_cka_without_leading_directions(spark):
+    rng = np.random.default_rng(8)
+    w = 60
+    x, y = rng.normal(size=(w, 5)) * [6, 2, 1, 1, 1], rng.normal(size=(w, 4))
+    got = {(r["shift"], r["r"]): r["cka"] for r in cka.cka_without_top(
+        emb_frame(spark, x, grid="g", la=0), emb_frame(spark, y, grid="g", lb=0), ["la"], ["lb"],
+        ["grid"], w, [0, 7], [0, 1, 3]).collect()}
+    for d in (0, 7):
+        z = np.roll(y, d, axis=0)
+        for r in (0, 1, 3):
+            left = []
+            for m in (x, z):
+                c = m - m.mean(0)
+                u, s, vt = np.linalg.svd(c, full_matrices=False)
+                s[:r] = 0
+                left.append(gram(u @ np.diag(s) @ vt))
+            assert got[(d, r)] == pytest.approx((left[0] * left[1]).sum(), abs=1e-9)
+
+
+def test_overlap_by_neighbourhood_size(spark):
+    rng = np.random.default_rng(9)
+    w = 50
+    x = rng.normal(size=(w, 4))
+    y = x + rng.normal(size=(w, 4))
+    ea, eb = (knn.knn_edges(emb_frame(spark, v, grid="g"), ["grid"], 20) for v in (x, y))
+    got = {r["k"]: r["mknn"] for r in overlap.mknn_by_k(ea, eb, ["grid"], w, [5, 10, 20]).collect()}
+    for k in (5, 10, 20):
+        a, b = brute_knn(x, k), brute_knn(y, k)
+        assert got[k] == pytest.approx(np.mean([len(set(p) & set(q)) / k for p, q in zip(a, b)]))
