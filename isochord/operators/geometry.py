@@ -57,14 +57,15 @@ def spectrum_stats(emb: DataFrame, keys: list[str], n_top: int = 64) -> DataFram
     return m.mapInPandas(decompose, schema)
 
 
-def twonn_id(emb: DataFrame, keys: list[str], keep_percent: int = 90) -> DataFrame:
+def twonn_id(emb: DataFrame, keys: list[str], keep_percent: int = 90,
+             n_windows: int | None = None) -> DataFrame:
     """Dimension from the ratio of second to first neighbour distance.
 
     Slope, with intercept, of -log(1 - F) on log(ratio) over the lowest ``keep_percent``
     of ratios above one; F uses the number kept.
     """
     d = -F.col("sim")
-    ratio = (knn_edges(emb, keys, k=2, metric="euclidean")
+    ratio = (knn_edges(emb, keys, k=2, metric="euclidean", n_windows=n_windows)
              .groupBy(*keys, "i").agg(F.max(F.when(F.col("rank") == 1, d)).alias("r1"),
                                       F.max(F.when(F.col("rank") == 2, d)).alias("r2"))
              .withColumn("mu", F.col("r2") / F.greatest("r1", F.lit(1e-12)))
@@ -81,11 +82,12 @@ def twonn_id(emb: DataFrame, keys: list[str], keep_percent: int = 90) -> DataFra
         F.regr_slope(y, F.log("mu")).alias("twonn_id"), F.max("kept").alias("n_kept"))
 
 
-def mle_id(emb: DataFrame, keys: list[str], k1: int = 10, k2: int = 20) -> DataFrame:
+def mle_id(emb: DataFrame, keys: list[str], k1: int = 10, k2: int = 20,
+           n_windows: int | None = None) -> DataFrame:
     """Maximum-likelihood dimension, averaged over neighbourhood sizes k1..k2."""
     by_point = Window.partitionBy(*keys, "i").orderBy("rank")
     before = by_point.rowsBetween(Window.unboundedPreceding, -1)
-    logs = (knn_edges(emb, keys, k=k2, metric="euclidean")
+    logs = (knn_edges(emb, keys, k=k2, metric="euclidean", n_windows=n_windows)
             .withColumn("log_d", F.log(F.greatest(-F.col("sim"), F.lit(1e-12))))
             .withColumn("below", F.sum("log_d").over(before))
             .filter(F.col("rank") >= k1))
@@ -111,9 +113,10 @@ def _twonn_points(x: np.ndarray) -> float | None:
     return float(np.polyfit(np.log(mu), -np.log(1 - f), 1)[0])
 
 
-def local_twonn(emb: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
+def local_twonn(emb: DataFrame, keys: list[str], k: int = 20,
+                n_windows: int | None = None) -> DataFrame:
     """TwoNN inside every point's cosine neighbourhood (the point itself left out)."""
-    edges = knn_edges(emb, keys, k=k)
+    edges = knn_edges(emb, keys, k=k, n_windows=n_windows)
     points = emb.select(*keys, F.col("w").alias("j"), "vec")
     near = (edges.join(points, [*keys, "j"]).groupBy(*keys, "i")
             .agg(F.collect_list("vec").alias("near")))

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from isochord.operators.ordered import attach
+
 # rows of one block: lower it for very wide vectors, a task holds two blocks
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
@@ -30,8 +32,8 @@ def _matrix(column) -> np.ndarray:
 
 
 def _best(query, query_w, other, other_w, k, excl, metric):
-    """Indices (row in query, row in other) and score of the k best candidates."""
-    out_q, out_o, out_s = [], [], []
+    """Row in query, row in other, score and place (from 0) of the k best candidates."""
+    out_q, out_o, out_s, out_p = [], [], [], []
     n_other = len(other_w)
     if metric == "euclidean":
         other_sq = np.einsum("ij,ij->i", other, other)
@@ -55,44 +57,59 @@ def _best(query, query_w, other, other_w, k, excl, metric):
             s = np.round(-np.sqrt(np.einsum("ij,ij->i", diff, diff)), TIE_DIGITS)
         order = np.lexsort((other_w[c], -s, r))
         r, c, s = r[order], c[order], s[order]
-        if len(r):
-            first = np.r_[0, np.nonzero(np.diff(r))[0] + 1]
-            place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
-            keep = place < k
-            r, c, s = r[keep], c[keep], s[keep]
-        out_q.append(r + start)
-        out_o.append(c)
-        out_s.append(s)
-    return np.concatenate(out_q), np.concatenate(out_o), np.concatenate(out_s)
-
-
-def with_block_pairs(emb: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+        first = np.searchsorted(r, r)  # where the run of this query row starts
+        place = np.arange(len(r)) - first
+        keep = place < k
+        out_q.append(r[keep] + start)
+        out_o.append(c[keep])
+        out_s.append(s[keep])
+        out_p.append(place[keep])
+    return tuple(np.concatenate(x) for x in (out_q, out_o, out_s, out_p))
+
+
+def with_block_pairs(emb: DataFrame, keys: list[str], n_blocks) -> DataFrame:
     """Each row once per pair of blocks its own block takes part in."""
-    sizes = emb.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n_blocks"))
     b = F.col("block")
     other = F.transform(
-        F.sequence(F.lit(0), F.col("n_blocks") - 1),
+        F.sequence(F.lit(0), n_blocks - 1),
         lambda c: F.struct(F.least(b, c).alias("lo"), F.greatest(b, c).alias("hi")))
-    return (emb.join(sizes, keys)
-            .withColumn("block", F.pmod(F.xxhash64("w"), F.col("n_blocks")).cast("int"))
+    return (emb.withColumn("block", F.pmod(F.xxhash64("w"), n_blocks).cast("int"))
             .withColumn("pair", F.explode(other))
             .select(*keys, "w", "vec", "block", "pair.lo", "pair.hi"))
 
 
+def blocked(emb: DataFrame, keys: list[str], block_rows: int,
+            n_windows: int | None) -> tuple[DataFrame, bool]:
+    """Rows with their block pairs, and whether a single block holds every space.
+
+    Where the number of windows is known, neither a count nor a join is needed.
+    """
+    if n_windows is not None:
+        n = -(-n_windows // block_rows)
+        if n == 1:
+            zero = F.lit(0)
+            return emb.select("*", zero.alias("block"), zero.alias("lo"), zero.alias("hi")), True
+        return with_block_pairs(emb, keys, F.lit(n)), False
+    sizes = emb.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n_blocks"))
+    return with_block_pairs(attach(emb, sizes, keys), keys, F.col("n_blocks")), False
+
+
 def knn_edges(emb: DataFrame, keys: list[str], k: int = 5, excl: int = 0,
-              metric: str = "cosine", block_rows: int = BLOCK_ROWS) -> DataFrame:
+              metric: str = "cosine", block_rows: int = BLOCK_ROWS,
+              n_windows: int | None = None) -> DataFrame:
     """Directed edges (keys, i, j, rank, sim) to the k nearest other windows.
 
     ``emb`` has the key columns, ``w`` (bigint) and ``vec``. ``excl`` bars neighbours
     within that many windows. ``sim`` is the cosine, or the negative distance for
-    ``metric="euclidean"``. Ties go to the smaller window index.
+    ``metric="euclidean"``. Ties go to the smaller window index. ``n_windows``, if known,
+    is the largest number of windows of any space; it only decides how spaces are cut.
     """
+    names = list(keys)
     schema = T.StructType(
-        [emb.schema[c] for c in keys]
+        [emb.schema[c] for c in names]
         + [T.StructField("i", T.LongType()), T.StructField("j", T.LongType()),
-           T.StructField("sim", T.DoubleType())])
-    arrow_keys = list(keys)
+           T.StructField("sim", T.DoubleType()), T.StructField("rank", T.IntegerType())])
 
     def compare(key, table):
         block = table.column("block").to_numpy()
@@ -101,24 +118,23 @@ def knn_edges(emb: DataFrame, keys: list[str], k: int = 5, excl: int = 0,
         if metric == "cosine":
             vec = vec / (np.linalg.norm(vec, axis=1, keepdims=True) + 1e-12)
         lo, hi = key[-2].as_py(), key[-1].as_py()
-        sides = [(lo, hi)] if lo == hi else [(lo, hi), (hi, lo)]
-        parts = []
-        for mine, theirs in sides:
+        parts = [(np.empty(0, np.int64),) * 2 + (np.empty(0), np.empty(0, np.int64))]
+        for mine, theirs in [(lo, hi)] if lo == hi else [(lo, hi), (hi, lo)]:
             m, t = block == mine, block == theirs
-            if not m.any() or not t.any():
-                continue
-            q, o, s = _best(vec[m], w[m], vec[t], w[t], k, excl, metric)
-            parts.append((w[m][q], w[t][o], s))
-        i = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
-        j = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int64)
-        s = np.concatenate([p[2] for p in parts]) if parts else np.empty(0)
-        cols = [pa.repeat(key[n], len(i)) for n in range(len(arrow_keys))]
-        return pa.table(cols + [pa.array(i), pa.array(j), pa.array(s)],
-                        names=arrow_keys + ["i", "j", "sim"])
-
-    partial = (with_block_pairs(emb.select(*keys, F.col("w").cast("bigint"), "vec"),
-                                keys, block_rows)
-               .groupBy(*keys, "lo", "hi").applyInArrow(compare, schema))
-    by_window = Window.partitionBy(*keys, "i").orderBy(F.col("sim").desc(), "j")
+            if m.any() and t.any():
+                q, o, s, p = _best(vec[m], w[m], vec[t], w[t], k, excl, metric)
+                parts.append((w[m][q], w[t][o], s, p + 1))
+        i, j, s, p = (np.concatenate(x) for x in zip(*parts))
+        cols = [pa.repeat(key[n], len(i)) for n in range(len(names))]
+        return pa.table(cols + [pa.array(i), pa.array(j), pa.array(s),
+                                pa.array(p.astype(np.int32))],
+                        names=names + ["i", "j", "sim", "rank"])
+
+    pairs, single = blocked(emb.select(*names, F.col("w").cast("bigint"), "vec"), names,
+                            block_rows, n_windows)
+    partial = pairs.groupBy(*names, "lo", "hi").applyInArrow(compare, schema)
+    if single:
+        return partial
+    by_window = Window.partitionBy(*names, "i").orderBy(F.col("sim").desc(), "j")
     return (partial.withColumn("rank", F.row_number().over(by_window))
             .filter(F.col("rank") <= k))

@@ -117,8 +117,10 @@ def truncated(emb: DataFrame, n_windows: int, shifts: list[int], leading: bool)
 def truncating_scores(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str],
                       on: list[str], n_windows: int, k: int, shifts: list[int]) -> DataFrame:
     """Layer-maximised overlap with both sides cut to the overlap and searched anew."""
-    ea = knn_edges(truncated(a, n_windows, shifts, True), [*on, *a_keys, "shift"], k)
-    eb = knn_edges(truncated(b, n_windows, shifts, False), [*on, *b_keys, "shift"], k)
+    ea = knn_edges(truncated(a, n_windows, shifts, True), [*on, *a_keys, "shift"], k,
+                   n_windows=n_windows)
+    eb = knn_edges(truncated(b, n_windows, shifts, False), [*on, *b_keys, "shift"], k,
+                   n_windows=n_windows)
     hits = (shared_edges(ea, eb, [*on, "shift"]).groupBy(*on, *a_keys, *b_keys, "shift")
             .agg(F.count(F.lit(1)).alias("hits")))
     left = F.lit(float(n_windows)) - F.abs("shift")

@@ -21,7 +21,8 @@ def edges(spark, sf, which, slots=B.PLAIN, excl=0, k=K):
     """Neighbour edges of one side, layer renamed to la / lb."""
     name = "la" if which == "a" else "lb"
     return knn.knn_edges(B.side(spark, sf, which, slots, name),
-                         ["grid", "subject", name], k, excl)
+                         ["grid", "subject", name], k, excl,
+                         n_windows=B.window_count(spark, sf))
 
 
 def layer_curve(spark, sf, slots=B.PLAIN, excl=0):
@@ -34,12 +35,13 @@ def layer_curve(spark, sf, slots=B.PLAIN, excl=0):
 
 def model_curves(spark, sf):
     """Score per unordered model pair and rotation, with families and size ranks."""
-    nn = knn.knn_edges(B.models(spark, sf), ["grid", "model"], K)
+    n = B.window_count(spark, sf)
+    nn = knn.knn_edges(B.models(spark, sf), ["grid", "model"], K, n_windows=n)
     a = nn.withColumnRenamed("model", "model_a")
     b = nn.withColumnRenamed("model", "model_b")
     pairs = B.model_pairs(spark)
     counts = shift_curve.shift_curve(
-        a, b, ["model_a"], ["model_b"], ON, B.window_count(spark, sf), K,
+        a, b, ["model_a"], ["model_b"], ON, n, K,
         pairs=pairs.select("grid", "model_a", "model_b"))
     return counts.join(F.broadcast(pairs), ["grid", "model_a", "model_b"])
 

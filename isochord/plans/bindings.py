@@ -44,9 +44,20 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").cast("bigint").alias("w"), "embedding", "label")
 
 
+_COUNTS: dict[str, int] = {}
+
+
+def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a given (fixed) table, counted once; footers answer without reading data."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _COUNTS:
+        _COUNTS[path] = table(spark, sf_dir, name).count()
+    return _COUNTS[path]
+
+
 def window_count(spark: SparkSession, sf_dir: str) -> int:
-    """Windows of the recording; parquet footers answer this without reading data."""
-    return table(spark, sf_dir, "embeddings").count()
+    """Windows of the recording."""
+    return row_count(spark, sf_dir, "embeddings")
 
 
 def side(spark: SparkSession, sf_dir: str, which: str, slots=PLAIN,

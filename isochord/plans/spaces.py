@@ -46,7 +46,8 @@ def participation_ratio(spark, sf):
        f"SELECT {S.r6('regr_slope(-ln(1 - rn / (n + 1)::DOUBLE), ln(mu))')} AS twonn_id, "
        f"max(n)::BIGINT AS n_kept FROM k WHERE rn <= n")
 def twonn_id(spark, sf):
-    return rounded(geometry.twonn_id(whole(spark, sf), ["grid"]), ["n_kept"], ["twonn_id"])
+    return rounded(geometry.twonn_id(whole(spark, sf), ["grid"],
+                                     n_windows=B.window_count(spark, sf)), ["n_kept"], ["twonn_id"])
 
 
 @query("mle_id", f"WITH {S.spaces(FULL)}, {S.euclid(20)}, "
@@ -55,7 +56,8 @@ def twonn_id(spark, sf):
        f"AS b FROM dd), k AS (SELECT rank, avg(ld - b / (rank - 1)) AS inv FROM l "
        f"WHERE rank >= 10 GROUP BY 1) SELECT {S.r6('1 / avg(inv)')} AS mle_id FROM k")
 def mle_id(spark, sf):
-    return rounded(geometry.mle_id(whole(spark, sf), ["grid"]), [], ["mle_id"])
+    return rounded(geometry.mle_id(whole(spark, sf), ["grid"],
+                                     n_windows=B.window_count(spark, sf)), [], ["mle_id"])
 
 
 @query("effective_rank")
@@ -84,7 +86,8 @@ def eigenspectrum(spark, sf):
        f"SELECT i AS w, {S.r6('regr_slope(-ln(1 - rn / (n + 1)::DOUBLE), ln(mu))')} AS local_id "
        f"FROM k WHERE rn <= n GROUP BY i")
 def local_twonn(spark, sf):
-    return (geometry.local_twonn(whole(spark, sf), ["grid"])
+    return (geometry.local_twonn(whole(spark, sf), ["grid"],
+                                     n_windows=B.window_count(spark, sf))
             .select(F.col("i").alias("w"), r6("local_id").alias("local_id")))
 
 
@@ -143,7 +146,7 @@ def clips(spark, sf, *cols):
 
 
 def clip_count(spark, sf):
-    return B.table(spark, sf, "documents").count()
+    return B.row_count(spark, sf, "documents")
 
 
 CLIPS = "cl AS (SELECT doc_id AS clip, text, n_chars FROM documents), nc AS (SELECT count(*)::BIGINT AS n FROM documents)"

@@ -19,6 +19,9 @@ def test_knn_equals_full_sort(spark, block_rows, excl, metric):
     x = np.random.default_rng(1).normal(size=(90, 6))
     got = knn.knn_edges(emb_frame(spark, x, space="s"), ["space"], 5, excl, metric, block_rows)
     assert as_lists(got, 90) == brute_knn(x, 5, excl, metric)
+    known = knn.knn_edges(emb_frame(spark, x, space="s"), ["space"], 5, excl, metric, block_rows,
+                          n_windows=90)
+    assert as_lists(known, 90) == brute_knn(x, 5, excl, metric)
 
 
 def test_knn_with_a_third_of_rows_identical(spark):
