@@ -48,3 +48,15 @@ def missing_to_null(value) -> Column:
     c = F.col(value) if isinstance(value, str) else value
     odd = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
     return F.when(~odd, c)
+
+
+def softmax(scores: Column) -> Column:
+    """Probabilities from scores; NULL entries stay NULL and take no part."""
+    top = F.array_max(scores)
+    raised = F.transform(scores, lambda x: F.exp(x - top))
+    total = F.aggregate(raised, F.lit(0.0).cast("double"), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    return F.transform(raised, lambda x: x / total)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return sum_of(F.zip_with(a, b, lambda x, y: x * y))

@@ -137,12 +137,17 @@ def shift_pvalues(curve: DataFrame, keys: list[str], n_windows: int,
     whole = curve.withColumn("x", signed_shift(F.col("d"), n_windows).cast("double"))
     slope = whole.groupBy(*keys).agg(
         F.regr_slope(F.col("score"), F.col("x")).alias("slope"))
-    grid = (folded(curve, keys, F.col("d") == 0, F.lit(True)).groupBy(*keys)
-            .agg(((1 + at_or_above()) / (F.max("total_null") + 1)).alias("p_all")))
+    grid = grid_p(curve, keys, F.col("d") == 0).select(*keys, F.col("p").alias("p_all"))
     return (tail_stats(curve, keys, n_windows, tail_min)
             .join(grid, keys).join(slope, keys))
 
 
+def grid_p(curve: DataFrame, keys: list[str], is_obs: Column) -> DataFrame:
+    """Rank of the observed score among all scores of the grid, itself included."""
+    return folded(curve, keys, is_obs, F.lit(True)).groupBy(*keys).agg(
+        F.max("obs").alias("obs"), ((1 + at_or_above()) / (F.max("total_null") + 1)).alias("p"))
+
+
 def mean_curve(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Subject-mean curve."""
     return curve.groupBy(*keys, "d").agg(F.avg("score").alias("score"))

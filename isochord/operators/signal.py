@@ -64,6 +64,62 @@ def bipolar(samples: DataFrame, keys: list[str], channel: str, pairs: list[tuple
             .filter("__n = 2").drop("__n"))
 
 
+def bipolar_windows(windows: DataFrame, keys: list[str], channel: str,
+                    pairs: list[tuple[str, str]]) -> DataFrame:
+    """As ``bipolar`` for rows that hold a whole window of samples."""
+    ends = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(name).alias("ch"), F.lit(plus).alias("plus"))
+                     for i, (a, c) in enumerate(pairs) for plus, name in ((True, a), (False, c))])
+    mine = F.filter(ends, lambda e: e["ch"] == F.col(channel))
+    sent = windows.select(*keys, "samples", F.explode(mine).alias("e"))
+    first = F.max(F.when(F.col("e.plus"), F.col("samples")))
+    second = F.max(F.when(~F.col("e.plus"), F.col("samples")))
+    met = (sent.groupBy(*keys, F.col("e.pair").alias("pair"))
+           .agg(first.alias("a"), second.alias("c")).filter("a IS NOT NULL AND c IS NOT NULL"))
+    return met.select(*keys, "pair", F.zip_with("a", "c", lambda x, y: x - y).alias("samples"))
+
+
+def row_zscored(samples: Column, eps: float = 1e-8) -> Column:
+    """Each row's signal standardised by its own population moments."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(s: pd.Series) -> pd.Series:
+        return _by_length(s, lambda x: (x - x.mean(-1, keepdims=True))
+                          / (x.std(-1, keepdims=True) + eps))
+
+    return run(samples)
+
+
+def row_iqr_scaled(samples: Column, limit: float = 20.0) -> Column:
+    """Each row's signal scaled by its own quartiles and clipped."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(s: pd.Series) -> pd.Series:
+        def scale(x):
+            lo, hi = np.percentile(x, [25, 75], axis=-1, keepdims=True)
+            return np.clip((x - lo) / (hi - lo + 1e-8), -limit, limit)
+        return _by_length(s, scale)
+
+    return run(samples)
+
+
+def pair_midpoints(positions: DataFrame, pairs: list[tuple[str, str]], channel: str = "ch",
+                   axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Midpoint of the two electrodes of every pair."""
+    ends = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(name).alias("ch"))
+                     for i, p in enumerate(pairs) for name in p])
+    mine = F.filter(ends, lambda e: e["ch"] == F.col(channel))
+    return (positions.select(*axes, F.explode(mine).alias("e"))
+            .groupBy(F.col("e.pair").alias("pair")).agg(*[F.avg(a).alias(a) for a in axes]))
+
+
+def channel_index(channels: DataFrame, vocabulary: DataFrame, channel: str = "ch",
+                  index: str = "index") -> DataFrame:
+    """Channels with their vocabulary index; one that has none is an error at run time."""
+    missing = F.raise_error(F.concat(F.lit("channel not in vocabulary: "), F.col(channel)))
+    return channels.join(vocabulary, channel, "left").withColumn(
+        index, F.coalesce(F.col(index), missing.cast("int")))
+
+
 def _stack(s: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in s])
 

@@ -116,6 +116,20 @@ def tfidf(docs: DataFrame, doc: str, text: str, stop_words: list[str],
     return raw.select(doc, "term", (F.col("raw") / length).alias("weight"))
 
 
+def lexicon_scores(docs: DataFrame, doc: str, lexicon: DataFrame, text: str = "text") -> DataFrame:
+    """(doc, category, score): share of a document's words that a category lists.
+
+    ``lexicon`` has (word, category). Words are counted per document before the join.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))),
+                                            r"[^\p{L}\p{N}_]+", " ")), " ")
+    counts = (docs.select(doc, text).repartition(doc).select(doc, F.explode(words).alias("word"))
+              .filter("word != ''").groupBy(doc, "word").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.groupBy(doc).agg(F.sum("n").alias("n_words"))
+    return (counts.join(lexicon, "word").groupBy(doc, "category").agg(F.sum("n").alias("n"))
+            .join(total, doc).select(doc, "category", (F.col("n") / F.col("n_words")).alias("score")))
+
+
 def mined_labels(captions: DataFrame, order: str, text: str = "text",
                  n_mined: int = 30) -> DataFrame:
     """Most frequent words of four or more plain letters that are not yet labels.

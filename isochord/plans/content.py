@@ -11,6 +11,7 @@ from isochord.plans import bindings as B
 from isochord.plans import sqltext as S
 from isochord.plans.alignment import rounded
 from isochord.plans.registry import query
+from isochord.session import inline
 
 
 def documents(spark, sf):
@@ -58,6 +59,22 @@ def tfidf(spark, sf):
                    ["doc_id", "term"], ["weight"])
 
 
+WORD_LEXICON = sorted({(w, name) for name, words in text.LEXICONS.items() for w in words
+                       if " " not in w})
+WORD_ROWS = ", ".join(f"('{w}', '{c}')" for w, c in WORD_LEXICON)
+
+
+@query("lexicon_scores", f"WITH lx(word, category) AS (VALUES {WORD_ROWS}), "
+       "tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word "
+       "FROM documents), tot AS (SELECT doc_id, count(*) AS n FROM tk GROUP BY 1) "
+       f"SELECT doc_id, category, {S.r6('count(*) / max(n)::DOUBLE')} AS score FROM tk "
+       "JOIN lx USING (word) JOIN tot USING (doc_id) GROUP BY 1, 2")
+def lexicon_scores(spark, sf):
+    lexicon = inline(spark, WORD_LEXICON, ["word", "category"])
+    return rounded(text.lexicon_scores(documents(spark, sf), "doc_id", lexicon),
+                   ["doc_id", "category"], ["score"])
+
+
 KNOWN = ", ".join(f"'{w}'" for w in text.MINING_STOP_WORDS + text.OBJECT_LABELS
                   + text.SCENE_LABELS + text.ACTION_LABELS)
 
@@ -244,6 +261,19 @@ def resampled_signal(spark, sf):
             .select("ch", (F.col("seg") * 128 + F.col("place")).alias("t"), r6("x").alias("x")))
 
 
+@query("bipolar_window_zscore", f"WITH {SIG}, pr(pair, a, c) AS (VALUES (0, 'error', 'click'), "
+       f"(1, 'view', 'signup'), (2, 'click', 'purchase')), d AS (SELECT pair, w, x.t, x.x - y.x AS x "
+       f"FROM pr JOIN sw x ON x.ch = a JOIN sg y ON y.ch = c AND y.t = x.t) "
+       f"SELECT pair::BIGINT AS pair, w, t % {LENGTH} AS t, {S.r6('(x - avg(x) OVER q) / (stddev_pop(x) OVER q + 1e-8)')} "
+       f"AS z FROM d WINDOW q AS (PARTITION BY pair, w)")
+def bipolar_window_zscore(spark, sf):
+    """Channel differences of whole windows, standardised per window."""
+    d = signal.bipolar_windows(signal_windows(spark, sf), ["w"], "ch", PAIRS)
+    z = d.select(F.col("pair").cast("bigint").alias("pair"), "w",
+                 F.posexplode(signal.row_zscored(F.col("samples"))).alias("t", "z"))
+    return z.select("pair", "w", F.col("t").cast("bigint").alias("t"), r6("z").alias("z"))
+
+
 @query("lempel_ziv")
 def lempel_ziv(spark, sf):
     return signal_windows(spark, sf).select(

@@ -10,7 +10,8 @@ from isochord.operators import calibrate as cal
 from isochord.operators import permute, shift_curve, stats
 from isochord.plans import bindings as B
 from isochord.plans import sqltext as S
-from isochord.plans.alignment import (ALPHA, MCAL, edges, model_calibration, rounded, rsql)
+from isochord.plans.alignment import (ALPHA, MCAL, edges, layer_curve, model_calibration, rounded,
+                                      rsql)
 from isochord.plans.registry import query
 
 K, DRAWS, BLOCK_LEN = B.K, 40, 30
@@ -86,28 +87,56 @@ def block_perm_null(spark, sf):
 
 
 TRUNC = [0, 1, -1, 25, -25]
+TRUNC_SQL = (
+    f"WITH {S.spaces(S.LAYERED)}, sh AS (SELECT unnest({TRUNC}) AS s), "
+    f"cut AS (SELECT side, layer, s, w - greatest(CASE WHEN side = 'a' THEN s ELSE -s END, 0) "
+    f"AS w, v FROM sp, sh, nw WHERE w >= greatest(CASE WHEN side = 'a' THEN s ELSE -s END, 0) "
+    f"AND w < n - greatest(CASE WHEN side = 'a' THEN -s ELSE s END, 0)), "
+    f"nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side, layer, s, i "
+    f"ORDER BY sim DESC, j) AS rank FROM (SELECT x.side, x.layer, x.s, x.w AS i, y.w AS j, "
+    f"round(list_cosine_similarity(x.v, y.v), 12) AS sim FROM cut x JOIN cut y "
+    f"ON x.side = y.side AND x.layer = y.layer AND x.s = y.s AND x.w <> y.w)) "
+    f"WHERE rank <= {K}), hs AS (SELECT a.s, a.layer AS la, b.layer AS lb, count(*) AS c "
+    f"FROM nn a JOIN nn b ON a.side = 'a' AND b.side = 'b' AND a.s = b.s AND a.i = b.i "
+    f"AND a.j = b.j GROUP BY ALL), tr AS (SELECT sh.s::BIGINT AS shift, "
+    f"coalesce(max(c), 0) / ((max(n) - abs(sh.s)) * {K})::DOUBLE AS score "
+    f"FROM sh LEFT JOIN hs ON sh.s = hs.s, nw GROUP BY sh.s) ")
+
+
+def truncated_curve(spark, sf):
+    a = B.side(spark, sf, "a", B.LAYERED, "la")
+    b = B.side(spark, sf, "b", B.LAYERED, "lb")
+    return shift_curve.truncating_scores(a, b, ["la"], ["lb"], ["grid"],
+                                         B.window_count(spark, sf), K, TRUNC)
 
 
-@query("truncating_shift", f"WITH {S.spaces(S.LAYERED)}, sh AS (SELECT unnest({TRUNC}) AS s), "
-       f"cut AS (SELECT side, layer, s, w - greatest(CASE WHEN side = 'a' THEN s ELSE -s END, 0) "
-       f"AS w, v FROM sp, sh, nw WHERE w >= greatest(CASE WHEN side = 'a' THEN s ELSE -s END, 0) "
-       f"AND w < n - greatest(CASE WHEN side = 'a' THEN -s ELSE s END, 0)), "
-       f"nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side, layer, s, i "
-       f"ORDER BY sim DESC, j) AS rank FROM (SELECT x.side, x.layer, x.s, x.w AS i, y.w AS j, "
-       f"round(list_cosine_similarity(x.v, y.v), 12) AS sim FROM cut x JOIN cut y "
-       f"ON x.side = y.side AND x.layer = y.layer AND x.s = y.s AND x.w <> y.w)) "
-       f"WHERE rank <= {K}), hs AS (SELECT a.s, a.layer AS la, b.layer AS lb, count(*) AS c "
-       f"FROM nn a JOIN nn b ON a.side = 'a' AND b.side = 'b' AND a.s = b.s AND a.i = b.i "
-       f"AND a.j = b.j GROUP BY ALL) SELECT sh.s::BIGINT AS shift, "
-       f"{S.r6(f'coalesce(max(c), 0) / ((max(n) - abs(sh.s)) * {K})')} AS score "
-       f"FROM sh LEFT JOIN hs ON sh.s = hs.s, nw GROUP BY sh.s")
+@query("truncating_shift", TRUNC_SQL + f"SELECT shift, {S.r6('score')} AS score FROM tr")
 def truncating_shift(spark, sf):
     """Both sides cut to the overlap and searched anew at every shift."""
-    a = B.side(spark, sf, "a", B.LAYERED, "la")
-    b = B.side(spark, sf, "b", B.LAYERED, "lb")
-    out = shift_curve.truncating_scores(a, b, ["la"], ["lb"], ["grid"],
-                                        B.window_count(spark, sf), K, TRUNC)
-    return out.select(F.col("shift").cast("bigint").alias("shift"), r6("score").alias("score"))
+    return truncated_curve(spark, sf).select(F.col("shift").cast("bigint").alias("shift"),
+                                             r6("score").alias("score"))
+
+
+@query("truncating_shift_p", TRUNC_SQL + f"SELECT {S.r6('max(o)')} AS obs, "
+       f"{S.r6('(1 + count(*) FILTER (score >= o)) / (count(*) + 1)')} AS p FROM tr, "
+       f"(SELECT score AS o FROM tr WHERE shift = 0)")
+def truncating_shift_p(spark, sf):
+    """Unshifted score among all shifts, itself included."""
+    return rounded(cal.grid_p(truncated_curve(spark, sf), ["grid"], F.col("shift") == 0), [],
+                   ["obs", "p"])
+
+
+@query("subject_cells", f"WITH {S.spaces(S.SUBJECTS)}, {S.knn()}, {S.curve()}, "
+       f"{S.cyclic('cv', 'subject')} SELECT {S.r6('avg(excess)')} AS excess, "
+       f"{S.r6('avg(s_cal)')} AS s_cal, count(*) FILTER (p <= {ALPHA})::BIGINT AS n_sig, "
+       f"count(*)::BIGINT AS n_cells FROM cal")
+def subject_cells(spark, sf):
+    """Mean over subjects of each subject's own calibration, and how many clear alpha."""
+    c = cal.calibrate_cyclic(layer_curve(spark, sf, B.SUBJECTS), ["subject"],
+                             B.window_count(spark, sf), ALPHA)
+    return c.agg(r6(F.avg("excess")).alias("excess"), r6(F.avg("s_cal")).alias("s_cal"),
+                 F.count_if(F.col("p") <= ALPHA).alias("n_sig"),
+                 F.count(F.lit(1)).alias("n_cells"))
 
 
 # -- families of models --------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from isochord.functions.vectors import r6
+from isochord.functions.vectors import dot, doubles, l2, r6, softmax
 from isochord.operators import decode, geometry, regrid, stats
 from isochord.plans import bindings as B
 from isochord.plans import sqltext as S
@@ -91,6 +91,31 @@ def local_twonn(spark, sf):
             .select(F.col("i").alias("w"), r6("local_id").alias("local_id")))
 
 
+@query("zero_shot_labels", f"WITH {S.E}, ex AS (SELECT w, label, unnest(range(1, 65)) AS f, "
+       f"unnest(v) AS x FROM e), ce AS (SELECT label, f, avg(x) AS x FROM ex GROUP BY 1, 2), "
+       f"nm AS (SELECT label, sqrt(sum(x * x)) + 1e-12 AS l FROM ce GROUP BY 1), "
+       f"lg AS (SELECT ex.w, ce.label, 20 * sum(ex.x * ce.x) / max(l) / (max(sqrt(list_dot_product("
+       f"e.v, e.v))) + 1e-12) AS s FROM ex JOIN ce ON ex.f = ce.f JOIN nm ON nm.label = ce.label "
+       f"JOIN e ON e.w = ex.w GROUP BY 1, 2) SELECT w, label::BIGINT AS label, "
+       f"{S.r6('exp(s - max(s) OVER q) / sum(exp(s)) OVER q * exp(max(s) OVER q)')} AS p FROM lg "
+       f"WINDOW q AS (PARTITION BY w)")
+def zero_shot_labels(spark, sf):
+    """Softmax over the similarity of a window to every label's direction (20 x cosine)."""
+    emb = B.embeddings(spark, sf).withColumn("v", doubles("embedding"))
+    # one array of label directions: as many entries as there are labels
+    centres = (emb.select("label", F.posexplode("v").alias("pos", "x"))
+               .groupBy("label", "pos").agg(F.avg("x").alias("x"))
+               .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"))
+               .select("label", l2(F.transform("c", lambda c: c["x"])).alias("c"))
+               .agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("centres")))
+    scores = F.transform("centres", lambda c: 20.0 * dot(F.col("u"), c["c"]))
+    labels = F.transform("centres", lambda c: c["label"])
+    pairs = F.arrays_zip(labels.alias("label"), softmax(scores).alias("p"))
+    return (emb.select("w", l2(F.col("v")).alias("u")).join(F.broadcast(centres))
+            .select("w", F.explode(pairs).alias("s"))
+            .select("w", F.col("s.label").cast("bigint").alias("label"), r6("s.p").alias("p")))
+
+
 # -- grids ---------------------------------------------------------------------------
 
 @query("subject_mean", "WITH " + S.spaces(S.SUBJECTS) + " SELECT w, pos, "
