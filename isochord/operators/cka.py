@@ -125,8 +125,7 @@ def cka_without_top(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[
                .withColumn("w", modulo(F.col("w") + F.col("shift"), n_windows)))
     both = (a.select(*on, *a_keys, "w", F.col("vec").alias("vec_a")).join(rotated, [*on, "w"])
             .select(*keys, F.concat("vec_a", "vec_b").alias("vec"), F.size("vec_a").alias("dim")))
-    dims = both.groupBy(*keys).agg(F.max("dim").alias("dim"))
-    m = moment_matrix(both, keys, "vec").join(dims, keys)
+    m = moment_matrix(both, [*keys, "dim"], "vec")
     schema = T.StructType([m.schema[c] for c in keys]
                           + [T.StructField("r", T.IntegerType()),
                              T.StructField("cka", T.DoubleType())])

@@ -91,8 +91,7 @@ def ridge_r2(emb: DataFrame, features: DataFrame, keys: list[str], feature_keys:
     both = (x.join(y, [*feature_keys, "w"]).filter(F.col("w") < n_windows)
             .select(*keys, fold_of(F.col("w"), n_windows).alias("fold"),
                     F.concat("x", "y").alias("xy"), F.size("x").alias("dim")))
-    dims = both.groupBy(*keys).agg(F.max("dim").alias("dim"))
-    folds = moment_matrix(both, [*keys, "fold"], "xy").join(dims, keys)
+    folds = moment_matrix(both, [*keys, "dim", "fold"], "xy")
     schema = T.StructType([folds.schema[c] for c in keys]
                           + [T.StructField("feature", T.StringType()),
                              T.StructField("r2", T.DoubleType())])

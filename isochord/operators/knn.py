@@ -17,10 +17,13 @@ from pyspark.sql import types as T
 
 from isochord.operators.ordered import attach
 
-# rows of one block: lower it for very wide vectors, a task holds two blocks
-BLOCK_ROWS = 4096
-QUERY_ROWS = 512
+# A task holds two blocks. Larger blocks mean fewer copies of each row in the shuffle, smaller
+# ones more tasks; blocks grow with the space from the first to the second number of rows.
+BLOCK_ROWS = (4096, 16384)
+BLOCKS_WANTED = 64
+QUERY_ROWS = 256
 TIE_DIGITS = 12
+SLACK = 1e-11
 
 
 def _matrix(column) -> np.ndarray:
@@ -43,18 +46,22 @@ def _best(query, query_w, other, other_w, k, excl, metric):
         if metric == "euclidean":
             q_sq = np.einsum("ij,ij->i", q, q)
             score = 2.0 * score - q_sq[:, None] - other_sq[None, :]
+        if excl:
+            barred = np.abs(qw[:, None] - other_w[None, :]) <= excl
         else:
-            score = np.round(score, TIE_DIGITS)
-        score[np.abs(qw[:, None] - other_w[None, :]) <= excl] = -np.inf
+            barred = qw[:, None] == other_w[None, :]
+        score[barred] = -np.inf
         if n_other > k:
             limit = np.partition(score, n_other - k, axis=1)[:, n_other - k]
         else:
             limit = np.full(len(qw), -np.inf)
-        r, c = np.nonzero((score >= limit[:, None]) & np.isfinite(score))
-        s = score[r, c]
-        if metric == "euclidean" and len(r):
+        # the slack keeps everything that may still tie once rounded
+        r, c = np.nonzero((score >= limit[:, None] - SLACK) & np.isfinite(score))
+        if metric == "euclidean":
             diff = q[r] - other[c]
             s = np.round(-np.sqrt(np.einsum("ij,ij->i", diff, diff)), TIE_DIGITS)
+        else:
+            s = np.round(score[r, c], TIE_DIGITS)
         order = np.lexsort((other_w[c], -s, r))
         r, c, s = r[order], c[order], s[order]
         first = np.searchsorted(r, r)  # where the run of this query row starts
@@ -78,32 +85,36 @@ def with_block_pairs(emb: DataFrame, keys: list[str], n_blocks) -> DataFrame:
             .select(*keys, "w", "vec", "block", "pair.lo", "pair.hi"))
 
 
-def blocked(emb: DataFrame, keys: list[str], block_rows: int,
+def blocked(emb: DataFrame, keys: list[str], block_rows: int | None,
             n_windows: int | None) -> tuple[DataFrame, bool]:
     """Rows with their block pairs, and whether a single block holds every space.
 
     Where the number of windows is known, neither a count nor a join is needed.
     """
     if n_windows is not None:
-        n = -(-n_windows // block_rows)
+        rows = block_rows or max(BLOCK_ROWS[0], min(BLOCK_ROWS[1], n_windows // BLOCKS_WANTED))
+        n = -(-n_windows // rows)
         if n == 1:
             zero = F.lit(0)
             return emb.select("*", zero.alias("block"), zero.alias("lo"), zero.alias("hi")), True
         return with_block_pairs(emb, keys, F.lit(n)), False
-    sizes = emb.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n_blocks"))
+    count = F.count(F.lit(1))
+    rows = F.lit(block_rows) if block_rows else F.greatest(
+        F.lit(BLOCK_ROWS[0]), F.least(F.lit(BLOCK_ROWS[1]), count / F.lit(BLOCKS_WANTED)))
+    sizes = emb.groupBy(*keys).agg(F.ceil(count / rows).cast("int").alias("n_blocks"))
     return with_block_pairs(attach(emb, sizes, keys), keys, F.col("n_blocks")), False
 
 
 def knn_edges(emb: DataFrame, keys: list[str], k: int = 5, excl: int = 0,
-              metric: str = "cosine", block_rows: int = BLOCK_ROWS,
+              metric: str = "cosine", block_rows: int | None = None,
               n_windows: int | None = None) -> DataFrame:
     """Directed edges (keys, i, j, rank, sim) to the k nearest other windows.
 
     ``emb`` has the key columns, ``w`` (bigint) and ``vec``. ``excl`` bars neighbours
     within that many windows. ``sim`` is the cosine, or the negative distance for
     ``metric="euclidean"``. Ties go to the smaller window index. ``n_windows``, if known,
-    is the largest number of windows of any space; it only decides how spaces are cut.
+    is the largest number of windows of any space; like ``block_rows``, to be lowered for very
+    wide vectors, it only decides how spaces are cut.
     """
     names = list(keys)
     schema = T.StructType(
