@@ -272,6 +272,41 @@ def ridge_cv_r2(spark, sf):
     return rounded(layer_r2(spark, sf), ["la", "feature"], ["r2"])
 
 
+PLANE = [("a", 0, "s0", 1, 2)]
+PENALTIES = ", ".join(repr(float(a)) for a in decode.ALPHAS)
+
+
+@query("ridge_cv_r2_plane", f"WITH {S.spaces(PLANE)}, x AS (SELECT w, v[1] / (sqrt(list_dot_product(v, v)) "
+       f"+ 1e-12) AS x1, v[2] / (sqrt(list_dot_product(v, v)) + 1e-12) AS x2 FROM sp), "
+       f"t0 AS (SELECT e.w, label::DOUBLE AS label, (label = 0)::INT::DOUBLE AS label_zero, "
+       f"coalesce(d.n_chars, avg(d.n_chars) OVER ())::DOUBLE AS n_chars FROM e LEFT JOIN documents d "
+       f"ON d.doc_id = e.w), tg AS (SELECT w, unnest(['label', 'label_zero', 'n_chars']) AS feature, "
+       f"unnest([label, label_zero, n_chars]) AS y FROM t0), "
+       f"al AS (SELECT x.*, feature, y, (w >= n // 5)::INT + (w >= n * 2 // 5)::INT + "
+       f"(w >= n * 3 // 5)::INT + (w >= n * 4 // 5)::INT AS fold FROM x JOIN tg USING (w), nw), "
+       f"fo AS (SELECT unnest(range(5)) AS f), "
+       f"tr AS (SELECT f, feature, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) + 1e-8 AS s1, "
+       f"stddev_pop(x2) + 1e-8 AS s2, avg(y) AS ym FROM al, fo WHERE fold <> f GROUP BY 1, 2), "
+       f"g AS (SELECT f, feature, sum(((x1 - m1) / s1) ** 2) AS g11, sum(((x2 - m2) / s2) ** 2) AS g22, "
+       f"sum((x1 - m1) / s1 * (x2 - m2) / s2) AS g12, sum((x1 - m1) / s1 * (y - ym)) AS c1, "
+       f"sum((x2 - m2) / s2 * (y - ym)) AS c2 FROM al JOIN tr USING (feature) WHERE fold <> f "
+       f"GROUP BY 1, 2), "
+       f"b AS (SELECT g.f, g.feature, a, ((g22 + a) * c1 - g12 * c2) / ((g11 + a) * (g22 + a) - g12 * g12) "
+       f"AS b1, ((g11 + a) * c2 - g12 * c1) / ((g11 + a) * (g22 + a) - g12 * g12) AS b2 FROM g, "
+       f"(SELECT unnest([{PENALTIES}]::DOUBLE[]) AS a)), "
+       f"r AS (SELECT b.f, b.feature, b.a, greatest(-10.0, least(1.0, 1 - sum((y - ym - b1 * (x1 - m1) / s1 "
+       f"- b2 * (x2 - m2) / s2) ** 2) / (var_pop(y) * count(*) + 1e-12))) AS r2 FROM b JOIN tr "
+       f"ON tr.f = b.f AND tr.feature = b.feature JOIN al ON al.feature = b.feature AND al.fold = b.f "
+       f"GROUP BY 1, 2, 3 HAVING var_pop(y) > 1e-9), "
+       f"m AS (SELECT feature, a, avg(r2) AS r2 FROM r GROUP BY 1, 2) "
+       f"SELECT feature, {S.r6('max(r2)')} AS r2 FROM m GROUP BY 1")
+def ridge_cv_r2_plane(spark, sf):
+    """Cross-validated ridge from two columns, small enough to be solved in plain SQL."""
+    emb = B.side(spark, sf, "a", PLANE, "la")
+    return rounded(decode.ridge_r2(emb, window_targets(spark, sf), ["grid", "la"], ["grid"], TARGETS,
+                                   B.window_count(spark, sf)), ["feature"], ["r2"])
+
+
 @query("decodability")
 def decodability(spark, sf):
     return rounded(decode.decodability(layer_r2(spark, sf), ["grid"]), [], ["decodability"])
