@@ -22,6 +22,8 @@ from isochord.operators.moments import (augmented, centred_square_norm, cross_pr
                                         moment_matrix)
 
 
+SALT = 8
+
 
 def feature_block_for(n_windows: int) -> int:
     """Features kept together: about two million numbers, so long series travel singly."""
@@ -86,7 +88,13 @@ def cka_all_shifts(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[s
               .withColumnsRenamed({"fb": f"fb_{s}", "n_features": f"n_{s}",
                                    "spectrum": f"spec_{s}"})
               for x, k, s in ((a, a_keys, "a"), (b, b_keys, "b")))
-    tiles = sa.join(sb, on)
+    # spaces of one grid all meet each other: spread the meeting over SALT x SALT cells
+    mine = {x: F.pmod(F.xxhash64(*k, f"fb_{x}"), F.lit(SALT)).cast("int")
+            for x, k in (("a", a_keys), ("b", b_keys))}
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    sa = sa.withColumn("salt_a", mine["a"]).withColumn("salt_b", every)
+    sb = sb.withColumn("salt_b", mine["b"]).withColumn("salt_a", every)
+    tiles = sa.join(sb, [*on, "salt_a", "salt_b"]).drop("salt_a", "salt_b")
     schema = T.StructType([tiles.schema[c] for c in keys]
                           + [T.StructField("d", T.LongType()),
                              T.StructField("v", T.DoubleType())])

@@ -16,6 +16,7 @@ from isochord.session import written
 # -- geometry ------------------------------------------------------------------------
 
 FULL = [("a", 0, "s0", 1, 64)]
+PLANE = [("a", 0, "s0", 1, 2)]
 
 
 def whole(spark, sf):
@@ -66,6 +67,21 @@ def effective_rank(spark, sf):
     return rounded(out, ["la"], ["participation_ratio", "effective_rank"])
 
 
+@query("effective_rank_plane", f"WITH {S.spaces([('a', 0, 's0', 1, 2)])}, m AS (SELECT "
+       f"var_pop(v[1]) * count(*) AS p, var_pop(v[2]) * count(*) AS q, "
+       f"covar_pop(v[1], v[2]) * count(*) AS r FROM sp), ev AS (SELECT "
+       f"(p + q + sqrt((p - q) ** 2 + 4 * r * r)) / 2 AS e1, "
+       f"(p + q - sqrt((p - q) ** 2 + 4 * r * r)) / 2 AS e2 FROM m), "
+       f"s AS (SELECT e1 / (e1 + e2) AS s1, e2 / (e1 + e2) AS s2, e1, e2 FROM ev) SELECT "
+       f"{S.r6('(e1 + e2) ** 2 / (e1 * e1 + e2 * e2 + 1e-12)')} AS participation_ratio, "
+       f"{S.r6('exp(-s1 * ln(s1) - s2 * ln(s2))')} AS effective_rank, {S.r6('s1')} AS top_share FROM s")
+def effective_rank_plane(spark, sf):
+    """Spectrum of two columns, whose eigenvalues plain SQL can solve."""
+    out = geometry.spectrum_stats(B.side(spark, sf, "a", PLANE, "la"), ["la"], 2)
+    return rounded(out.withColumn("top_share", F.col("eigenspectrum")[0]), [],
+                   ["participation_ratio", "effective_rank", "top_share"])
+
+
 @query("eigenspectrum")
 def eigenspectrum(spark, sf):
     out = geometry.spectrum_stats(whole(spark, sf), ["grid"])
@@ -272,7 +288,6 @@ def ridge_cv_r2(spark, sf):
     return rounded(layer_r2(spark, sf), ["la", "feature"], ["r2"])
 
 
-PLANE = [("a", 0, "s0", 1, 2)]
 PENALTIES = ", ".join(repr(float(a)) for a in decode.ALPHAS)
 
 
