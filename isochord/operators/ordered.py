@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_RANGES = 256
+
 
 def attach(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """Adds per-key totals to every row; without keys ``totals`` is a single row."""
@@ -20,9 +22,10 @@ def attach(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
 def values_bounds(df: DataFrame, values: list[str]) -> list[list[float]]:
     """Approximate quantiles of several columns in one pass, as range bounds.
 
-    As many ranges as shuffle partitions; this small list is all the driver sees.
+    As many ranges as shuffle partitions, up to ``MAX_RANGES``; this small list is all the
+    driver sees.
     """
-    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = min(MAX_RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     found = df.stat.approxQuantile(values, [i / n for i in range(1, n)], 0.01)
     return [sorted(set(f)) for f in found]
 
@@ -32,11 +35,14 @@ def value_bounds(df: DataFrame, value: str) -> list[float]:
 
 
 def range_of(value: Column, bounds: list[float]) -> Column:
-    """Number of bounds below the value; NULL-free because values are."""
-    if not bounds:
-        return F.lit(0)
-    fixed = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(fixed, lambda b: b < value))
+    """Number of bounds below the value, by bisection; NULL-free because values are."""
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value <= F.lit(float(bounds[mid])), among(lo, mid)).otherwise(
+            among(mid + 1, hi))
+    return among(0, len(bounds))
 
 
 def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, str],
@@ -95,10 +101,14 @@ def value_counts(df: DataFrame, keys: list[str], value: str,
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str,
-                  bounds: list[float] | None = None) -> DataFrame:
-    """(keys, value, n, average rank of the tied group), one row per distinct value."""
+                  bounds: list[float] | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, value, n, average rank of the tied group), one row per distinct value.
+
+    Rows that are counts already say so by their ``weight``.
+    """
     bounds = value_bounds(df, value) if bounds is None else bounds
-    run = running(value_counts(df, keys, value), keys, value, {"__cum": "n"}, bounds)
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    run = running(df.groupBy(*keys, value).agg(n.alias("n")), keys, value, {"__cum": "n"}, bounds)
     return run.select(*keys, value, "n",
                       (F.col("__cum") - (F.col("n") - 1) / 2.0).alias(name))
 

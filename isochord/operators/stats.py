@@ -126,10 +126,11 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str,
     d = df.select(*keys, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     if bounds_x is None or bounds_y is None:
         bounds_x, bounds_y = values_bounds(d, [x, y])
-    rx = average_ranks(d, keys, x, "rx", bounds_x).drop("n")
-    ry = average_ranks(d, keys, y, "ry", bounds_y).drop("n")
-    both = d.groupBy(*keys, x, y).agg(F.count(F.lit(1)).cast("double").alias("m"))
-    both = both.join(rx, [*keys, x]).join(ry, [*keys, y])
+    # one exchange of the joint counts serves both rankings and the sums
+    joint = d.groupBy(*keys, x, y).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    rx = average_ranks(joint, keys, x, "rx", bounds_x, "m").drop("n")
+    ry = average_ranks(joint, keys, y, "ry", bounds_y, "m").drop("n")
+    both = joint.join(rx, [*keys, x]).join(ry, [*keys, y])
     m, a, b = F.col("m"), F.col("rx"), F.col("ry")
     s = both.groupBy(*keys).agg(
         F.sum(m).alias("n"), F.sum(m * a).alias("sa"), F.sum(m * b).alias("sb"),
