@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from isochord.llm import queries_lines_mix as lines_mix
+from isochord.llm import queries_near_dedup as near_dedup
 
 QUERIES = {
+    "op5_simhash": near_dedup.op5_simhash,
     "op8_source_mix": lines_mix.op8_source_mix,
     "op10_line_dedup": lines_mix.op10_line_dedup,
 }
