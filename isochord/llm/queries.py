@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from isochord.llm import queries_decontamination as decontamination
 from isochord.llm import queries_lines_mix as lines_mix
 from isochord.llm import queries_near_dedup as near_dedup
 
 QUERIES = {
     "op5_simhash": near_dedup.op5_simhash,
+    "op6_decontaminate": decontamination.op6_decontaminate,
     "op8_source_mix": lines_mix.op8_source_mix,
     "op10_line_dedup": lines_mix.op10_line_dedup,
 }
 
 ORACLES = {
+    "op6_decontaminate": decontamination.OP6_SQL,
     "op8_source_mix": lines_mix.OP8_SQL,
     "op10_line_dedup": lines_mix.OP10_SQL,
 }
