@@ -5,6 +5,7 @@ from __future__ import annotations
 from isochord.llm import queries_decontamination as decontamination
 from isochord.llm import queries_lines_mix as lines_mix
 from isochord.llm import queries_near_dedup as near_dedup
+from isochord.llm import queries_tokens as tokens
 from isochord.llm import queries_warc as warc
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_simhash": near_dedup.op5_simhash,
     "op6_decontaminate": decontamination.op6_decontaminate,
     "op8_source_mix": lines_mix.op8_source_mix,
+    "op9_token_counts": tokens.op9_token_counts,
     "op10_line_dedup": lines_mix.op10_line_dedup,
 }
 
