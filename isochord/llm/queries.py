@@ -5,11 +5,13 @@ from __future__ import annotations
 from isochord.llm import queries_decontamination as decontamination
 from isochord.llm import queries_lines_mix as lines_mix
 from isochord.llm import queries_near_dedup as near_dedup
+from isochord.llm import queries_substrings as substrings
 from isochord.llm import queries_tokens as tokens
 from isochord.llm import queries_warc as warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op5_simhash": near_dedup.op5_simhash,
     "op6_decontaminate": decontamination.op6_decontaminate,
     "op8_source_mix": lines_mix.op8_source_mix,
@@ -19,6 +21,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
+    "op3_substring_dedup": substrings.OP3_SQL,
     "op6_decontaminate": decontamination.OP6_SQL,
     "op8_source_mix": lines_mix.OP8_SQL,
     "op10_line_dedup": lines_mix.OP10_SQL,

@@ -55,12 +55,20 @@ def _powers(n: int, base: int) -> np.ndarray:
     return known[:n]
 
 
+def running_hashes(data: np.ndarray):
+    """A function (starts, ends) -> 64-bit hashes of these spans, from one running sum."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data), _BASE), out=total[1:])
+    inverse = _powers(len(data) + 1, _INVERSE)
+
+    def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((total[ends] - total[starts]) * inverse[starts])
+    return spans
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, from differences of one running sum."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data.astype(np.uint64) * _powers(len(data), _BASE), out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(len(data) + 1, _INVERSE)[starts]
-    return mixed(h + (ends - starts).astype(np.uint64))
+    return running_hashes(data)(starts, ends)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
