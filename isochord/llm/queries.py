@@ -11,6 +11,7 @@ from isochord.llm import queries_warc as warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_embedding_dedup": near_dedup.op2_embedding_dedup,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op5_simhash": near_dedup.op5_simhash,
     "op6_decontaminate": decontamination.op6_decontaminate,
@@ -21,7 +22,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
-    "op3_substring_dedup": substrings.OP3_SQL,
+    "op2_embedding_dedup": near_dedup.OP2_SQL,
     "op6_decontaminate": decontamination.OP6_SQL,
     "op8_source_mix": lines_mix.OP8_SQL,
     "op10_line_dedup": lines_mix.OP10_SQL,
