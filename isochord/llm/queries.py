@@ -5,6 +5,7 @@ from __future__ import annotations
 from isochord.llm import queries_decontamination as decontamination
 from isochord.llm import queries_lines_mix as lines_mix
 from isochord.llm import queries_near_dedup as near_dedup
+from isochord.llm import queries_quality as quality
 from isochord.llm import queries_substrings as substrings
 from isochord.llm import queries_tokens as tokens
 from isochord.llm import queries_warc as warc
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_embedding_dedup": near_dedup.op2_embedding_dedup,
     "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op4_quality": quality.op4_quality,
     "op5_simhash": near_dedup.op5_simhash,
     "op6_decontaminate": decontamination.op6_decontaminate,
     "op8_source_mix": lines_mix.op8_source_mix,
