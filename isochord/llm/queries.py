@@ -6,6 +6,7 @@ from isochord.llm import queries_decontamination as decontamination
 from isochord.llm import queries_lines_mix as lines_mix
 from isochord.llm import queries_near_dedup as near_dedup
 from isochord.llm import queries_quality as quality
+from isochord.llm import queries_secrets as secrets
 from isochord.llm import queries_substrings as substrings
 from isochord.llm import queries_tokens as tokens
 from isochord.llm import queries_warc as warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_simhash": near_dedup.op5_simhash,
     "op6_decontaminate": decontamination.op6_decontaminate,
+    "op7_secrets": secrets.op7_secrets,
     "op8_source_mix": lines_mix.op8_source_mix,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_line_dedup": lines_mix.op10_line_dedup,
