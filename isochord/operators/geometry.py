@@ -97,20 +97,31 @@ def mle_id(emb: DataFrame, keys: list[str], k1: int = 10, k2: int = 20,
     return per_k.groupBy(*keys).agg(F.when(inv > 0, 1 / inv).alias("mle_id"))
 
 
-def _twonn_points(x: np.ndarray) -> float | None:
-    """TwoNN of one small neighbourhood (at most k points)."""
-    n = len(x)
-    if n < 4:
-        return None
-    gap = np.sqrt(np.square(x[:, None, :] - x[None, :, :]).sum(-1))
-    near = np.sort(gap, axis=1)
-    mu = near[:, 2] / np.maximum(near[:, 1], 1e-12)
-    mu = np.sort(mu[mu > 1.0 + 1e-12])
-    if len(mu) < 4:
-        return None
-    mu = mu[:max(int(len(mu) * 0.9), 4)]
-    f = np.arange(1, len(mu) + 1) / (len(mu) + 1)
-    return float(np.polyfit(np.log(mu), -np.log(1 - f), 1)[0])
+def _local_dims(x: np.ndarray, keep: float = 0.9) -> np.ndarray:
+    """TwoNN of many small neighbourhoods ``[group, point, feature]`` at once.
+
+    Ratios that don't exceed one sort to the end and have no weight in the regression.
+    """
+    groups, points, _ = x.shape
+    if points < 4:
+        return np.full(groups, np.nan)
+    gap = np.square(x[:, :, None, :] - x[:, None, :, :]).sum(axis=-1)
+    gap[:, np.arange(points), np.arange(points)] = np.inf
+    pair = np.sqrt(np.partition(gap, 1, axis=2)[:, :, :2])
+    ratio = pair[:, :, 1] / np.maximum(pair[:, :, 0], 1e-12)
+    ratio = np.sort(np.where(ratio > 1.0 + 1e-12, ratio, np.inf), axis=1)
+    usable = np.isfinite(ratio).sum(axis=1)
+    kept = np.minimum(np.maximum((usable * keep).astype(int), 4), usable)[:, None]
+    place = np.arange(1, points + 1)[None, :]
+    weight = (place <= kept).astype(float)
+    u = np.where(weight > 0, np.log(np.where(np.isfinite(ratio), ratio, 1.0)), 0.0)
+    v = np.where(weight > 0, -np.log1p(-np.minimum(place / (kept + 1), 0.999999)), 0.0)
+    n = weight.sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mu, mv = u.sum(axis=1) / n, v.sum(axis=1) / n
+        du = weight * (u - mu[:, None])
+        slope = (du * (v - mv[:, None])).sum(axis=1) / (du * du).sum(axis=1)
+    return np.where(usable >= 4, slope, np.nan)
 
 
 def local_twonn(emb: DataFrame, keys: list[str], k: int = 20,
@@ -125,11 +136,15 @@ def local_twonn(emb: DataFrame, keys: list[str], k: int = 20,
 
     def estimate(batches):
         for pdf in batches:
-            ids = []
-            for group in pdf["near"]:
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in group])
-                x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
-                ids.append(_twonn_points(x))
-            yield pdf[[*keys, "i"]].assign(local_id=pd.Series(ids, dtype="float64"))
+            sizes = pdf["near"].map(len)
+            dims = pd.Series(np.nan, index=pdf.index)
+            for size, at in sizes.groupby(sizes).groups.items():
+                # slices bound the pairwise differences that are held at once
+                for lo in range(0, len(at), 64):
+                    part = at[lo:lo + 64]
+                    x = np.stack([np.stack(v) for v in pdf.loc[part, "near"]]).astype(float)
+                    x /= np.linalg.norm(x, axis=2, keepdims=True) + 1e-12
+                    dims[part] = _local_dims(x)
+            yield pdf[[*keys, "i"]].assign(local_id=dims.where(dims.notna(), None).astype(float))
 
     return near.mapInPandas(estimate, schema)
