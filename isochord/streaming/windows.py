@@ -1,14 +1,20 @@
 """Tumbling windows over streams of events or signal segments.
 
-Windows need not be a multiple of the segment length: segments are opened into samples
-with their own event time, and Spark's state carries what a segment leaves over. A window
-is emitted once the watermark has passed its end, so an incomplete tail never appears.
+Windows need not be a multiple of the segment length: a segment is cut at window borders and
+each piece goes to its window, whose state waits until all samples are there. A window is emitted
+as soon as it is full, in whatever order segments come; an incomplete one never appears.
+Statistics of event windows are emitted as the watermark passes; the windows still open when a
+stream has ended are added from a batch over their events.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from isochord.session import scratch_path
 
@@ -24,32 +30,61 @@ def tumbling_stats(events: DataFrame, keys: list[str], ts: str, value: str, widt
 
 
 def segment_windows(segments: DataFrame, keys: list[str], segment_ms: int, n_samples: int,
-                    window_ms: int, lateness: str, last_window: int | None = None) -> DataFrame:
+                    window_ms: int, last_window: int | None = None) -> DataFrame:
     """(keys, w, samples) from a stream of (keys, seg, samples) in any order.
 
-    Sample k of segment s happens at s * segment_ms + k * segment_ms / n_samples. Segments
-    past ``last_window`` are not read; windows with samples missing are dropped.
+    Sample k of segment s is sample s * n_samples + k of the recording; window w holds the
+    samples of ``window_ms``. Segments past ``last_window`` are not read.
     """
     per_window = window_ms * n_samples // segment_ms
     if last_window is not None:
         segments = segments.filter(F.col("seg") * segment_ms < (last_window + 1) * window_ms)
-    micros = (F.col("seg") * (segment_ms * 1000)
-              + F.floor(F.col("pos") * (segment_ms * 1000.0 / n_samples)))
-    samples = (segments.select(*keys, "seg", F.posexplode("samples").alias("pos", "x"))
-               .select(*keys, (F.col("seg") * n_samples + F.col("pos")).alias("t"), "x",
-                       F.timestamp_micros(micros.cast("bigint")).alias("ts")))
-    held = F.array_sort(F.collect_list(F.struct("t", "x")))
-    out = (samples.withWatermark("ts", lateness)
-           .groupBy(*keys, F.window("ts", f"{window_ms} milliseconds").alias("__w"))
-           .agg(held.alias("__s")).filter(F.size("__s") == per_window))
-    start = F.unix_micros(F.col("__w.start"))
-    out = out.select(*keys, F.floor(start / (window_ms * 1000)).cast("bigint").alias("w"),
-                     F.transform("__s", lambda s: s["x"]).alias("samples"))
-    return out if last_window is None else out.filter(F.col("w") <= last_window)
+    first = F.col("seg") * n_samples
+    lo = F.greatest(F.col("w") * per_window - first, F.lit(0))
+    hi = F.least((F.col("w") + 1) * per_window - first, F.lit(n_samples))
+    pieces = (segments.select(*keys, "seg", "samples", F.explode(F.sequence(
+        F.floor(first / per_window), F.floor((first + n_samples - 1) / per_window))).alias("w"))
+        .select(*keys, "w", (first + lo).alias("t"), F.slice(
+            "samples", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("piece")))
+    if last_window is not None:
+        pieces = pieces.filter(F.col("w") <= last_window)
+    held = T.StructType([T.StructField("t", T.ArrayType(T.LongType())),
+                         T.StructField("x", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    out = T.StructType([*(segments.schema[k] for k in keys), T.StructField("w", T.LongType()),
+                        T.StructField("samples", T.ArrayType(T.DoubleType()))])
 
+    def fill(key, batches, state):
+        t, x = ([*v] for v in state.get) if state.exists else ([], [])
+        for pdf in batches:
+            t += pdf["t"].tolist()
+            x += [np.asarray(v, float).tolist() for v in pdf["piece"]]
+        if sum(map(len, x)) < per_window:
+            state.update((t, x))
+            return
+        state.remove()
+        order = sorted(range(len(t)), key=t.__getitem__)
+        samples = [v for i in order for v in x[i]]
+        yield pd.DataFrame([[*key, samples]], columns=out.names)
 
-def run_to_table(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
-    """Processes everything now available and returns the table it was written to.
+    return pieces.groupBy(*keys, "w").applyInPandasWithState(
+        fill, out, held, "append", GroupStateTimeout.NoTimeout)
+
+
+def tumbling_table(stream: DataFrame, events: DataFrame, keys: list[str], ts: str, value: str,
+                   width: str, lateness: str, label: str) -> DataFrame:
+    """Every window of a stream that has ended, also those its last watermark left open.
+
+    ``events`` are the stream's events as a batch; only open windows are taken from it.
+    """
+    spark = stream.sparkSession
+    closed, end = run_stream(tumbling_stats(stream, keys, ts, value, width, lateness), spark, label)
+    open_ = (events.withColumn("__open", F.window(ts, width)["end"])
+             .filter(F.col("__open") > F.lit(end).cast("timestamp")).drop("__open"))
+    return closed.unionByName(tumbling_stats(open_, keys, ts, value, width, lateness))
+
+
+def run_stream(stream: DataFrame, spark: SparkSession, label: str) -> tuple[DataFrame, str]:
+    """Processes everything now available; the table it was written to, and the last watermark.
 
     Output and checkpoint lie in the shared folder, so a restart goes on where it stopped.
     """
@@ -58,4 +93,12 @@ def run_to_table(stream: DataFrame, spark: SparkSession, label: str) -> DataFram
          .option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/data")
+    marks = [x["eventTime"]["watermark"] for x in q.recentProgress
+             if "watermark" in (x["eventTime"] or {})]
+    table = spark.read.schema(stream.schema).parquet(f"{base}/data")
+    return table, max(marks, default="1970-01-01T00:00:00.000Z")
+
+
+def run_to_table(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
+    """The table of a stream that needs no watermark."""
+    return run_stream(stream, spark, label)[0]

@@ -330,12 +330,13 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     df = df.withColumn("seg", F.col("seg").cast("bigint"))
     df.repartition(3).write.parquet(src)
     stream = spark.readStream.schema(df.schema).parquet(src)
-    out = windows.segment_windows(stream, ["s"], 800, 8, 2000, "1 hour", last_window=6)
-    done = windows.run_to_table(out, spark, "t")
-    assert done.count() == 0  # nothing is old enough yet
-    out = windows.segment_windows(stream, ["s"], 800, 8, 2000, "0 seconds")
-    got = {r["w"]: r["samples"] for r in windows.run_to_table(out, spark, "t").collect()}
     flat = x.ravel()
-    assert sorted(got) == list(range(7))
-    for w in got:
-        assert got[w] == pytest.approx(list(flat[w * 20:(w + 1) * 20]))
+    for last in (None, 5):
+        out = windows.segment_windows(stream, ["s"], 800, 8, 2000, last_window=last)
+        got = {r["w"]: r["samples"] for r in windows.run_to_table(out, spark, "t").collect()}
+        assert sorted(got) == list(range(8 if last is None else 6))
+        for w in got:
+            assert got[w] == pytest.approx(list(flat[w * 20:(w + 1) * 20]))
+    out = windows.segment_windows(stream, ["s"], 800, 8, 2400)  # a part-window is left over
+    got = sorted(r["w"] for r in windows.run_to_table(out, spark, "t").collect())
+    assert got == list(range(6))
