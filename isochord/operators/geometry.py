@@ -10,11 +10,7 @@ from pyspark.sql import types as T
 
 from isochord.operators.knn import knn_edges
 from isochord.operators.moments import augmented, centred, cross_products, moment_matrix
-from isochord.operators.ordered import running, value_counts
-
-# range bounds for ratios of neighbour distances, which crowd just above one
-RATIO_BOUNDS = [1.001, 1.002, 1.005, 1.01, 1.015, 1.02, 1.03, 1.04, 1.05, 1.07, 1.1, 1.15,
-                1.2, 1.3, 1.5, 2.0, 3.0, 5.0, 10.0]
+from isochord.operators.ordered import by_ratio, running, value_counts
 
 
 def participation_ratio(emb: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,7 +66,7 @@ def twonn_id(emb: DataFrame, keys: list[str], keep_percent: int = 90,
                                       F.max(F.when(F.col("rank") == 2, d)).alias("r2"))
              .withColumn("mu", F.col("r2") / F.greatest("r1", F.lit(1e-12)))
              .filter(F.col("mu") > 1.0 + 1e-12))
-    run = running(value_counts(ratio, keys, "mu"), keys, "mu", {"cum": "n"}, RATIO_BOUNDS)
+    run = running(value_counts(ratio, keys, "mu"), keys, "mu", {"cum": "n"}, by_ratio)
     kept = F.greatest((F.col("cum_all") * keep_percent / 100).cast("bigint"),
                       F.lit(4).cast("bigint"))
     places = (run.filter("cum_all >= 4").withColumn("kept", F.least(kept, F.col("cum_all")))

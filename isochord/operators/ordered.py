@@ -8,11 +8,11 @@ The result is exact whatever the bounds are; the bounds only balance the work.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 256
-
 
 def attach(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """Adds per-key totals to every row; without keys ``totals`` is a single row."""
@@ -22,10 +22,9 @@ def attach(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
 def values_bounds(df: DataFrame, values: list[str]) -> list[list[float]]:
     """Approximate quantiles of several columns in one pass, as range bounds.
 
-    As many ranges as shuffle partitions, up to ``MAX_RANGES``; this small list is all the
-    driver sees.
+    As many ranges as shuffle partitions; this small list is all the driver sees.
     """
-    n = min(MAX_RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = df.stat.approxQuantile(values, [i / n for i in range(1, n)], 0.01)
     return [sorted(set(f)) for f in found]
 
@@ -34,8 +33,17 @@ def value_bounds(df: DataFrame, value: str) -> list[float]:
     return values_bounds(df, [value])[0]
 
 
-def range_of(value: Column, bounds: list[float]) -> Column:
-    """Number of bounds below the value, by bisection; NULL-free because values are."""
+def by_ratio(value: Column) -> Column:
+    """Ranges for positive values: a thousandth of an octave each, however many there are."""
+    return F.floor(F.log2(F.greatest(value, F.lit(1e-300))) * 1000).cast("long")
+
+
+def range_of(value: Column, bounds: list[float] | Callable[[Column], Column]) -> Column:
+    """Number of bounds below the value, by bisection, or what a rising function says;
+    NULL-free because values are."""
+    if callable(bounds):
+        return bounds(value)
+
     def among(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
@@ -46,7 +54,7 @@ def range_of(value: Column, bounds: list[float]) -> Column:
 
 
 def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, str],
-            bounds: list[float], descending: bool = False) -> DataFrame:
+            bounds: list[float] | Callable[[Column], Column], descending: bool = False) -> DataFrame:
     """Inclusive running sums along ``value``, whose values are unique within ``keys``.
 
     ``sums`` maps a new column to the column it accumulates; the totals over all values
@@ -114,7 +122,7 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str,
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-              bounds: list[float] | None = None) -> DataFrame:
+              bounds: list[float] | Callable[[Column], Column] | None = None) -> DataFrame:
     """Linearly interpolated quantiles per key, one column per entry of ``probs``.
 
     Equal to an exact percentile aggregate, but no task holds the values of a whole key.

@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isochord.operators.ordered import attach, quantiles
+from isochord.operators.ordered import attach, by_ratio, quantiles
 from isochord.operators.overlap import shared_edges
 from isochord.operators.regrid import vector_sum
 
 PRIME = 2147483647
 # statistics compared with their null are rounded, so that equal ones count as equal
 TIE_DIGITS = 9
-# range bounds for ratios of variances, which lie around one
-RATIO_BOUNDS = [0.1, 0.3, 0.5, 0.65, 0.8, 0.9, 1.0, 1.1, 1.25, 1.5, 2.0, 3.0]
+# a task sorts about this many windows of a draw, and makes as many places
+PART = 16384
 
 
 def draw_index(r: Column, m: Column, n: int, stream: int = 0) -> Column:
@@ -31,34 +31,48 @@ def draw_index(r: Column, m: Column, n: int, stream: int = 0) -> Column:
 
 
 def permutation_table(spark: SparkSession, n: int, n_draws: int, salt: str = "") -> DataFrame:
-    """(draw, old, new): ``old`` sits at position ``new`` in that draw."""
-    w = Window.partitionBy("draw").orderBy("h", "old")
-    return (spark.range(n_draws).withColumnRenamed("id", "draw")
-            .withColumn("old", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                    F.lit(n - 1).cast("bigint"))))
-            .withColumn("h", F.md5(F.concat(F.lit(salt), F.col("draw").cast("string"),
-                                            F.lit(":"), F.col("old").cast("string"))))
-            .withColumn("new", (F.row_number().over(w) - 1).cast("bigint"))
-            .select("draw", "old", "new"))
+    """(draw, old, new): ``old`` sits at position ``new`` in that draw.
+
+    Positions are ranks of hashes. Leading digits of a hash cut a draw into even parts, each
+    sorted by itself; what lies in the parts before is counted.
+    """
+    digits = 1
+    while n > PART * 16 ** digits:
+        digits += 1
+    h = F.md5(F.concat(F.lit(salt), F.col("draw").cast("string"), F.lit(":"),
+                       F.col("old").cast("string")))
+    rows = (spark.range(n * n_draws).select(F.floor(F.col("id") / n).alias("draw"),
+                                            (F.col("id") % n).alias("old"))
+            .withColumn("h", h).withColumn("part", F.substring("h", 1, digits)))
+    parts = Window.partitionBy("draw").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = (rows.groupBy("draw", "part").agg(F.count(F.lit(1)).alias("n"))
+              .select("draw", "part", F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("before")))
+    inside = F.row_number().over(Window.partitionBy("draw", "part").orderBy("h", "old"))
+    return (rows.withColumn("inside", inside).join(before, ["draw", "part"])
+            .select("draw", "old", (F.col("before") + F.col("inside") - 1).cast("bigint")
+                    .alias("new")))
 
 
 def block_permutation_table(spark: SparkSession, n: int, block_len: int, n_draws: int,
                             salt: str = "b") -> DataFrame:
     """As above, but whole blocks of ``block_len`` windows change places.
 
-    A block starts after the blocks placed before it; only the last may be shorter.
+    A block starts after the blocks placed before it; only the last may be shorter, which
+    moves those placed behind it.
     """
     n_blocks = -(-n // block_len)
     last = n - (n_blocks - 1) * block_len
-    size = F.when(F.col("block") == n_blocks - 1, last).otherwise(block_len)
     order = permutation_table(spark, n_blocks, n_draws, salt).select(
         "draw", F.col("old").alias("block"), F.col("new").alias("place"))
-    before = (Window.partitionBy("draw").orderBy("place")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    placed = (order.withColumn("size", size)
-              .withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))))
-    inside = F.explode(F.sequence(F.lit(0), F.col("size") - 1))
-    return placed.select("draw", "block", "start", inside.alias("o")).select(
+    short = order.filter(F.col("block") == n_blocks - 1).select(
+        "draw", F.col("place").alias("short"))
+    size = F.when(F.col("block") == n_blocks - 1, last).otherwise(block_len)
+    start = F.col("place") * block_len - F.when(F.col("place") > F.col("short"),
+                                                block_len - last).otherwise(0)
+    placed = order.join(short, "draw").select(
+        "draw", "block", start.alias("start"),
+        F.explode(F.sequence(F.lit(0), size - 1)).alias("o"))
+    return placed.select(
         "draw", (F.col("block") * block_len + F.col("o")).cast("bigint").alias("old"),
         (F.col("start") + F.col("o")).cast("bigint").alias("new"))
 
@@ -92,8 +106,13 @@ def drawn_samples(population: DataFrame, keys: list[str], sizes: DataFrame, n: i
     get different draws. ``population`` is keyed by ``w`` in 0..n-1.
     """
     draws = F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))
-    places = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1))
-    return (sizes.select("*", draws.alias("draw")).select("*", places.alias("m"))
+    # a set of any size is laid out in parts, which are dealt out before their places are made
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                 F.floor((F.col("size") - 1) / PART).cast("bigint")))
+    first, end = F.col("part") * PART, F.least((F.col("part") + 1) * PART, F.col("size"))
+    places = F.explode(F.sequence(first, end - 1))
+    return (sizes.filter("size > 0").select("*", draws.alias("draw")).select("*", parts.alias("part"))
+            .repartition("draw", "first", "part").select("*", places.alias("m")).drop("part")
             .withColumn("w", draw_index(F.col("draw").cast("bigint"),
                                         F.col("first") + F.col("m"), n, stream))
             .select(*keys, "draw", "w").join(population, "w"))
@@ -144,7 +163,7 @@ def usable_sets(edges: DataFrame, min_n: int = 2) -> DataFrame:
 
 def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Rounded median per key; a key has a value per window, so it is spread over tasks."""
-    m = quantiles(df, keys, value, {name: 0.5}, RATIO_BOUNDS)
+    m = quantiles(df, keys, value, {name: 0.5}, by_ratio)
     return m.withColumn(name, F.round(name, TIE_DIGITS))
 
 

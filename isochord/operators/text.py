@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isochord.operators.ordered import attach
-from isochord.session import inline, spread
+from isochord.session import inline
 
 # Keyword lists per attribute.
 LEXICONS = {
@@ -65,7 +65,7 @@ def occurrences(text: Column, word: str) -> Column:
 def caption_hits(captions: DataFrame, text: str = "text") -> DataFrame:
     """Keyword hits per attribute, one column each."""
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
-    d = spread(captions).withColumn("__t", padded)
+    d = captions.withColumn("__t", padded)
     hits = {name: sum((occurrences(F.col("__t"), w) for w in words[1:]),
                       occurrences(F.col("__t"), words[0])) for name, words in LEXICONS.items()}
     return d.select(*[c for c in captions.columns if c != text],
@@ -139,7 +139,7 @@ def mined_labels(captions: DataFrame, order: str, text: str = "text",
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))),
                                  F.lit("[a-z]{4,}"), F.lit(0))
     known = MINING_STOP_WORDS + OBJECT_LABELS + SCENE_LABELS + ACTION_LABELS
-    return (spread(captions.select(order, text)).select(order, F.posexplode(words).alias("pos", "word"))
+    return (captions.select(order, text).select(order, F.posexplode(words).alias("pos", "word"))
             .filter(~F.col("word").isin(known))
             .groupBy("word").agg(F.count(F.lit(1)).alias("n"),
                                  F.min(F.struct(order, "pos")).alias("first"))

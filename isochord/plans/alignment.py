@@ -190,7 +190,7 @@ def mknn_all_shifts_per_subject(spark, sf):
             .select("subject", "d", r6("score").alias("score")))
 
 
-SHIFT_GRID = [0, 1, -1, 5, -5, 50, -50]
+SHIFT_GRID = list(range(-50, 51))
 
 
 @query("circular_curve", f"{LCURVE} SELECT s::BIGINT AS shift, {S.r6('score')} AS score "

@@ -14,7 +14,7 @@ from isochord.plans.alignment import (ALPHA, MCAL, edges, layer_curve, model_cal
                                       rsql)
 from isochord.plans.registry import query
 
-K, DRAWS, BLOCK_LEN = B.K, 40, 30
+K, DRAWS, BLOCK_LEN = B.K, 200, 30
 NULL_COLS = ["obs", "tau", "s_cal", "p", "null_mean"]
 
 
@@ -86,7 +86,7 @@ def block_perm_null(spark, sf):
     return rounded(permuted(spark, sf, B.LAYERED, perms), [], NULL_COLS)
 
 
-TRUNC = [0, 1, -1, 25, -25]
+TRUNC = list(range(-50, 51))
 TRUNC_SQL = (
     f"WITH {S.spaces(S.LAYERED)}, sh AS (SELECT unnest({TRUNC}) AS s), "
     f"cut AS (SELECT side, layer, s, w - greatest(CASE WHEN side = 'a' THEN s ELSE -s END, 0) "
@@ -241,7 +241,7 @@ def draw_sql(r: str, m: str, name: str, src: str, cols: str) -> str:
             f"{name} AS (SELECT *, ((hc * hc + hb) % {P31}) % n AS idx FROM {name}3, nw)")
 
 
-R_ENRICH, R_VAR, R_TRACE = 100, 40, 20
+R_ENRICH, R_VAR, R_TRACE = 1000, 200, 200
 FEATS = ("ft AS (SELECT w, unnest(['e1', 'e2', 'label']) AS feature, "
          "unnest([v[1], v[2], label::DOUBLE]) AS x FROM e)")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "isochord", cpus: int | None = None) -> SparkSession:
-    """A local session for tests and the bench; a cluster supplies its own."""
+    """A local session for tests and the bench; a cluster supplies its own.
+
+    The folder for checkpoints and intermediate tables is set here, for this machine alone.
+    """
     n = cpus or os.cpu_count() or 4
     spark = (
         SparkSession.builder.master(f"local[{n}]")
@@ -19,6 +23,7 @@ def get_session(app: str = "isochord", cpus: int | None = None) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="isochord-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,20 +32,30 @@ def get_session(app: str = "isochord", cpus: int | None = None) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+_SHIPPED: set[str] = set()
 
-    Only a local master may fall back to a folder on this machine; a cluster that does
-    not name one is an error, because executors could not read what another one wrote.
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application.
+
+    Functions that run in tasks are found there by name, wherever the driver was started.
     """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="isochord-package-")
+    archive = shutil.make_archive(os.path.join(folder, "isochord"), "zip",
+                                  os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, or one in the warehouse if none is named:
+    both are places that every executor of a cluster reaches."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    own = tempfile.mkdtemp(prefix="isochord-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_isochord"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -58,15 +73,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Over all cores, if the input comes in fewer splits than there are cores.
-
-    Only a small input can: a large one has more splits and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def inline(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
     """A small fixed table as a local relation, without a Python worker."""
     def cell(v):
