@@ -25,16 +25,37 @@ def avg_rank(col: str, part: str) -> str:
             f"(count(*) OVER (PARTITION BY {part}, {col}) - 1) / 2.0)")
 
 
-@query("spearman", f"SELECT l_returnflag, count(*)::BIGINT AS n, {S.r6('corr(a, b)')} AS rho "
+def t_tail(t: str, df: str) -> str:
+    """Two-sided Student-t tail by sums at midpoints, from |t| and from 0 (for df over 50)."""
+    def area(start):
+        return (f"(SELECT sum(exp(-({df} + 1) / 2 * ln(1 + u * u / {df}))) FROM "
+                f"(SELECT {start} + (unnest(range(80000)) + 0.5) * 0.0005 AS u))")
+    return f"({area(f'abs({t})')} / {area('0')})"
+
+
+@query("spearman", f"WITH c AS (SELECT l_returnflag, count(*)::BIGINT AS n, corr(a, b) AS rho "
        f"FROM (SELECT l_returnflag, {avg_rank('l_quantity', 'l_returnflag')} AS a, "
-       f"{avg_rank('l_extendedprice', 'l_returnflag')} AS b FROM lineitem) GROUP BY 1")
+       f"{avg_rank('l_extendedprice', 'l_returnflag')} AS b FROM lineitem) GROUP BY 1), "
+       f"t AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, n - 2.0 AS df FROM c) "
+       f"SELECT l_returnflag, n, {S.r6('rho')} AS rho, {S.r6(t_tail('t', 'df'))} AS p FROM t")
 def spearman(spark, sf):
     df = lineitem(spark, sf, "l_returnflag", "l_quantity", "l_extendedprice")
     return (stats.spearman(df, ["l_returnflag"], "l_quantity", "l_extendedprice")
-            .select("l_returnflag", "n", r6("rho").alias("rho")))
+            .select("l_returnflag", "n", r6("rho").alias("rho"), r6("p").alias("p")))
+
 
+@query("spearman_weak", f"WITH c AS (SELECT o_orderpriority, count(*)::BIGINT AS n, "
+       f"corr(a, b) AS rho FROM (SELECT o_orderpriority, "
+       f"{avg_rank('o_totalprice', 'o_orderpriority')} AS a, "
+       f"{avg_rank('o_custkey', 'o_orderpriority')} AS b FROM orders) GROUP BY 1), "
+       f"t AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, n - 2.0 AS df FROM c) "
+       f"SELECT o_orderpriority, n, {S.r6('rho')} AS rho, {S.r6(t_tail('t', 'df'))} AS p FROM t")
+def spearman_weak(spark, sf):
+    """As above for columns with little in common, where p is not 0."""
+    df = orders(spark, sf, "o_orderpriority", "o_totalprice", "o_custkey")
+    return rounded(stats.spearman(df, ["o_orderpriority"], "o_totalprice", "o_custkey"),
+                   ["o_orderpriority", "n"], ["rho", "p"])
 
-CONTRAST = "orders, (SELECT 'F' AS s)"
 
 
 @query("cohens_d", f"SELECT o_orderpriority, {S.r6('(avg(x) FILTER (a) - avg(x) FILTER (NOT a)) / (sqrt(((count(*) FILTER (a) - 1) * var_samp(x) FILTER (a) + (count(*) FILTER (NOT a) - 1) * var_samp(x) FILTER (NOT a)) / (count(*) - 2)) + 1e-12)')} "
@@ -164,12 +185,16 @@ def partial_corr_1(spark, sf):
        "x - avg(x) OVER (PARTITION BY f) AS dx, y - avg(y) OVER (PARTITION BY f) AS dy FROM r), "
        "a AS (SELECT count(*)::BIGINT AS n, regr_slope(y, x) AS slope_unadj, "
        "sum(dx * dy) / sum(dx * dx) AS slope_adj, "
-       "sum(dx * dy) ** 2 / sum(dx * dx) / (sum(dy * dy) + 1e-12) AS partial_eta2 FROM d) "
-       f"SELECT n, {rsql(['slope_unadj', 'slope_adj', 'partial_eta2'])} FROM a")
+       "sum(dx * dy) ** 2 / sum(dx * dx) / (sum(dy * dy) + 1e-12) AS partial_eta2, "
+       "count(*) - count(DISTINCT f) - 1.0 AS df, sum(dx * dx) AS sxx, "
+       "sum(dy * dy) - sum(dx * dy) ** 2 / sum(dx * dx) AS sse FROM d), "
+       "t AS (SELECT *, slope_adj / sqrt(sse / df / sxx) AS t FROM a) "
+       f"SELECT n, {rsql(['slope_unadj', 'slope_adj', 'partial_eta2', 't'])}, "
+       f"{S.r6(t_tail('t', 'df'))} AS p FROM t")
 def ancova_slope(spark, sf):
     df = lineitem(spark, sf, "l_returnflag", "l_quantity", "l_extendedprice")
     return rounded(stats.ancova(df, "l_returnflag", "l_quantity", "l_extendedprice"), ["n"],
-                   ["slope_unadj", "slope_adj", "partial_eta2"])
+                   ["slope_unadj", "slope_adj", "partial_eta2", "t", "p"])
 
 
 @query("paired_sem", "WITH c AS (SELECT c_mktsegment AS subject, o_orderstatus AS model, "
