@@ -6,8 +6,11 @@ group is folded by all map tasks before anything is shuffled.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isochord.functions.dist import t_pvalue
 from isochord.functions.vectors import missing_to_null
@@ -179,6 +182,69 @@ def partial_corr_1(df: DataFrame, keys: list[str], x: str, y: str, z: str) -> Da
     return d.select(*keys, F.when(left > 1e-24, value).otherwise(0.0).alias("partial_corr"))
 
 
+def covariances(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, n, cov): the covariance matrix of rows without NULLs, row by row, per key.
+
+    Partial sums meet before the shuffle; one row a key travels on.
+    """
+    d = df.select(*keys, *columns).dropna(subset=columns)
+    cells = [F.covar_pop(a, b) for a in columns for b in columns]
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*cells).alias("cov"))
+
+
+def _from_covariances(df: DataFrame, keys: list[str], columns: list[str], names: list[str],
+                      solve) -> DataFrame:
+    """Applies ``solve`` (matrix -> numbers) to the covariance matrix of each key."""
+    sums = covariances(df, keys, columns)
+    schema = T.StructType([*(sums.schema[k] for k in [*keys, "n"]),
+                           *(T.StructField(c, T.DoubleType()) for c in names)])
+
+    def run(batches):
+        for pdf in batches:
+            rows = [solve(np.reshape(c, (len(columns), len(columns)))) for c in pdf["cov"]]
+            out = pd.DataFrame(rows, columns=names, index=pdf.index, dtype="float64")
+            yield pd.concat([pdf[[*keys, "n"]], out], axis=1)
+
+    return sums.mapInPandas(run, schema)
+
+
+def _explained(cov: np.ndarray, at: list[int]) -> float:
+    """R^2 of column 0 on the columns ``at``, which may depend on each other."""
+    if not at or cov[0, 0] <= 0:
+        return 0.0
+    c = cov[at, 0]
+    return float(c @ np.linalg.pinv(cov[np.ix_(at, at)], hermitian=True) @ c / cov[0, 0])
+
+
+def variance_partition(df: DataFrame, keys: list[str], y: str,
+                       blocks: dict[str, list[str]]) -> DataFrame:
+    """R^2 of each block of predictors, of all together, and what each adds to the others."""
+    columns = [y, *dict.fromkeys(c for b in blocks.values() for c in b)]
+    at = {name: [columns.index(c) for c in b] for name, b in blocks.items()}
+    every = sorted({i for b in at.values() for i in b})
+
+    def solve(cov):
+        full = _explained(cov, every)
+        alone = [_explained(cov, b) for b in at.values()]
+        rest = [sorted({i for other, b in at.items() if other != name for i in b}) for name in at]
+        return [full, *alone, *(full - _explained(cov, r) for r in rest)]
+    names = ["r2_full", *(f"r2_{b}" for b in blocks), *(f"unique_{b}" for b in blocks)]
+    return _from_covariances(df, keys, columns, names, solve)
+
+
+def partial_corr(df: DataFrame, keys: list[str], x: str, y: str,
+                 controls: list[str]) -> DataFrame:
+    """Correlation of x and y after removing any number of controls; 0 if nothing is left."""
+    columns = [x, y, *controls]
+
+    def solve(cov):
+        a, b, z = cov[:2, :2], cov[:2, 2:], cov[2:, 2:]
+        left = a - b @ np.linalg.pinv(z, hermitian=True) @ b.T if controls else a
+        scale = left[0, 0] * left[1, 1]
+        return [left[0, 1] / np.sqrt(scale) if scale > 1e-24 * a[0, 0] * a[1, 1] else 0.0]
+    return _from_covariances(df, keys, columns, ["partial_corr"], solve)
+
+
 def ancova(df: DataFrame, family: str, x: str, y: str) -> DataFrame:
     """Slope of y on x within families, partial eta squared, p, and the raw slope.
 

@@ -88,6 +88,24 @@ def label_mining(spark, sf):
     return text.mined_labels(documents(spark, sf), "doc_id")
 
 
+def fixed_labels_sql() -> str:
+    kinds = (("object", text.OBJECT_LABELS), ("scene", text.SCENE_LABELS),
+             ("action", text.ACTION_LABELS))
+    return ", ".join(f"('{w}', '{kind}')" for kind, words in kinds for w in words)
+
+
+@query("label_bank", "WITH tk AS (SELECT doc_id, unnest(ws) AS word, "
+       "unnest(range(len(ws))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), "
+       "'[a-z]{4,}') AS ws FROM documents)), c AS (SELECT word, count(*)::BIGINT AS n, "
+       "min(doc_id * 10000000 + pos) AS f FROM tk "
+       f"WHERE word NOT IN ({KNOWN}) GROUP BY 1) SELECT word AS label, 'mined' AS kind FROM "
+       "(SELECT word FROM c ORDER BY n DESC, f LIMIT 30) UNION ALL "
+       f"SELECT * FROM (VALUES {fixed_labels_sql()})")
+def label_bank(spark, sf):
+    """Fixed objects, scenes and actions, and the words mined from all texts."""
+    return text.label_bank(documents(spark, sf), "doc_id")
+
+
 @query("clip_ids", "SELECT page_id, regexp_replace(regexp_replace(split_part(url, '/', -1), "
        "'\\.[^.]*$', ''), '\\D', '', 'g') AS digits FROM pages")
 def clip_ids(spark, sf):

@@ -169,6 +169,60 @@ def variance_partition_2(spark, sf):
                    ["l_returnflag"], VP)
 
 
+def orthogonal_sql(steps: list[tuple[str, str, list[str]]]) -> str:
+    """Columns made orthogonal one after the other: (new, old, earlier new ones) per step.
+
+    Slopes on orthogonal columns are slopes on each alone.
+    """
+    out, last = [], "li"
+    for new, old, before in steps:
+        slopes = ", ".join(f"regr_slope({old}, {z}) AS s_{z}" for z in before)
+        less = "".join(f" - s_{z} * {z}" for z in before)
+        join = (f"{last} JOIN (SELECT l_returnflag, {slopes} FROM {last} GROUP BY 1) "
+                f"USING (l_returnflag)" if before else last)
+        drop = f" EXCLUDE ({', '.join(f's_{z}' for z in before)})" if before else ""
+        out.append(f"x_{new} AS (SELECT *{drop}, {old}{less} AS {new} FROM {join})")
+        last = f"x_{new}"
+    return ", ".join(out)
+
+
+LI = ("li AS (SELECT l_returnflag, l_extendedprice AS y, l_quantity AS q, l_discount AS d, "
+      "l_tax AS t, l_linenumber::DOUBLE AS l FROM lineitem)")
+VB = ["r2_full", "r2_a", "r2_b", "unique_a", "unique_b"]
+
+
+@query("variance_partition", f"WITH {LI}, " + orthogonal_sql([
+    ("z1", "q", []), ("z2", "d", ["z1"]), ("z3", "t", ["z1", "z2"]), ("z4", "l", ["z1", "z2", "z3"]),
+    ("v1", "t", []), ("v2", "l", ["v1"])])
+    + ", c AS (SELECT l_returnflag, count(*)::BIGINT AS n, corr(y, z1) ** 2 + corr(y, z2) ** 2 "
+    "AS r2_a, corr(y, v1) ** 2 + corr(y, v2) ** 2 AS r2_b, corr(y, z1) ** 2 + corr(y, z2) ** 2 + "
+    "corr(y, z3) ** 2 + corr(y, z4) ** 2 AS r2_full FROM x_v2 GROUP BY 1), "
+    "p AS (SELECT *, r2_full - r2_b AS unique_a, r2_full - r2_a AS unique_b FROM c) "
+    f"SELECT l_returnflag, n, {rsql(VB)} FROM p")
+def variance_partition(spark, sf):
+    """Two blocks of two predictors each."""
+    df = lineitem(spark, sf, "l_returnflag", "l_quantity", "l_discount", "l_tax", "l_linenumber",
+                  "l_extendedprice")
+    return rounded(stats.variance_partition(
+        df, ["l_returnflag"], "l_extendedprice",
+        {"a": ["l_quantity", "l_discount"], "b": ["l_tax", "l_linenumber"]}),
+        ["l_returnflag", "n"], VB)
+
+
+@query("partial_corr", f"WITH {LI}, " + orthogonal_sql([
+    ("z1", "q", []), ("z2", "d", ["z1"]), ("z3", "l", ["z1", "z2"]),
+    ("ry", "y", ["z1", "z2", "z3"]), ("rt", "t", ["z1", "z2", "z3"])])
+    + f" SELECT l_returnflag, count(*)::BIGINT AS n, {S.r6('corr(ry, rt)')} AS partial_corr "
+    "FROM x_rt GROUP BY 1")
+def partial_corr(spark, sf):
+    """Three controls."""
+    df = lineitem(spark, sf, "l_returnflag", "l_quantity", "l_discount", "l_tax", "l_linenumber",
+                  "l_extendedprice")
+    return rounded(stats.partial_corr(df, ["l_returnflag"], "l_extendedprice", "l_tax",
+                                      ["l_quantity", "l_discount", "l_linenumber"]),
+                   ["l_returnflag", "n"], ["partial_corr"])
+
+
 @query("partial_corr_1", "WITH r AS (SELECT l_returnflag, l_extendedprice AS x, l_tax AS y, "
        "l_quantity AS z FROM lineitem), b AS (SELECT l_returnflag, regr_slope(x, z) AS sx, "
        "regr_intercept(x, z) AS ix, regr_slope(y, z) AS sy, regr_intercept(y, z) AS iy FROM r "
