@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from isochord.operators import stats
 from isochord.operators.ordered import attach, by_ratio, quantiles
 from isochord.operators.overlap import shared_edges
 from isochord.operators.regrid import vector_sum
@@ -127,7 +128,8 @@ def two_sided(null: str, obs: str) -> Column:
 
 def neighbour_enrichment(edges: DataFrame, features: DataFrame, names: list[str], n: int,
                          n_draws: int) -> DataFrame:
-    """Per feature: neighbour mean and variance against the population and random sets.
+    """Per feature: neighbours against the population (standardised differences, AUC, KS), and
+    their mean and variance against random sets.
 
     ``edges`` (i, j); ``features`` (w, one column per name) for w = 0..n-1.
     """
@@ -136,7 +138,14 @@ def neighbour_enrichment(edges: DataFrame, features: DataFrame, names: list[str]
     population = features.select("w", long.alias("f")).select("w", "f.feature", "f.v")
     pop = population.groupBy("feature").agg(
         F.avg("v").alias("pop_mean"), F.stddev_pop("v").alias("sd"), F.var_pop("v").alias("var"))
-    near = edges.select(F.col("j").alias("w")).join(population, "w").groupBy("feature").agg(
+    members = edges.select(F.col("j").alias("w")).join(population, "w").select("feature", "v")
+    both = members.withColumn("near", F.lit(True)).unionByName(
+        population.select("feature", "v", F.lit(False).alias("near")))
+    is_near = F.col("near")
+    contrast = (stats.cohens_d(both, ["feature"], "v", is_near)
+                .join(stats.cles_auc(both, ["feature"], "v", is_near), "feature")
+                .join(stats.ks_stat(both, ["feature"], "v", is_near), "feature"))
+    near = members.groupBy("feature").agg(
         F.count("v").alias("n_neighbours"),
         F.round(F.avg("v"), TIE_DIGITS).alias("obs_mean"),
         F.round(F.var_pop("v"), TIE_DIGITS).alias("obs_var"))
@@ -148,11 +157,12 @@ def neighbour_enrichment(edges: DataFrame, features: DataFrame, names: list[str]
     joined = null.join(near, "feature")
     p = joined.groupBy("feature").agg(two_sided("null_mean", "obs_mean").alias("p_mean"),
                                       two_sided("null_var", "obs_var").alias("p_var"))
-    return near.join(pop, "feature").join(p, "feature").select(
+    return near.join(pop, "feature").join(p, "feature").join(contrast, "feature").select(
         "feature", "n_neighbours",
         ((F.col("obs_mean") - F.col("pop_mean")) / (F.col("sd") + F.lit(1e-12)))
         .alias("mean_shift_sigma"),
-        (F.col("obs_var") / (F.col("var") + F.lit(1e-12))).alias("var_ratio"), "p_mean", "p_var")
+        (F.col("obs_var") / (F.col("var") + F.lit(1e-12))).alias("var_ratio"), "cohens_d", "auc",
+        "ks", "p_mean", "p_var")
 
 
 def usable_sets(edges: DataFrame, min_n: int = 2) -> DataFrame:
@@ -169,7 +179,8 @@ def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
 
 def varratio(edges: DataFrame, features: DataFrame, names: list[str], n: int, n_draws: int,
              min_n: int = 2) -> DataFrame:
-    """Median over anchors of neighbour variance / overall variance, with one-sided p."""
+    """Median over anchors of neighbour variance / overall variance, with one-sided p and its
+    q among the features."""
     long = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"),
                                         F.col(x).cast("double").alias("v")) for x in names]))
     population = features.select("w", long.alias("f")).select("w", "f.feature", "f.v")
@@ -189,9 +200,16 @@ def varratio(edges: DataFrame, features: DataFrame, names: list[str], n: int, n_
     null = median_ratio(drawn_samples(population, ["i"], sets, n, n_draws), ["draw"],
                         "null_ratio").drop("n_used")
     below = F.sum(F.when(F.col("null_ratio") <= F.col("median_ratio"), 1).otherwise(0))
-    return (obs.join(null, "feature").groupBy("feature", "n_used")
-            .agg(F.max("median_ratio").alias("median_ratio"),
-                 ((below + 1) / F.lit(n_draws + 1.0)).alias("p")))
+    tested = (obs.join(null, "feature").groupBy("feature", "n_used")
+              .agg(F.max("median_ratio").alias("median_ratio"),
+                   ((below + 1) / F.lit(n_draws + 1.0)).alias("p")))
+    # one row a feature: the features are few and named in the call
+    every = Window.partitionBy()
+    larger = Window.orderBy(F.desc("p"), "feature").rowsBetween(Window.unboundedPreceding, 0)
+    scaled = F.col("p") * F.count(F.lit(1)).over(every) / F.row_number().over(
+        Window.orderBy("p", F.desc("feature")))
+    return tested.withColumn("__s", scaled).withColumn(
+        "q", F.least(F.min("__s").over(larger), F.lit(1.0))).drop("__s")
 
 
 def trace_cov(members: DataFrame, keys: list[str]) -> DataFrame:

@@ -265,16 +265,30 @@ def window_feature_table(spark, sf):
        f"ON idx = ft.w GROUP BY 1, 2), pq AS (SELECT feature, "
        f"least(1.0, 2 * least(avg((nm >= om)::INT), avg((nm <= om)::INT))) AS p_mean, "
        f"least(1.0, 2 * least(avg((nv >= ov)::INT), avg((nv <= ov)::INT))) AS p_var "
-       f"FROM nu JOIN ne USING (feature) GROUP BY 1) SELECT feature, c AS n_neighbours, "
+       f"FROM nu JOIN ne USING (feature) GROUP BY 1), "
+       f"bo AS (SELECT feature, x, true AS a FROM ed JOIN ft ON ed.j = ft.w UNION ALL "
+       f"SELECT feature, x, false FROM ft), "
+       f"rk AS (SELECT feature, a, x, rank() OVER (PARTITION BY feature ORDER BY x) + "
+       f"(count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS r, "
+       f"sum(a::INT) OVER w / sum(a::INT) OVER (PARTITION BY feature) AS fa, "
+       f"sum((NOT a)::INT) OVER w / sum((NOT a)::INT) OVER (PARTITION BY feature) AS fb FROM bo "
+       f"WINDOW w AS (PARTITION BY feature ORDER BY x RANGE UNBOUNDED PRECEDING)), "
+       f"ct AS (SELECT feature, (avg(x) FILTER (a) - avg(x) FILTER (NOT a)) / (sqrt(((count(*) "
+       f"FILTER (a) - 1) * var_samp(x) FILTER (a) + (count(*) FILTER (NOT a) - 1) * var_samp(x) "
+       f"FILTER (NOT a)) / (count(*) - 2)) + 1e-12) AS cd, (sum(r) FILTER (a) - count(*) FILTER (a) "
+       f"* (count(*) FILTER (a) + 1) / 2.0) / (count(*) FILTER (a)::DOUBLE * count(*) FILTER "
+       f"(NOT a)) AS auc, max(abs(fa - fb)) AS ks FROM rk GROUP BY 1) "
+       f"SELECT feature, c AS n_neighbours, "
        f"{S.r6('(om - pm) / (psd + 1e-12)')} AS mean_shift_sigma, "
-       f"{S.r6('ov / (pv + 1e-12)')} AS var_ratio, {S.r6('p_mean')} AS p_mean, "
-       f"{S.r6('p_var')} AS p_var FROM ne JOIN po USING (feature) JOIN pq USING (feature)")
+       f"{S.r6('ov / (pv + 1e-12)')} AS var_ratio, {S.r6('cd')} AS cohens_d, {S.r6('auc')} AS auc, "
+       f"{S.r6('ks')} AS ks, {S.r6('p_mean')} AS p_mean, {S.r6('p_var')} AS p_var FROM ne "
+       f"JOIN po USING (feature) JOIN pq USING (feature) JOIN ct USING (feature)")
 def neighbour_enrichment(spark, sf):
     out = permute.neighbour_enrichment(
         edges(spark, sf, "b").select("i", "j"), window_feature_table(spark, sf),
         ["e1", "e2", "label"], B.window_count(spark, sf), R_ENRICH)
     return rounded(out, ["feature", "n_neighbours"],
-                   ["mean_shift_sigma", "var_ratio", "p_mean", "p_var"])
+                   ["mean_shift_sigma", "var_ratio", "cohens_d", "auc", "ks", "p_mean", "p_var"])
 
 
 @query("varratio_test", f"WITH {S.spaces()}, {S.knn()}, {FEATS}, "
@@ -289,14 +303,18 @@ def neighbour_enrichment(spark, sf):
        f"{draw_sql('draw', 'm', 'dr', 'pp', 'i, draw')}, "
        f"nu AS (SELECT feature, draw, round(median(r), 9) AS nmed FROM (SELECT ft.feature, draw, i, "
        f"var_samp(x) / max(g) AS r FROM dr JOIN ft ON idx = ft.w JOIN gv USING (feature) "
-       f"GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT feature, n_used, {S.r6('max(med)')} "
-       f"AS median_ratio, {S.r6(f'(1 + count(*) FILTER (nmed <= med)) / ({R_VAR} + 1)')} AS p "
-       f"FROM nu JOIN ob USING (feature) GROUP BY 1, 2")
+       f"GROUP BY 1, 2, 3) GROUP BY 1, 2), ps AS (SELECT feature, n_used, max(med) AS med, "
+       f"(1 + count(*) FILTER (nmed <= med)) / ({R_VAR} + 1) AS p "
+       f"FROM nu JOIN ob USING (feature) GROUP BY 1, 2), "
+       f"sc AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, feature DESC) AS s "
+       f"FROM ps) SELECT feature, n_used, {S.r6('med')} AS median_ratio, {S.r6('p')} AS p, "
+       f"{S.r6('least(1.0, min(s) OVER (ORDER BY p DESC, feature ROWS UNBOUNDED PRECEDING))')} AS q "
+       f"FROM sc")
 def varratio_test(spark, sf):
     out = permute.varratio(edges(spark, sf, "b").select("i", "j"),
                            window_feature_table(spark, sf), ["e1", "e2", "label"],
                            B.window_count(spark, sf), R_VAR)
-    return rounded(out, ["feature", "n_used"], ["median_ratio", "p"])
+    return rounded(out, ["feature", "n_used"], ["median_ratio", "p", "q"])
 
 
 @query("trace_cov_ratio_test", f"WITH {S.spaces()}, {S.knn()}, "
