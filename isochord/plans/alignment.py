@@ -65,26 +65,26 @@ def knn_topk(spark, sf):
                     r6("sim").alias("sim")))
 
 
-@query("knn_topk_excl", f"WITH {S.spaces()}, {S.knn(excl=10)} "
+@query("knn_topk_excl", f"WITH {S.spaces(S.WHOLE)}, {S.knn(excl=10)} "
        f"SELECT i, j, rank::BIGINT AS rank, {S.r6('sim')} AS sim FROM nn WHERE side = 'a'")
 def knn_topk_excl(spark, sf):
-    return edges(spark, sf, "a", excl=10).select(
+    return edges(spark, sf, "a", B.WHOLE, excl=10).select(
         "i", "j", F.col("rank").cast("bigint").alias("rank"), r6("sim").alias("sim"))
 
 
-@query("knn_per_subject", f"WITH {S.spaces(S.SUBJECTS)}, {S.knn()} "
-       f"SELECT subject, i, j, rank::BIGINT AS rank FROM nn WHERE side = 'b'")
+@query("knn_per_subject", f"WITH {S.spaces(S.EIGHTHS)}, {S.knn()} "
+       f"SELECT subject, i, j, rank::BIGINT AS rank FROM nn")
 def knn_per_subject(spark, sf):
-    return edges(spark, sf, "b", B.SUBJECTS).select(
+    return edges(spark, sf, "a", B.EIGHTHS).select(
         "subject", "i", "j", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("offset_edges", f"WITH {S.spaces()}, {S.knn()} "
+@query("offset_edges", f"WITH {S.spaces(S.WHOLE)}, {S.knn()} "
        f"SELECT ((i - j) % n + n) % n AS u, count(*)::BIGINT AS n_edges "
        f"FROM nn, nw WHERE side = 'a' GROUP BY 1")
 def offset_edges(spark, sf):
     n = B.window_count(spark, sf)
-    return (edges(spark, sf, "a")
+    return (edges(spark, sf, "a", B.WHOLE)
             .groupBy(modulo(F.col("i") - F.col("j"), n).alias("u"))
             .agg(F.count(F.lit(1)).alias("n_edges")))
 
@@ -138,10 +138,10 @@ def mknn_per_window(spark, sf):
             .select("w", r6("share").alias("share")))
 
 
-@query("relabel_shift", f"WITH {S.spaces()}, {S.knn()} SELECT (i + 97) % n AS i, "
-       f"(j + 97) % n AS j FROM nn, nw WHERE side = 'b'")
+@query("relabel_shift", f"WITH {S.spaces(S.WHOLE)}, {S.knn()} SELECT (i + 97) % n AS i, "
+       f"(j + 97) % n AS j FROM nn, nw")
 def relabel_shift(spark, sf):
-    return (overlap.relabel(edges(spark, sf, "b"), 97, B.window_count(spark, sf))
+    return (overlap.relabel(edges(spark, sf, "a", B.WHOLE), 97, B.window_count(spark, sf))
             .select("i", "j"))
 
 

@@ -17,6 +17,10 @@ ALPHA = 0.05
 
 # (side, layer, subject, first element, length)
 PLAIN = [("a", 0, "s0", 1, 32), ("b", 0, "s0", 33, 32)]
+# the whole vector as one space, as two layers, and as seen by eight subjects
+WHOLE = [("a", 0, "s0", 1, 64)]
+HALVES = [("a", 0, "s0", 1, 32), ("a", 1, "s0", 33, 32)]
+EIGHTHS = [("a", 0, f"s{n}", 8 * n + 1, 8) for n in range(8)]
 LAYERED = [("a", 0, "s0", 1, 16), ("a", 1, "s0", 17, 16),
            ("b", 0, "s0", 33, 16), ("b", 1, "s0", 49, 16)]
 SUBJECTS = ([("a", 0, f"s{n}", 8 * n + 1, 8) for n in range(4)]

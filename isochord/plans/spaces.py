@@ -31,11 +31,11 @@ EX = ("ex AS (SELECT side, layer, w, unnest(range(1, len(v) + 1)) AS f, unnest(v
       "ON a.side = b.side AND a.layer = b.layer AND a.w = b.w GROUP BY ALL)")
 
 
-@query("participation_ratio", f"WITH {S.spaces(S.LAYERED)}, {EX} SELECT layer AS la, "
+@query("participation_ratio", f"WITH {S.spaces(S.HALVES)}, {EX} SELECT layer AS la, "
        f"{S.r6('sum(q) FILTER (f = g) ** 2 / (sum(q * q) + 1e-12)')} AS participation_ratio "
        f"FROM cv WHERE side = 'a' GROUP BY 1")
 def participation_ratio(spark, sf):
-    return rounded(geometry.participation_ratio(B.side(spark, sf, "a", B.LAYERED, "la"), ["la"]),
+    return rounded(geometry.participation_ratio(B.side(spark, sf, "a", B.HALVES, "la"), ["la"]),
                    ["la"], ["participation_ratio"])
 
 
@@ -63,7 +63,7 @@ def mle_id(spark, sf):
 
 @query("effective_rank")
 def effective_rank(spark, sf):
-    out = geometry.spectrum_stats(B.side(spark, sf, "a", B.LAYERED, "la"), ["la"])
+    out = geometry.spectrum_stats(B.side(spark, sf, "a", B.HALVES, "la"), ["la"])
     return rounded(out, ["la"], ["participation_ratio", "effective_rank"])
 
 
@@ -134,11 +134,11 @@ def zero_shot_labels(spark, sf):
 
 # -- grids ---------------------------------------------------------------------------
 
-@query("subject_mean", "WITH " + S.spaces(S.SUBJECTS) + " SELECT w, pos, "
+@query("subject_mean", "WITH " + S.spaces(S.EIGHTHS) + " SELECT w, pos, "
        + S.r6("avg(x)") + " AS x FROM (SELECT w, unnest(range(1, len(v) + 1)) AS pos, "
        "unnest(v) AS x FROM sp WHERE side = 'a') GROUP BY 1, 2")
 def subject_mean(spark, sf):
-    m = regrid.subject_mean(B.side(spark, sf, "a", B.SUBJECTS), ["grid", "w"])
+    m = regrid.subject_mean(B.side(spark, sf, "a", B.EIGHTHS), ["grid", "w"])
     return (m.select("w", F.posexplode("vec").alias("pos", "x"))
             .select("w", (F.col("pos") + 1).cast("bigint").alias("pos"), r6("x").alias("x")))
 
@@ -279,7 +279,7 @@ def window_targets(spark, sf):
 
 
 def layer_r2(spark, sf):
-    return decode.ridge_r2(B.side(spark, sf, "a", B.LAYERED, "la"), window_targets(spark, sf),
+    return decode.ridge_r2(B.side(spark, sf, "a", B.HALVES, "la"), window_targets(spark, sf),
                            ["grid", "la"], ["grid"], TARGETS, B.window_count(spark, sf))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from isochord.plans.bindings import K, LAYERED, MODELS, PLAIN, SUBJECTS  # noqa: F401
+from isochord.plans.bindings import (EIGHTHS, HALVES, K, LAYERED, MODELS, PLAIN,  # noqa: F401
+                                     SUBJECTS, WHOLE)
 
 E = ("e AS (SELECT vec_id::BIGINT AS w, label, embedding::DOUBLE[] AS v FROM embeddings), "
      "nw AS (SELECT count(*)::BIGINT AS n FROM embeddings)")
