@@ -67,8 +67,9 @@ def spectra(emb: DataFrame, keys: list[str], n_windows: int,
 
     def transform(key, table):
         x = np.zeros((n_windows, len(table.column("part")[0])))
-        x[table.column("w").to_numpy()] = _matrix(table.column("part"))
-        x -= x.mean(axis=0, keepdims=True)
+        # centred over the windows that are there; absent ones add nothing to any product
+        part = _matrix(table.column("part"))
+        x[table.column("w").to_numpy()] = part - part.mean(axis=0, keepdims=True)
         spec = np.fft.rfft(x, axis=0).T.copy()
         cols = [pa.array([k.as_py()], type=k.type) for k in key]
         return pa.table(cols + [pa.array([x.shape[1]], type=pa.int32()),

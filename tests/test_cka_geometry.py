@@ -101,6 +101,26 @@ def test_local_dimension(spark):
         assert got[i] == pytest.approx(two_nn(z[near]))
 
 
+def test_absent_windows_add_nothing(spark):
+    rng = np.random.default_rng(9)
+    w, here = 40, np.array([i for i in range(40) if i % 7])
+    x, y = rng.normal(size=(w, 5)) + 3, rng.normal(size=(w, 4)) - 2
+    frames = [emb_frame(spark, m, grid="g", **k).filter("w % 7 != 0")
+              for m, k in ((x, {"la": 0}), (y, {"lb": 0}))]
+    curve = {r["d"]: r["score"] for r in cka.cka_all_shifts(
+        *frames, ["la"], ["lb"], ["grid"], w).collect()}
+
+    def kept(m):
+        out = np.zeros_like(m)
+        out[here] = m[here] - m[here].mean(0)
+        return out
+    cx, cy = kept(x), kept(y)
+    scale = np.linalg.norm(cx.T @ cx) * np.linalg.norm(cy.T @ cy)
+    for d in (0, 3, 7):
+        want = np.square(cx.T @ np.roll(cy, d, axis=0)).sum() / scale
+        assert curve[d] == pytest.approx(want, abs=1e-9)
+
+
 def test_cka_without_leading_directions(spark):
     rng = np.random.default_rng(8)
     w = 60
