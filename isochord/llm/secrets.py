@@ -1,13 +1,14 @@
 """Secrets: fixed rules, and a character network over every other candidate in its context.
 
 The rules find assignments to telling names, access keys and hexadecimal strings. Candidates
-are all other runs of key characters that hold a digit; each is scored, whole and with the
-characters around it, by a convolutional network in numpy: one layer of five-character filters,
-their maxima over the candidate and over its context, and a logistic output.
+are all other runs of at least eight characters of keys and addresses that hold a digit; each is
+scored, whole and with the characters around it, by a convolutional network in numpy: one layer
+of five-character filters, their maxima over the candidate and over its context, and a logistic
+output.
 
 The network is trained on labelled findings: what the rules find in a bounded sample of
-documents, the same findings under other names and in other writing, and the sample's other
-candidates as counterexamples. Its outputs are calibrated on a part held back, and a threshold is
+documents, the same findings under other names and in other writing, and as counterexamples the
+sample's other candidates and some of its ordinary words. Its outputs are calibrated on a part held back, and a threshold is
 the highest that still finds the required share of the findings held back. Without findings or
 counterexamples there is no network, and the rules stand alone.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +46,8 @@ ASSIGN = re.compile(
     r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@-]{8,}")
+PLAIN_WORD = re.compile(r"[^\W\d_]{6,}")
 NAMES = ("passw", "secret", "token", "api")
 DIGIT = re.compile(r"[0-9]")
 #: Names and separators under which findings are shown to the network again.
@@ -68,7 +71,7 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters with a digit that touch no finding of the rules."""
+    """Runs of such characters with a digit that touch no finding of the rules."""
     found = [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if DIGIT.search(m[0])]
     if known and found:
         found = [(a, b) for a, b in found if all(b <= s or e <= a for s, e, _ in known)]
@@ -221,7 +224,12 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows = []
         for text in batch.column("text").to_pylist():
             known = rule_spans(text or "")
-            for found, kind in ((known, 1), ([(*c, 3) for c in candidates(text, known)], 0)):
+            other = [(*c, 3) for c in candidates(text, known)] if text else []
+            # one plain word in 64, by a hash that is the same everywhere
+            other += [(m.start(), m.end(), 3) for m in PLAIN_WORD.finditer(text or "")
+                      if zlib.crc32(m[0].encode()) % 64 == 0
+                      and all(m.end() <= a or b <= m.start() for a, b, _ in known)]
+            for found, kind in ((known, 1), (other, 0)):
                 for a, b, k in found:
                     if k == 0:      # an assignment is shown by its value
                         a = ASSIGN.match(text, a).start(1)
