@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isochord.functions.vectors import dot, doubles, l2, r6, softmax
-from isochord.operators import decode, geometry, regrid, stats
+from isochord.operators import decode, geometry, knn, overlap, regrid, stats
 from isochord.plans import bindings as B
 from isochord.plans import sqltext as S
 from isochord.plans.alignment import rounded
@@ -159,6 +159,39 @@ def regrid_common(spark, sf):
             .select("w", (F.col("pos") + 1).cast("bigint").alias("pos"), r6("x").alias("x")))
 
 
+# two recordings whose windows last 5 s and 6 s
+TWO_SEC = {"a": 5, "b": 6}
+
+
+def binned_sql(side: str) -> str:
+    """Windows of one side as means over bins of 10 s."""
+    sec, first = TWO_SEC[side], 1 if side == "a" else 33
+    bins = f"n * {sec} // 10"
+    return (f"b{side} AS (SELECT '{side}' AS side, w, list(x ORDER BY pos) AS v FROM (SELECT "
+            f"least(floor((w + 0.5) * {sec} / 10)::BIGINT, {bins} - 1) AS w, pos, avg(x) AS x "
+            f"FROM (SELECT w, n, unnest(range(32)) AS pos, unnest(v[{first}:{first + 31}]) AS x "
+            f"FROM e, nw) GROUP BY 1, 2) GROUP BY w)")
+
+
+@query("mknn_native_grids", f"WITH {S.E}, {binned_sql('a')}, {binned_sql('b')}, "
+       f"wn AS (SELECT least(n * {TWO_SEC['a']} // 10, n * {TWO_SEC['b']} // 10) AS common FROM nw), "
+       f"sp AS (SELECT side, 0 AS layer, 's0' AS subject, w, v FROM (SELECT * FROM ba UNION ALL "
+       f"SELECT * FROM bb), wn WHERE w < common), {S.knn()} "
+       f"SELECT max(common)::BIGINT AS n_windows, {S.r6(f'count(*) / (max(common) * {B.K})::DOUBLE')} AS mknn "
+       f"FROM nn a JOIN nn b ON a.i = b.i AND a.j = b.j AND a.side = 'a' AND b.side = 'b', wn")
+def mknn_native_grids(spark, sf):
+    """Overlap of recordings on different grids: both to the common bins, as many as both have."""
+    n = B.window_count(spark, sf)
+    bins = {x: n * sec // 10 for x, sec in TWO_SEC.items()}
+    n_common = min(bins.values())
+    edges = {x: knn.knn_edges(
+        regrid.to_common(B.side(spark, sf, x).select("grid", "w", "vec"), ["grid"], sec, bins[x])
+        .filter(F.col("w") < n_common).withColumn(f"l{x}", F.lit(0)), ["grid", f"l{x}"], B.K,
+        n_windows=n_common) for x, sec in TWO_SEC.items()}
+    out = overlap.mknn(edges["a"], edges["b"], ["la"], ["lb"], ["grid"], n_common, B.K)
+    return out.select(F.lit(n_common).cast("bigint").alias("n_windows"), r6("mknn").alias("mknn"))
+
+
 POOL_SEC, POOL_SHIFT = 4, 6
 POOL_N = f"((n * 4) // (5 * {POOL_SEC}))"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isochord.functions.vectors import r6
-from isochord.operators import stats
+from isochord.operators import overlap, stats
 from isochord.plans import bindings as B
 from isochord.plans import sqltext as S
 from isochord.plans.alignment import rounded, rsql
@@ -58,6 +58,15 @@ def spearman_weak(spark, sf):
 
 
 
+@query("family_rank", "SELECT p_partkey, p_brand, (row_number() OVER (PARTITION BY p_brand "
+       "ORDER BY p_retailprice, p_partkey) - 1)::INT AS size_rank FROM part")
+def family_rank(spark, sf):
+    """Members of a family numbered by size, as models of one family are."""
+    df = B.table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")
+    return overlap.ranked_once(df, ["p_brand"], F.struct("p_retailprice", "p_partkey"),
+                               "size_rank").select("p_partkey", "p_brand", "size_rank")
+
+
 @query("cohens_d", f"SELECT o_orderpriority, {S.r6('(avg(x) FILTER (a) - avg(x) FILTER (NOT a)) / (sqrt(((count(*) FILTER (a) - 1) * var_samp(x) FILTER (a) + (count(*) FILTER (NOT a) - 1) * var_samp(x) FILTER (NOT a)) / (count(*) - 2)) + 1e-12)')} "
        f"AS cohens_d FROM (SELECT o_orderpriority, o_totalprice AS x, o_orderstatus = 'F' AS a "
        f"FROM orders) GROUP BY 1")
