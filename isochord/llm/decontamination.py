@@ -29,7 +29,7 @@ from isochord.llm.words import ALNUM, LOWER, shingle_hashes, span_hashes, word_s
 from isochord.session import written
 
 SHINGLE = 5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Pairs of item and window (at most ten words) that are broadcast at once.
 BLOCK = 200_000
 FOUND = "n_words long, n_hit long, runs array<int>, items array<string>"

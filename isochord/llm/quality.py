@@ -28,7 +28,7 @@ from isochord.session import written
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
 BITS, RANK = 16, 8
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Gradient steps, the same number for any sample.
 STEPS, BATCH, RATE, DECAY = 800, 128, 0.05, 1e-4
 

@@ -29,7 +29,7 @@ BLOCK = 32768
 #: Fingerprints of one side of a small tile.
 SMALL = 512
 #: Bytes of text taken at once, and shingles whose bits are counted at once.
-SLICE_BYTES, SLICE_SHINGLES = 4 << 20, 1 << 17
+SLICE_BYTES, SLICE_SHINGLES = 1 << 20, 1 << 17
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

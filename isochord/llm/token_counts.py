@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from isochord.llm.rows import flat_utf8, packed
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 CHUNK = 256
 #: Sizes at which the tables of words and of states start anew.
 MOST_WORDS, MOST_STATES = 400_000, 100_000
