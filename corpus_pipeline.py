@@ -16,7 +16,7 @@ from isochord.llm.mixing import mixed
 from isochord.llm.quality import scored
 from isochord.llm.rows import table
 from isochord.llm.simhash import one_of_each
-from isochord.session import written
+from isochord.session import ship, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
