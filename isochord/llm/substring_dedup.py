@@ -14,8 +14,9 @@ seventy bytes of text.
    Splitters cut through groups, so an anchor or a piece with a third of all rows spreads.
 2. Only pieces that share an anchor but differ are given their bytes. Buckets, again by range of
    anchor, sort the windows by a multikey quicksort, eight bytes at a time and only among those
-   that tie so far. Windows of an anchor with more than ``CROWD`` such pieces are
-   counted by digest instead, each window on its own, wherever it hashes to.
+   that tie so far. Pieces of an anchor with more than ``CROWD`` of them are parted by a
+   longer token first; where as many share even that, their windows are counted by digest, each
+   on its own, wherever it hashes to.
 3. The marked windows return to their documents as byte ranges.
 
 Anchors and pieces are 64-bit hashes that act together with each other and with the place in
@@ -37,11 +38,11 @@ from isochord.llm.words import running_hashes
 from isochord.session import written
 
 TOKEN = 50
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Differing pieces of one anchor that a bucket compares by itself.
 CROWD = 2048
 #: Pieces whose windows are sorted at once.
-BUCKET_PIECES = 8192
+BUCKET_PIECES = 4096
 COPY, OPEN, EDGE = 1, 2, 4
 PIECE = "anchor long, piece long, k1 long, k2 long, place long"
 MARKED = PIECE + ", mark int"
@@ -276,14 +277,49 @@ def repeated_ranges(texts: DataFrame, length: int = 200, token: int = TOKEN,
     open_ = marked.filter(F.col("mark").bitwiseAND(OPEN) != 0)
     crowded = written(open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
                       .filter(F.col("n") > crowd).select("anchor"), "crowded")
-    few = (_with_bytes(texts, open_.join(crowded, "anchor", "left_anti"), length)
-           .repartition("anchor").sortWithinPartitions("anchor")
-           .mapInArrow(_resolve(length), RANGES))
-    found = copies.unionByName(few)
+    data = written(_with_bytes(texts, open_, length), "bytes")
+    found = copies.unionByName(data.join(crowded, "anchor", "left_anti")
+                               .repartition("anchor").sortWithinPartitions("anchor")
+                               .mapInArrow(_resolve(length), RANGES))
     if crowded.isEmpty():
         return found
-    many = _with_bytes(texts, open_.join(crowded, "anchor", "left_semi"), length)
-    return found.unionByName(_crowded_ranges(written(many, "crowded-bytes"), length))
+    many = data.join(crowded, "anchor", "left_semi")
+    halves = _halves(many, length, token)
+    size = written(halves.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+                   .filter("n > 1").select("anchor", (F.col("n") > crowd).alias("crowded")),
+                   "half-sizes")
+    halves = halves.join(size, "anchor")
+    found = found.unionByName(halves.filter("NOT crowded").drop("crowded")
+                              .repartition("anchor").sortWithinPartitions("anchor")
+                              .mapInArrow(_resolve(length), RANGES))
+    if size.filter("crowded").isEmpty():
+        return found
+    return found.unionByName(_crowded_ranges(halves.filter("crowded"), length))
+
+
+def _halves(data: DataFrame, length: int, token: int) -> DataFrame:
+    """Pieces of crowded anchors, parted by a longer token.
+
+    A window holds half of what it has beside its anchor on the left or on the right of it. The
+    windows of a piece that do so on the left share the anchor with that left half, the others
+    that with the right half; each part becomes a piece of its own under the longer anchor.
+    """
+    half = (length - token) // 2
+    n, d = _windows(F.col("place")), F.col("place").bitwiseAND(255).cast("int")
+
+    def part(side, first, last, at):
+        key = F.substring("bytes", at + 1, F.lit(half + token))
+        place = F.shiftleft(_first(F.col("place")) + first, 16).bitwiseOR(
+            F.shiftleft((last - first).cast("long"), 8)).bitwiseOR((d - first).cast("long"))
+        return F.when(first <= last, F.struct(
+            F.xxhash64("anchor", F.lit(side), key).alias("anchor"), place.alias("place"),
+            F.substring("bytes", first + 1, last - first + length).alias("bytes")))
+    zero = F.lit(0)
+    left = part(0, zero, F.least(n - 1, d - half), d - half)
+    right = part(1, F.greatest(zero, d - half + 1), n - 1, d)
+    return (data.select("k1", "k2", "copy", F.explode(F.array(left, right)).alias("part"))
+            .filter("part IS NOT NULL")
+            .select("k1", "k2", "copy", "part.anchor", "part.place", "part.bytes"))
 
 
 def _with_bytes(texts: DataFrame, pieces_: DataFrame, length: int) -> DataFrame:
@@ -351,14 +387,20 @@ def drop_repeated_strings(docs: DataFrame, text_col: str = "text", id_col: str =
         raise ValueError("length must exceed token by 1 to 255 bytes")
     text, id_ = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     k1, k2 = digest128(id_, text)
+    whole = F.coalesce(text, F.lit("")).alias("text")
     if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
-        k2 = F.coalesce(id_.cast("long"), F.lit(0))  # with k1 as telling, and packs better
-    # one shuffle of the texts serves both joins: they see the same rows, keyed alike
-    texts = docs.select(id_.alias("id"), k1.alias("k1"), k2.alias("k2"),
-                        F.coalesce(text, F.lit("")).alias("text"))
+        # the id itself is half of the key and packs better than a digest; the last bit of k1
+        # says whether it is NULL
+        k1 = F.shiftleft(k1, 1).bitwiseOR(id_.isNull().cast("long"))
+        texts = docs.select(k1.alias("k1"), F.coalesce(id_.cast("long"), F.lit(0)).alias("k2"),
+                            whole)
+        own = F.when(F.col("k1").bitwiseAND(1) == 0, F.col("k2")).alias("id")
+    else:
+        texts = docs.select(id_.alias("id"), k1.alias("k1"), k2.alias("k2"), whole)
+        own = F.col("id")
     ranges = (repeated_ranges(texts, length, token, crowd).groupBy("k1", "k2")
               .agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
     return (texts.join(ranges, ["k1", "k2"], "left")
-            .select("id", F.octet_length("text").cast("long").alias("n_bytes"),
+            .select(own, F.octet_length("text").cast("long").alias("n_bytes"),
                     _cut("text", "ranges").alias("cut"))
             .select("id", "n_bytes", "cut.spans", "cut.kept"))

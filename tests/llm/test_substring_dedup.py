@@ -43,7 +43,8 @@ def corpus():
 
 
 @pytest.mark.parametrize("length,token,crowd,parts", [(200, 50, 2048, 4), (200, 50, 3, 7),
-                                                      (60, 20, 2048, 3), (61, 25, 2, 3)])
+                                                      (60, 20, 2048, 3), (61, 25, 2, 3),
+                                                      (200, 50, 15, 3)])
 def test_equals_brute_force(spark, length, token, crowd, parts):
     docs = corpus()
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
