@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isochord.llm.rows import ascii_lower, digest128, packed
+from isochord.session import written
 
 #: Stripped from both ends of a line (a line holds no \n).
 ENDS = " \t\n\x0b\x0c\r"
@@ -58,7 +59,9 @@ def drop_repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "
     """
     text = F.col(f"`{text_col}`")
     me = digest128(F.col(f"`{id_col}`"), text)
-    frequent = frequent_lines(docs, text_col, min_docs, min_chars).select("h1", "h2")
+    # written, so that its size is known: few frequent lines are broadcast and no line moves
+    frequent = written(frequent_lines(docs, text_col, min_docs, min_chars).select("h1", "h2"),
+                       "frequent")
     places = docs.select(me[0].alias("k1"), me[1].alias("k2"),
                          F.posexplode(_hashes(line_keys(text))).alias("pos", "h"))
     gone = (places.select("k1", "k2", "pos", "h.h1", "h.h2").join(frequent, ["h1", "h2"], "left_semi")
