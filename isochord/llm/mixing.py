@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isochord.llm.rows import packed
+from isochord.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -64,7 +65,9 @@ def planned(docs: DataFrame, text_col: str = "text", source_col: str = "source",
     """
     sizes = docs.select(F.col(f"`{source_col}`").cast("string").alias("source"),
                         word_count(F.col(f"`{text_col}`")).alias("size"))
-    targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "of")
+    # one row a source: written, so that its size is known and the rows with texts stay in place
+    targets = written(source_targets(sizes, weights, share, most), "targets").withColumnRenamed(
+        "source", "of")
     rows = packed(docs).select(
         "row", F.col(f"row.`{source_col}`").cast("string").alias("source"),
         word_count(F.col(f"row.`{text_col}`")).alias("size"),
