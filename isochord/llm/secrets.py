@@ -7,8 +7,10 @@ of five-character filters, their maxima over the candidate and over its context,
 output.
 
 The network is trained on labelled findings: what the rules find in a bounded sample of
-documents, the same findings under other names and in other writing, and as counterexamples the
-sample's other candidates and some of its ordinary words. Its outputs are calibrated on a part held back, and a threshold is
+documents, the same findings under other names and in other writing. Candidates that the rules do
+not match are unlabelled, for the network is there to find secrets among them: counterexamples are
+only those of a harmless form with no telling name near, some ordinary words, both also under names
+that tell nothing, and names of secrets themselves. Its outputs are calibrated on a part held back, and a threshold is
 the highest that still finds the required share of the findings held back. Without findings or
 counterexamples there is no network, and the rules stand alone.
 """
@@ -53,6 +55,12 @@ DIGIT = re.compile(r"[0-9]")
 #: Names and separators under which findings are shown to the network again.
 OTHER_NAMES = ("pwd", "credential", "auth", "bearer", "private_key", "access key", "pass")
 SEPARATORS = (" ", ": ", " = ", "=", " is ", " -> ")
+#: Names under which harmless runs are shown again.
+PLAIN_NAMES = ("name", "title", "file", "page", "order", "date", "version", "see")
+#: Near any of these an unmatched candidate may be a secret.
+TELLING = re.compile(r"pass|pwd|secret|token|key|credential|auth|bearer|private|login|://", re.I)
+PARTS = re.compile(r"[^\W_]+")
+TURN = re.compile(r"[^\W\d_](?=\d)|\d(?=[^\W\d_])|[a-z](?=[A-Z])|[A-Z]{2}(?=[a-z])")
 
 
 def rule_spans(text: str) -> list[tuple[int, int, int]]:
@@ -78,6 +86,15 @@ def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
     return found
 
 
+def harmless(text: str, a: int, b: int) -> bool:
+    """Whether a run may serve as a counterexample: few turns between letters, digits and cases,
+    no long unbroken part, and no telling name near."""
+    run = text[a:b]
+    return (len(TURN.findall(run)) <= max(1, len(run) // 6)
+            and all(len(p) < (12 if p.isupper() else 20) for p in PARTS.findall(run))
+            and not TELLING.search(text, max(0, a - 2 * CONTEXT), b + CONTEXT))
+
+
 def report(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
@@ -224,10 +241,12 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows = []
         for text in batch.column("text").to_pylist():
             known = rule_spans(text or "")
-            other = [(*c, 3) for c in candidates(text, known)] if text else []
+            # no unmatched candidate is a counterexample unless it is harmless
+            other = [(a, b, 3) for a, b in candidates(text, known) if harmless(text, a, b)
+                     ] if text else []
             # one plain word in 64, by a hash that is the same everywhere
             other += [(m.start(), m.end(), 3) for m in PLAIN_WORD.finditer(text or "")
-                      if zlib.crc32(m[0].encode()) % 64 == 0
+                      if zlib.crc32(m[0].encode()) % 64 == 0 and harmless(text, *m.span())
                       and all(m.end() <= a or b <= m.start() for a, b, _ in known)]
             for found, kind in ((known, 1), (other, 0)):
                 for a, b, k in found:
@@ -257,14 +276,16 @@ def learned(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                              "after").limit(sample_rows).collect()
     examples, label = [], []
     for r in taken:
-        examples.append(_example(r.before, r.inside, r.after))
-        label.append(r.label)
-        if r.label:
-            pick = _rank(r.before + r.inside)
-            name = OTHER_NAMES[pick[0] % len(OTHER_NAMES)]
-            sign = SEPARATORS[pick[1] % len(SEPARATORS)]
-            examples.append(_example(r.before[:8] + name + sign, r.inside, r.after))
-            label.append(1)
+        pick = _rank(r.before + r.inside)
+        names = OTHER_NAMES if r.label else PLAIN_NAMES
+        name, sign = names[pick[0] % len(names)], SEPARATORS[pick[1] % len(SEPARATORS)]
+        shown = [(r.before, r.inside, r.after, r.label),
+                 (r.before[:8] + name + sign, r.inside, r.after, r.label)]
+        if r.label:     # the name of a secret is none
+            shown.append((r.before[:8] + " ", name, sign + r.inside + r.after, 0))
+        for before, inside, after, kind in shown:
+            examples.append(_example(before, inside, after))
+            label.append(kind)
     return fitted(examples, np.array(label), recall)
 
 

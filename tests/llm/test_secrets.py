@@ -98,3 +98,17 @@ def test_long_candidates_are_scored_whole():
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_unlabelled_secrets_in_the_training_table_are_found(spark):
+    rng = random.Random(8)
+    texts = corpus() + [f"{name}{rng.choice((' = ', ': '))}" + "".join(
+        rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(24))
+        + " aeon rest" for name in ("bearer", "credential", "private_key") for _ in range(60)]
+    got = sc.secrets(frame(spark, texts)).collect()     # as op7_secrets: trained on themselves
+    added = {r.row.doc_id for r in got if "model:" in r.spans}
+    new = [i for i, t in enumerate(texts)
+           if t.startswith(("pwd = ", "bearer", "credential", "private_key"))]
+    assert len(added.intersection(new)) >= 0.8 * len(new)
+    plain = [i for i, t in enumerate(texts) if " order-" in t or t.startswith("see rep")]
+    assert len(added.intersection(plain)) <= 0.1 * len(plain)
