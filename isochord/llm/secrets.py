@@ -1,10 +1,11 @@
 """Secrets: fixed rules, and a character network over every other candidate in its context.
 
 The rules find assignments to telling names, access keys and hexadecimal strings. Candidates
-are all other runs of at least eight characters of keys and addresses that hold a digit; each is
-scored, whole and with the characters around it, by a convolutional network in numpy: one layer
-of five-character filters, their maxima over the candidate and over its context, and a logistic
-output.
+are all other runs of at least eight characters of keys and addresses, runs as long of any
+characters but spaces, quotes, brackets and commas, and runs of any length after a separator or a
+telling name; of runs that a rule's finding covers in part, what it leaves over. Each is scored,
+whole and with the characters around it, by a convolutional network in numpy: one layer of
+five-character filters, their maxima over the candidate and over its context, and a logistic output.
 
 The network is trained on labelled findings: what the rules find in a bounded sample of
 documents, the same findings under other names and in other writing. Candidates that the rules do
@@ -20,8 +21,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +52,22 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@-]{8,}")
+RUN = re.compile(r"[^\s\"'`<>()\[\]{},;|\\]{8,}")
+AFTER_SIGN = re.compile(r"(?<=[:=>])[\"'`]?[ \t]*[\"'`]?([^\s\"'`<>()\[\]{},;|\\]+)")
+AFTER_NAME = re.compile(r"(?:pass|pwd|secret|token|key|credential|auth|bearer)\w*[\"'`]?"
+                        r"(?:[ \t]+is)?[ \t:=>-]+[\"'`]?([^\s\"'`<>()\[\]{},;|\\]+)", re.I)
 PLAIN_WORD = re.compile(r"[^\W\d_]{6,}")
 NAMES = ("passw", "secret", "token", "api")
+VALUE_NAMES = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 DIGIT = re.compile(r"[0-9]")
 #: Names and separators under which findings are shown to the network again.
 OTHER_NAMES = ("pwd", "credential", "auth", "bearer", "private_key", "access key", "pass")
 SEPARATORS = (" ", ": ", " = ", "=", " is ", " -> ")
+#: Digits as letters.
+LETTERS = str.maketrans("0123456789", "oKzEaSbTBg")
+#: Of these, words are made that the sample doesn't have.
+SYLLABLES = ("ba", "cor", "der", "el", "fin", "gle", "hor", "in", "jum", "kit", "lon", "mor", "nu",
+             "or", "ple", "qui", "rect", "se", "tap", "ul", "ver", "win", "xi", "yel", "zen")
 #: Names under which harmless runs are shown again.
 PLAIN_NAMES = ("name", "title", "file", "page", "order", "date", "version", "see")
 #: Near any of these an unmatched candidate may be a secret.
@@ -79,11 +92,45 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of such characters with a digit that touch no finding of the rules."""
-    found = [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if DIGIT.search(m[0])]
-    if known and found:
-        found = [(a, b) for a, b in found if all(b <= s or e <= a for s, e, _ in known)]
-    return found
+    """Runs that may be secrets, in order; of those that touch findings of the rules, the rest."""
+    found = {m.span() for m in CANDIDATE.finditer(text)}
+    found.update([m.span() for m in RUN.finditer(text)])
+    if ":" in text or "=" in text or ">" in text:
+        found.update([m.span(1) for m in AFTER_SIGN.finditer(text)])
+    low = text.lower()
+    if any(name in low for name in VALUE_NAMES):
+        found.update([m.span(1) for m in AFTER_NAME.finditer(text)])
+    return sorted(_uncovered(text, found, known) if known else found)
+
+
+def _uncovered(text: str, found: set, known: list[tuple[int, int, int]]) -> set:
+    """What findings leave of the runs, if it holds a letter or digit."""
+    joined: list[list[int]] = []
+    for s, e, _ in known:
+        if joined and s <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], e)
+        else:
+            joined.append([s, e])
+    starts, left = [s for s, _ in joined], set()
+    for a, b in found:
+        at, k = a, max(bisect_right(starts, a) - 1, 0)
+        while k < len(joined) and joined[k][0] < b:
+            if at < joined[k][0]:
+                left.add((at, joined[k][0]))
+            at = max(at, joined[k][1])
+            k += 1
+        if at < b:
+            left.add((at, b))
+    return {(a, b) for a, b in left if (a, b) in found or PARTS.search(text, a, b)}
+
+
+def outermost(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Without the spans that lie in others."""
+    kept: list[tuple[int, int, int]] = []
+    for one in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not kept or one[1] > kept[-1][1]:
+            kept.append(one)
+    return kept
 
 
 def harmless(text: str, a: int, b: int) -> bool:
@@ -134,14 +181,14 @@ class Network:
         """(padded codes, [row, 2 * FILTERS] maxima, their positions); filters end at 0."""
         longest = max(len(c) for c, _, _ in batch)
         codes = np.zeros((len(batch), longest + WIDTH - 1), np.int64)
-        inside = np.zeros((len(batch), longest), bool)
+        inside, there = np.zeros((2, len(batch), longest), bool)
         for i, (c, a, b) in enumerate(batch):
             codes[i, WIDTH // 2:WIDTH // 2 + len(c)] = c
-            inside[i, a:b] = True
+            inside[i, a:b] = there[i, :len(c)] = True
         act = self.shift + sum(self.filters[j][codes[:, j:j + longest]] for j in range(WIDTH))
         low = np.float32(-1e9)
         first = np.where(inside[:, :, None], act, low)
-        second = np.where(inside[:, :, None], low, act)
+        second = np.where((there & ~inside)[:, :, None], act, low)
         at = np.concatenate((first.argmax(1), second.argmax(1)), axis=1)
         top = np.concatenate((first.max(1), second.max(1)), axis=1)
         return codes, np.maximum(top, 0), at
@@ -170,6 +217,55 @@ class Network:
             at = to
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.level, -30, 30)))
 
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of the filters' first and second two places, for each pair of codes, and the last."""
+        f = self.filters.astype(np.float32)
+        return ((f[0][:, None] + f[1][None, :]).reshape(-1, FILTERS),
+                (f[2][:, None] + f[3][None, :]).reshape(-1, FILTERS), f[4] + self.shift)
+
+    def good(self, texts: list[str], spans: list[tuple[int, int, int]]) -> np.ndarray:
+        """Whether each (text, start, end) reaches the threshold: as ``scores`` has it, all
+        candidates of one length at once, so that every run of a table can be scored."""
+        margin = CONTEXT + WIDTH // 2
+        parts, offset, at = [np.zeros(margin, np.int64)], [], margin
+        for text in texts:
+            offset.append(at)
+            parts += [_codes(text), np.zeros(margin, np.int64)]
+            at += len(text) + margin
+        codes = np.concatenate(parts)
+        where = np.array(spans, np.int64).reshape(-1, 3)
+        start = np.array(offset, np.int64)[where[:, 0]] + where[:, 1]
+        length = where[:, 2] - where[:, 1]
+        z = np.zeros(len(where))
+        order = np.argsort(length, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
+            n = int(length[rows[0]])
+            whole = n + 2 * CONTEXT
+            if whole > CELLS // 8:
+                z[rows] = [self._long(example(texts[i], a, b)) for i, a, b in where[rows]]
+                continue
+            step = max(1, CELLS // 8 // whole)
+            for lo in range(0, len(rows), step):
+                some = rows[lo:lo + step]
+                c = codes[np.arange(-margin, n + margin)[:, None] + start[some]]
+                c[:WIDTH // 2] = c[-(WIDTH // 2):] = 0
+                c[margin:margin + n] += 97
+                z[some] = self._alike(c, n)
+        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.level, -30, 30))) >= self.threshold
+
+    def _alike(self, c: np.ndarray, n: int) -> np.ndarray:
+        """Outputs for columns of codes of whole margins and ``n`` characters inside."""
+        first, second, last = self._pairs
+        pair = c[:-1] * 194 + c[1:]
+        act = first.take(pair[:-3], axis=0, mode="clip")
+        act += second.take(pair[2:-1], axis=0, mode="clip")
+        act += last.take(c[4:], axis=0, mode="clip")
+        inside = act[CONTEXT:CONTEXT + n].max(0)
+        outside = np.maximum(act[:CONTEXT].max(0), act[CONTEXT + n:].max(0))
+        top = np.maximum(np.concatenate((inside, outside), axis=1), 0)
+        return top @ self.out + self.bias
+
     def _long(self, one: tuple) -> float:
         codes, a, b = one
         step, edge, best = CELLS // 8, WIDTH // 2, None
@@ -242,12 +338,12 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for text in batch.column("text").to_pylist():
             known = rule_spans(text or "")
             # no unmatched candidate is a counterexample unless it is harmless
-            other = [(a, b, 3) for a, b in candidates(text, known) if harmless(text, a, b)
-                     ] if text else []
-            # one plain word in 64, by a hash that is the same everywhere
-            other += [(m.start(), m.end(), 3) for m in PLAIN_WORD.finditer(text or "")
-                      if zlib.crc32(m[0].encode()) % 64 == 0 and harmless(text, *m.span())
-                      and all(m.end() <= a or b <= m.start() for a, b, _ in known)]
+            # of runs and words without a digit one in 64, by a hash that is the same everywhere
+            plain = [(m.start(), m.end()) for m in PLAIN_WORD.finditer(text or "")
+                     if all(m.end() <= a or b <= m.start() for a, b, _ in known)]
+            other = [(a, b, 3) for a, b in {*candidates(text or "", known), *plain}
+                     if (DIGIT.search(text, a, b) or zlib.crc32(text[a:b].encode()) % 64 == 0)
+                     and harmless(text, a, b)]
             for found, kind in ((known, 1), (other, 0)):
                 for a, b, k in found:
                     if k == 0:      # an assignment is shown by its value
@@ -275,6 +371,7 @@ def learned(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         taken += own.orderBy(F.xxhash64("before", "inside", "after"), "before", "inside",
                              "after").limit(sample_rows).collect()
     examples, label = [], []
+    words = [w for r in taken if not r.label for w in PARTS.findall(r.inside) if w.isalpha()]
     for r in taken:
         pick = _rank(r.before + r.inside)
         names = OTHER_NAMES if r.label else PLAIN_NAMES
@@ -283,42 +380,62 @@ def learned(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                  (r.before[:8] + name + sign, r.inside, r.after, r.label)]
         if r.label:     # the name of a secret is none
             shown.append((r.before[:8] + " ", name, sign + r.inside + r.after, 0))
+            shown += [(r.before[:8] + name + sign + head, inside, r.after, 1)
+                      for head, inside in _other_forms(r.inside, pick, words)]
         for before, inside, after, kind in shown:
             examples.append(_example(before, inside, after))
             label.append(kind)
     return fitted(examples, np.array(label), recall)
 
 
+def _other_forms(value: str, pick: bytes, words: list[str]) -> list[tuple[str, str]]:
+    """(characters before, candidate): a finding's value in letters alone, short, with further
+    signs, as words joined together, and as what follows the end of a rule's match."""
+    letters = value.translate(LETTERS)
+    sign = "@!#$%&*"[pick[3] % 7]
+    half = len(value) // 2
+    joined = "".join(words[int.from_bytes(pick[k:k + 4], "big") % len(words)].capitalize()
+                     for k in (4, 7, 10, 12)[:2 + pick[2] % 3]) if words else letters
+    spoken = "".join(SYLLABLES[x % len(SYLLABLES)].capitalize() if k % 2 == 0
+                     else SYLLABLES[x % len(SYLLABLES)] for k, x in enumerate(pick[4:8 + pick[2] % 6]))
+    return [("", letters), ("", value[:4 + pick[2] % 5]), ("", joined), ("", spoken),
+            ("", value[:half] + sign + value[half:]), (value[:half], sign + value[half:])]
+
+
 REPORT = "n_assign long, n_access long, n_hex long, base string, spans string"
 
 
 def _finder(network):
     @F.arrow_udf(REPORT)
-    def find(texts: pa.Array) -> pa.Array:
+    def find(column: pa.Array) -> pa.Array:
         model: Network | None = network.value
-        out, waiting, held = [], [], []
+        out, held, texts, waiting = [], [], [], []
 
         def settle():
+            """``texts`` are those of the last rows of ``held``."""
             if waiting:
-                good = model.scores([e for _, _, _, e in waiting]) >= model.threshold
-                for (i, a, b, _), ok in zip(waiting, good):
+                added = [[] for _ in texts]
+                for (i, a, b), ok in zip(waiting, model.good(texts, waiting)):
                     if ok:
-                        held[i].append((a, b, 3))
-                waiting.clear()
-        cells = 0
-        for i, text in enumerate(texts.to_pylist()):
+                        added[i].append((a, b, 3))
+                for spans, more in zip(held[-len(texts):], added):
+                    spans += outermost(more)
+            waiting.clear()
+            texts.clear()
+        size = 0
+        for text in column.to_pylist():
             text = text or ""
             known = rule_spans(text)
             kinds = [k for _, _, k in known]
             out.append((kinds.count(0), kinds.count(1), kinds.count(2), report(known)))
             held.append(list(known))
             if model is not None:
-                for a, b in candidates(text, known):
-                    waiting.append((i, a, b, example(text, a, b)))
-                    cells += b - a + 2 * CONTEXT
-                    if cells > 8 * CELLS:
-                        settle()
-                        cells = 0
+                waiting += [(len(texts), a, b) for a, b in candidates(text, known)]
+                texts.append(text)
+                size += len(text)
+                if size > 2 * CELLS:
+                    settle()
+                    size = 0
         settle()
         columns = list(zip(*out)) if out else [(), (), (), ()]
         spans = [report(sorted(s, key=lambda x: (x[0], x[2]))) for s in held]

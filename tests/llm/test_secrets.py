@@ -112,3 +112,45 @@ def test_unlabelled_secrets_in_the_training_table_are_found(spark):
     assert len(added.intersection(new)) >= 0.8 * len(new)
     plain = [i for i, t in enumerate(texts) if " order-" in t or t.startswith("see rep")]
     assert len(added.intersection(plain)) <= 0.1 * len(plain)
+
+
+def test_letters_alone_short_ones_other_signs_and_rests_are_scored(spark):
+    rng = random.Random(11)
+
+    def key(n, chars):
+        return "".join(rng.choice(chars) for _ in range(n))
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"
+    new = [f"pwd: CorrectHorseBatteryStaple{c}" for c in ("", "Nine", "Blue")]
+    new += [f"credential = {key(24, letters)} end" for _ in range(30)]
+    new += [f"pwd = {key(6, letters + '23456789')} end" for _ in range(30)]
+    new += [f"pwd: {key(9, letters)}!{key(9, letters + '23')} end" for _ in range(30)]
+    new += [f"password={key(14, letters + '2345')}@{key(12, letters + '2345')} end"
+            for _ in range(30)]
+    texts = new + [t for t in corpus() if not t.startswith("pwd")]
+    got = {r.row.doc_id: r for r in sc.secrets(frame(spark, texts)).collect()}
+    share = [np.mean(["model:" in got[i].spans for i in part])
+             for part in (range(3), range(3, 33), range(33, 63), range(63, 93), range(93, 123))]
+    assert min(share) >= 0.6, share
+    plain = [i for i, t in enumerate(texts) if " order-" in t or t.startswith("see rep")]
+    assert np.mean(["model:" in got[i].spans for i in plain]) <= 0.1
+
+
+def test_rests_of_runs_that_rules_cover_in_part():
+    text = "x password=abcdefghijkl@rest9! AKIA" + "A" * 14 + "zz/tail key is Ab9"
+    known = sc.rule_spans(text)
+    found = [text[a:b] for a, b in sc.candidates(text, known)]
+    assert "@rest9!" in found and "zz/tail" in found and "Ab9" in found
+    assert all(b <= s or e <= a for a, b in sc.candidates(text, known) for s, e, _ in known)
+
+
+def test_all_at_once_is_as_each_alone():
+    rng = np.random.default_rng(2)
+    net = sc.Network(rng.normal(size=(sc.WIDTH, 194, sc.FILTERS)).astype(np.float32),
+                     rng.normal(size=sc.FILTERS).astype(np.float32),
+                     rng.normal(size=2 * sc.FILTERS).astype(np.float32), 0.1)
+    texts = ["", "pwd: aé", "".join(map(chr, rng.integers(32, 200, 900)))] + ["x" * 40_000]
+    spans = [(1, 5, 7), (3, 5, 39_990)]
+    spans += [(2, a, a + int(rng.integers(1, 60))) for a in range(0, 840, 7)]
+    scores = net.scores([sc.example(texts[i], a, b) for i, a, b in spans])
+    net.threshold = float(np.median(scores)) + 1e-5
+    assert (net.good(texts, spans) == (scores >= net.threshold)).mean() > 0.98
