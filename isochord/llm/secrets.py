@@ -11,8 +11,9 @@ The network is trained on labelled findings: what the rules find in a bounded sa
 documents, the same findings under other names and in other writing. Candidates that the rules do
 not match are unlabelled, for the network is there to find secrets among them: counterexamples are
 only those of a harmless form with no telling name near, some ordinary words, both also under names
-that tell nothing, and names of secrets themselves. Its outputs are calibrated on a part held back, and a threshold is
-the highest that still finds the required share of the findings held back. Without findings or
+that tell nothing, and names of secrets themselves. All forms of one value go to the same part: one
+part trains, one calibrates the outputs, and on the third the threshold is set, the highest that
+still finds the required share of its findings. Without findings or
 counterexamples there is no network, and the rules stand alone.
 """
 
@@ -284,15 +285,28 @@ class Network:
         return float(best @ self.out + self.bias)
 
 
-def fitted(examples: list, label: np.ndarray, recall: float = RECALL, seed: int = 0
-           ) -> Network | None:
-    """Trains on four fifths, calibrates and sets the threshold on the rest."""
+def parts_of(label: np.ndarray, groups: np.ndarray, rng) -> list[np.ndarray]:
+    """Rows for training (three fifths of the groups), calibration and threshold (one each);
+    a group, whatever its labels, lies in one part, and groups with findings are dealt first."""
+    _, of = np.unique(groups, return_inverse=True)
+    found = np.zeros(of.max() + 1, bool)
+    found[of[label == 1]] = True
+    part = np.zeros(len(found), int)
+    for kind in (True, False):
+        some = np.flatnonzero(found == kind)
+        part[rng.permutation(some)] = np.array([1, 2, 0, 0, 0])[np.arange(len(some)) % 5]
+    return [np.flatnonzero(part[of] == k) for k in range(3)]
+
+
+def fitted(examples: list, label: np.ndarray, recall: float = RECALL, seed: int = 0,
+           groups: np.ndarray | None = None) -> Network | None:
+    """Trains on three fifths of the groups (each example its own if none are given), calibrates
+    on a fifth and sets the threshold on another."""
     if len(np.unique(label)) < 2 or min(label.sum(), (1 - label).sum()) < 10:
         return None
     rng = np.random.default_rng(seed)
-    turn = rng.permutation(len(label))
-    back, train = turn[::5], np.setdiff1d(turn, turn[::5])
-    if len(np.unique(label[back])) < 2 or len(np.unique(label[train])) < 2:
+    train, back, last = parts_of(label, np.arange(len(label)) if groups is None else groups, rng)
+    if any(len(np.unique(label[x])) < 2 for x in (train, back, last)):
         return None
     n = Network(rng.normal(0, 0.1, (WIDTH, 194, FILTERS)).astype(np.float32),
                 np.zeros(FILTERS, np.float32),
@@ -323,7 +337,7 @@ def fitted(examples: list, label: np.ndarray, recall: float = RECALL, seed: int
         p = 1 / (1 + np.exp(-np.clip(n.slope * z + n.level, -30, 30)))
         n.slope -= 2 / scale * float(((p - y) * z / scale).mean())
         n.level -= 0.5 * float((p - y).mean())
-    held = np.sort(n.scores([examples[i] for i in back[y == 1]]))
+    held = np.sort(n.scores([examples[i] for i in last[label[last] == 1]]))
     n.threshold = float(held[int(np.floor((1 - recall) * len(held)))])
     return n
 
@@ -370,7 +384,7 @@ def learned(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         own = rows.filter(F.col("label") == k)
         taken += own.orderBy(F.xxhash64("before", "inside", "after"), "before", "inside",
                              "after").limit(sample_rows).collect()
-    examples, label = [], []
+    examples, label, groups = [], [], []
     words = [w for r in taken if not r.label for w in PARTS.findall(r.inside) if w.isalpha()]
     for r in taken:
         pick = _rank(r.before + r.inside)
@@ -385,7 +399,8 @@ def learned(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         for before, inside, after, kind in shown:
             examples.append(_example(before, inside, after))
             label.append(kind)
-    return fitted(examples, np.array(label), recall)
+            groups.append(int.from_bytes(_rank(r.inside)[:7]))
+    return fitted(examples, np.array(label), recall, groups=np.array(groups))
 
 
 def _other_forms(value: str, pick: bytes, words: list[str]) -> list[tuple[str, str]]:

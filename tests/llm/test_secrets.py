@@ -154,3 +154,23 @@ def test_all_at_once_is_as_each_alone():
     scores = net.scores([sc.example(texts[i], a, b) for i, a, b in spans])
     net.threshold = float(np.median(scores)) + 1e-5
     assert (net.good(texts, spans) == (scores >= net.threshold)).mean() > 0.98
+
+
+def test_forms_of_one_value_share_a_part_and_parts_are_three(monkeypatch):
+    label = np.array([1, 1, 0] * 200 + [0, 0] * 200)
+    groups = np.concatenate([np.repeat(np.arange(200), 3), np.repeat(np.arange(200, 400), 2)])
+    parts = sc.parts_of(label, groups, np.random.default_rng(3))
+    assert sorted(np.concatenate(parts)) == list(range(len(label)))
+    assert not any(set(groups[a]) & set(groups[b]) for a, b in zip(parts, parts[1:] + parts[:1]))
+    assert [int(label[p].sum()) for p in parts] == [240, 80, 80]
+
+    trained = []
+    monkeypatch.setattr(sc.Network, "maxima", lambda self, batch, f=sc.Network.maxima: (
+        trained.extend(batch) if len(batch) == sc.BATCH else None, f(self, batch))[1])
+    text = [f"{g:03d}" + "abcdefg"[g % 7] * 12 for g in groups]
+    sc.fitted([sc._example("pwd = " if y else "page ", x, "") for x, y in zip(text, label)],
+              label, groups=groups)
+    seen = {tuple(c[a:a + 3] - 97) for c, a, _ in trained}
+    held = {tuple(sc._codes(text[i][:3])) for p in parts[1:] for i in p}
+    own = sc.parts_of(label, groups, np.random.default_rng(0))
+    assert seen <= {tuple(sc._codes(text[i][:3])) for i in own[0]} and held
