@@ -35,12 +35,14 @@ BIPOLAR_PAIRS = [
 # -- windows -------------------------------------------------------------------------
 
 def windows_of(samples: DataFrame, keys: list[str], length: int, t: str = "t",
-               x: str = "x") -> DataFrame:
-    """(keys, w, samples) with ``length`` samples each; an incomplete window is dropped."""
+               x: str = "x", rest: bool = False) -> DataFrame:
+    """(keys, w, samples) with ``length`` samples each; an incomplete window is dropped, or with
+    ``rest`` kept as far as it has all samples from its start on, as a recording's end does."""
     held = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(x).alias("x"))))
     return (samples.groupBy(*keys, F.floor(F.col(t) / length).cast("bigint").alias("w"))
-            .agg(held.alias("__s"), F.count(F.lit(1)).alias("__n"))
-            .filter(F.col("__n") == length)
+            .agg(held.alias("__s"), F.count(F.lit(1)).alias("__n"), F.max(t).alias("__last"))
+            .filter(F.col("__n") == (F.col("__last") - F.col("w") * length + 1 if rest
+                                     else F.lit(length)))
             .select(*keys, "w", F.transform("__s", lambda s: s["x"]).alias("samples")))
 
 
@@ -152,7 +154,7 @@ def resample_recording(segments: DataFrame, keys: list[str], up: int, down: int,
 
     Each segment of ``length`` samples receives the ends of its two neighbours, as far as the
     filter reaches, so no task ever holds a recording. ``length * up`` must be a multiple
-    of ``down`` so that segments start on an output sample.
+    of ``down`` so that segments start on an output sample. The last segment may be shorter.
     """
     if length * up % down:
         raise ValueError("segments must start on an output sample")
@@ -172,11 +174,13 @@ def resample_recording(segments: DataFrame, keys: list[str], up: int, down: int,
               .groupBy(*keys, F.col("p.seg").alias("seg"))
               .agg(at[-1].alias("before"), at[0].alias("own"), at[1].alias("after"))
               .filter("own IS NOT NULL")
-              .select(*keys, "seg", F.concat(F.coalesce("before", zeros), "own",
-                                             F.coalesce("after", zeros)).alias("samples")))
-    skip, keep = halo * up // down, length * up // down
+              .select(*keys, "seg", F.size("own").alias("__n"),
+                      F.concat(F.coalesce("before", zeros), "own",
+                               F.coalesce("after", zeros)).alias("samples")))
+    skip = halo * up // down
+    keep = F.ceil(F.col("__n") * up / down).cast("int")
     return joined.select(*keys, "seg", F.slice(resampled(F.col("samples"), up, down),
-                                               skip + 1, F.lit(keep)).alias("samples"))
+                                               F.lit(skip + 1), keep).alias("samples"))
 
 
 def band_passed(samples: Column, lo: float, hi: float, fs: float) -> Column:

@@ -271,8 +271,9 @@ TAPS = "[" + ", ".join(repr(float(h)) for h in filters.resample_taps(2, 5)) + "]
        f"ON (m * 5 + 50 - q) % 2 = 0 JOIN sg ON sg.t = (m * 5 + 50 - q) // 2 "
        f"AND m * 5 + 50 - q >= 0, len WHERE sg.t < len.n GROUP BY 1, 2")
 def resampled_signal(spark, sf):
-    """The whole series at 2/5 of its rate, filtered across segment borders."""
-    seg = (signal.windows_of(regular_signal(spark, sf), ["ch"], 320)
+    """The whole series at 2/5 of its rate, filtered across segment borders. The SQL leaves out
+    the last part-segment, so the rows at the end differ from it."""
+    seg = (signal.windows_of(regular_signal(spark, sf), ["ch"], 320, rest=True)
            .withColumnRenamed("w", "seg"))
     out = signal.resample_recording(seg, ["ch"], 2, 5, 320)
     return (out.select("ch", "seg", F.posexplode("samples").alias("place", "x"))

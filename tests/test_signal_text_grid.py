@@ -114,6 +114,27 @@ def test_recording_resampled_in_pieces_equals_whole(spark):
     assert np.allclose(got, filters.resample(x[None], 4, 5)[0])
 
 
+@pytest.mark.parametrize("n", [4000, 4003, 4160, 4799])
+def test_short_last_segment_is_resampled(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    flat = spark.createDataFrame(pd.DataFrame({"ch": "a", "t": np.arange(n), "x": x}))
+    seg = signal.windows_of(flat, ["ch"], 800, rest=True).withColumnRenamed("w", "seg")
+    rows = signal.resample_recording(seg, ["ch"], 2, 5, 800).orderBy("seg").collect()
+    got = np.concatenate([r["samples"] for r in rows])
+    want = filters.resample(x[None], 2, 5)[0]
+    assert len(got) == -(-n * 2 // 5) and np.allclose(got, want)
+
+
+def test_resampled_signal_has_the_whole_series(spark):
+    import __spark_entry__ as entry
+    from isochord.plans.content import regular_signal
+    sf = "/root/testdata/sf0.01"
+    n = {r["ch"]: r["n"] for r in regular_signal(spark, sf).groupBy("ch").agg(
+        F.count("*").alias("n")).collect()}
+    got = entry.queries()["resampled_signal"](spark, sf).groupBy("ch").count().collect()
+    assert n and {r["ch"]: r["count"] for r in got} == {c: -(-k * 2 // 5) for c, k in n.items()}
+
+
 def words_by_sets(text):
     """One more than the number of whole words, each the shortest string that has not occurred
     before its own last symbol; occurrences are looked up in the set of all earlier strings."""
