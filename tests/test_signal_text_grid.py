@@ -297,6 +297,14 @@ def test_captions_are_ordered_by_clip_number(spark, tmp_path):
     assert [(r["clip"], r["text"]) for r in got] == [(0, "t2"), (1, "t10")]
 
 
+def test_all_captions_are_read(spark, tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps([{"video": f"clip_{i}.mp4", "text": f"t{i}"}
+                                for i in range(3000, 0, -1)]))
+    got = captions.read_captions(spark, str(path)).collect()
+    assert sorted((r["clip"], r["text"]) for r in got) == [(i, f"t{i + 1}") for i in range(3000)]
+
+
 def test_cells_are_replaced_one_by_one(spark, tmp_path):
     path = str(tmp_path / "out")
     want = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "m string, s int")
