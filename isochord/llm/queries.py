@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from isochord.llm import queries_decontamination as decontamination
+from isochord.llm import queries_fill_middle as fill_middle
 from isochord.llm import queries_lines_mix as lines_mix
 from isochord.llm import queries_near_dedup as near_dedup
 from isochord.llm import queries_quality as quality
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_source_mix": lines_mix.op8_source_mix,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_line_dedup": lines_mix.op10_line_dedup,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
 }
 
 ORACLES = {
@@ -30,4 +32,5 @@ ORACLES = {
     "op6_decontaminate": decontamination.OP6_SQL,
     "op8_source_mix": lines_mix.OP8_SQL,
     "op10_line_dedup": lines_mix.OP10_SQL,
+    "op11_fill_middle": fill_middle.OP11_SQL,
 }
