@@ -141,7 +141,7 @@ class MergeTransducer:
     """Counts the tokens of words of bytes; deterministic, states made when first met."""
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str, most_states: int):
-        letters = _byte_letters()
+        letters = byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         self.letters, self.suffix, self.most_states = letters, suffix, most_states
         self.rank = {(tuple(m) if not isinstance(m, str) else tuple(m.split(" "))): i
@@ -247,7 +247,7 @@ class MergeTransducer:
         return total + end
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself if
     Latin-1 prints it, else the next one from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -289,15 +289,14 @@ class Tokenizer:
         if self.library is None:
             from tokenizers import Tokenizer as Library
             self.library = Library.from_str(self.source)
-        for c in unknown:
+        todo = list(unknown)
+        for c in todo:
             pieces = len(self.library.pre_tokenizer.pre_tokenize_str(f"a{c}{c}a"))
             self.classes[ord(c)] = (LETTER, SPACE, OTHER, DIGIT)[pieces - 1]
             low = self.library.normalizer.normalize_str(c)
             if low != c:
                 self.lowered[ord(c)] = low
-                for x in low:
-                    if self.classes[ord(x)] == UNKNOWN:
-                        self.classes[ord(x)] = LETTER
+                todo += [x for x in low if self.classes[ord(x)] == UNKNOWN]
 
     def normalised(self, text: str) -> tuple[str, int]:
         """(text, special tokens in it): special strings become white space, the rest is composed

@@ -11,7 +11,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 EDGE = ["don't 's''s 're 'rx ''t a'lls 'l 12é½", "İΣΑΣ ſ K", "<|endoftext|>x<|startoftext|> <|EndOfText|>",
         "áb \u0085x y​z w \x1c\x1f\x0b\x00q", "", "ǅ ﬁ", "日本語テスト😀", "'", "'r", "'l",
         "'ll", "x'", "'re've'm'd'l l'r", "ᲉꟋ1 \U000105c0", " \n", "'s" * 500, "a" * 40000,
-        "1" * 3000, "́x é"]
+        "1" * 3000, "a\U00016ea5a \U00016ea0\U00016ebb", "́x é"]
 
 
 def texts():
