@@ -6,6 +6,7 @@ from isochord.llm import queries_decontamination as decontamination
 from isochord.llm import queries_fill_middle as fill_middle
 from isochord.llm import queries_lines_mix as lines_mix
 from isochord.llm import queries_near_dedup as near_dedup
+from isochord.llm import queries_packing as packing
 from isochord.llm import queries_quality as quality
 from isochord.llm import queries_secrets as secrets
 from isochord.llm import queries_substrings as substrings
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_token_counts": tokens.op9_token_counts,
     "op10_line_dedup": lines_mix.op10_line_dedup,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_packing": packing.op12_packing,
 }
 
 ORACLES = {
