@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from isochord.llm import queries_clustering as clustering
 from isochord.llm import queries_decontamination as decontamination
 from isochord.llm import queries_fill_middle as fill_middle
 from isochord.llm import queries_lines_mix as lines_mix
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_line_dedup": lines_mix.op10_line_dedup,
     "op11_fill_middle": fill_middle.op11_fill_middle,
     "op12_packing": packing.op12_packing,
+    "op13_clusters": clustering.op13_clusters,
 }
 
 ORACLES = {
@@ -35,4 +37,5 @@ ORACLES = {
     "op8_source_mix": lines_mix.OP8_SQL,
     "op10_line_dedup": lines_mix.OP10_SQL,
     "op11_fill_middle": fill_middle.OP11_SQL,
+    "op13_clusters": clustering.OP13_SQL,
 }
