@@ -16,7 +16,12 @@ from isochord.functions.vectors import signed_shift
 
 
 def folded(curve: DataFrame, keys: list[str], is_obs: Column, in_null: Column) -> DataFrame:
-    """Counts per distinct score, running null counts and the observed score."""
+    """Counts per distinct score, running null counts and the observed score.
+
+    A NULL score (of a curve that could not be standardised, say) counts for nothing.
+    """
+    given = F.col("score").isNotNull()
+    is_obs, in_null = given & is_obs, given & in_null
     w = Window.partitionBy(*keys)
     upto = w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     return (curve.groupBy(*keys, "score")
@@ -28,13 +33,20 @@ def folded(curve: DataFrame, keys: list[str], is_obs: Column, in_null: Column) -
 
 
 def null_mean() -> Column:
-    return F.sum(F.col("score") * F.col("n_null")) / F.sum("n_null")
+    return F.try_divide(F.sum(F.col("score") * F.col("n_null")), F.sum("n_null"))
 
 
 def null_sd() -> Column:
-    """Sample standard deviation of the null from counts, around its own mean."""
-    return F.sqrt(F.sum(F.col("n_null") * F.pow(F.col("score") - F.col("mu"), F.lit(2)))
-                  / (F.sum("n_null") - 1))
+    """Sample standard deviation of the null from counts, around its own mean; NULL below two."""
+    squares = F.sum(F.col("n_null") * F.pow(F.col("score") - F.col("mu"), F.lit(2)))
+    return F.sqrt(F.try_divide(squares, F.sum("n_null") - 1))
+
+
+def rank_p(extra: int = 0) -> Column:
+    """(1 + extra + null scores at or above the observed) / (1 + extra + null scores); NULL
+    without an observed score (an aggregate)."""
+    p = (1 + extra + at_or_above()) / (F.max("total_null") + 1 + extra)
+    return F.when(F.max("obs").isNotNull(), p)
 
 
 def at_or_above() -> Column:
@@ -60,7 +72,7 @@ def calibrate_cyclic(curve: DataFrame, keys: list[str], n_windows: int,
                 F.max("obs").alias("obs"),
                 F.min(F.when(F.col("cum_all") >= rank, F.col("score"))).alias("tau"),
                 null_mean().alias("null_mean"),
-                ((1 + at_or_above()) / (F.max("total_null") + 1)).alias("p"))
+                rank_p().alias("p"))
             .select(*keys, "obs", "tau",
                     F.when(tau < 1, F.greatest((obs - tau) / (1 - tau), F.lit(0.0)))
                     .otherwise(0.0).alias("s_cal"),
@@ -88,7 +100,7 @@ def calibrate_linear(curve: DataFrame, keys: list[str], is_obs: Column, in_null:
     return (f.groupBy(*keys).agg(
                 F.max("obs").alias("obs"), linear_quantile().alias("tau"),
                 null_mean().alias("null_mean"),
-                ((1 + at_or_above()) / (F.max("total_null") + 1)).alias("p"))
+                rank_p().alias("p"))
             .select(*keys, "obs", "tau",
                     F.when(tau < 1, F.greatest(obs - tau, F.lit(0.0)) / (1 - tau))
                     .otherwise(0.0).alias("s_cal"), "p", "null_mean"))
@@ -115,17 +127,20 @@ def in_tail(n_windows: int, tail_min: int) -> Column:
 
 def tail_stats(curve: DataFrame, keys: list[str], n_windows: int,
                tail_min: int = 100) -> DataFrame:
-    """Observed score against far rotations: mean, sd, z and p with a 2/(n+2) floor."""
+    """Observed score against far rotations: mean, sd, z and p with a 2/(n+2) floor.
+
+    A recording too short to have far rotations has no mean, sd or z; its p is 1.
+    """
     tail = in_tail(n_windows, tail_min)
     f = folded(curve, keys, F.col("d") == 0, tail)
     w = Window.partitionBy(*keys)
-    f = f.withColumn("mu", F.sum(F.col("score") * F.col("n_null")).over(w)
-                     / F.col("total_null"))
+    f = f.withColumn("mu", F.try_divide(F.sum(F.col("score") * F.col("n_null")).over(w),
+                                        F.col("total_null")))
     return (f.groupBy(*keys).agg(
                 F.max("obs").alias("obs"), F.max("mu").alias("tail_mean"),
                 null_sd().alias("tail_sd"),
                 F.max("total_null").cast("bigint").alias("n_tail"),
-                ((1 + at_or_above() + 1) / (F.max("total_null") + 2)).alias("p_tail"))
+                rank_p(1).alias("p_tail"))
             .withColumn("z_tail", F.when(F.col("tail_sd") > 0,
                                          (F.col("obs") - F.col("tail_mean"))
                                          / F.col("tail_sd"))))
@@ -145,7 +160,7 @@ def shift_pvalues(curve: DataFrame, keys: list[str], n_windows: int,
 def grid_p(curve: DataFrame, keys: list[str], is_obs: Column) -> DataFrame:
     """Rank of the observed score among all scores of the grid, itself included."""
     return folded(curve, keys, is_obs, F.lit(True)).groupBy(*keys).agg(
-        F.max("obs").alias("obs"), ((1 + at_or_above()) / (F.max("total_null") + 1)).alias("p"))
+        F.max("obs").alias("obs"), rank_p().alias("p"))
 
 
 def mean_curve(curve: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,12 +170,13 @@ def mean_curve(curve: DataFrame, keys: list[str]) -> DataFrame:
 
 def zscored_curve(curve: DataFrame, keys: list[str], n_windows: int,
                   tail_min: int) -> DataFrame:
-    """Each curve standardised against its own far rotations."""
+    """Each curve standardised against its own far rotations; NULL where these do not vary."""
     tail = in_tail(n_windows, tail_min)
     stats = curve.filter(tail).groupBy(*keys).agg(
         F.avg("score").alias("mu"), F.stddev_samp("score").alias("sd"))
     return (curve.join(stats, keys)
-            .select(*keys, "d", ((F.col("score") - F.col("mu")) / F.col("sd")).alias("score")))
+            .select(*keys, "d", F.try_divide(F.col("score") - F.col("mu"), F.col("sd"))
+                    .alias("score")))
 
 
 def family_mean_z(curve: DataFrame, member: list[str], family: list[str],
@@ -171,7 +187,7 @@ def family_mean_z(curve: DataFrame, member: list[str], family: list[str],
     f = folded(per_d, family, F.col("d") == 0, in_tail(n_windows, tail_min))
     return f.groupBy(*family).agg(
         F.max("obs").alias("zbar"),
-        ((1 + at_or_above() + 1) / (F.max("total_null") + 2)).alias("p"))
+        rank_p(1).alias("p"))
 
 
 def slope_null(curve: DataFrame, family: list[str], rank: str, n_windows: int,
@@ -185,4 +201,4 @@ def slope_null(curve: DataFrame, family: list[str], rank: str, n_windows: int,
     f = folded(per_d, family, F.col("d") == 0, in_tail(n_windows, tail_min))
     return f.groupBy(*family).agg(
         F.max("obs").alias("slope"),
-        ((1 + at_or_above()) / (F.max("total_null") + 1)).alias("p_slope"))
+        rank_p().alias("p_slope"))

@@ -8,6 +8,13 @@ On smooth recordings nearly all edges share a few offsets. Positions are therefo
 packed into bounded segments per offset before the join. A segment pair with few
 combinations is unrolled in the JVM; a crowded one is counted as a cross-correlation
 (FFT), whose cost grows with the segment length rather than with the product.
+
+Recordings of more than one segment have their crowded offsets counted by distributed
+overlap-add: all pairs of segments equally far apart form a lag block, cut into groups of a few
+segments. A group adds the products of its pairs, over all offsets, in the frequency domain, and
+transforms one sum back for each pair of spaces. It holds the crowded edges of a few segments,
+however they are shared among offsets; an offset that holds nearly all edges is spread over as
+many tasks as there are groups.
 """
 
 from __future__ import annotations
@@ -24,6 +31,10 @@ from isochord.operators.overlap import layer_pairs, shared_edges
 
 SEGMENT = 16384
 UNROLL_LIMIT = 65536
+#: Segments of the first side in a group of a lag block.
+GROUP = 4
+#: Copies of the table of crowded offsets, so that rows of one offset meet it in many tasks.
+SALTS = 16
 
 
 def packed(edges: DataFrame, keys: list[str], n_windows: int, name: str,
@@ -35,6 +46,41 @@ def packed(edges: DataFrame, keys: list[str], n_windows: int, name: str,
             .agg(F.collect_set("i").alias(f"pos_{name}")))
 
 
+def _on_edges(a: DataFrame, b: DataFrame, keys: list[str], on: list[str], n_windows: int,
+              pairs: DataFrame | None) -> DataFrame:
+    """Packed positions of both sides met on their offset; unlisted pairs are dropped."""
+    met = a.join(b, [*on, "u"])
+    return met if pairs is None else met.join(pairs.select(*keys), keys)
+
+
+def _unrolled(met: DataFrame, keys: list[str], n_windows: int) -> DataFrame:
+    return (met.select(*keys, "pos_b", F.explode("pos_a").alias("i"))
+            .select(*keys, "i", F.explode("pos_b").alias("p"))
+            .select(*keys, modulo(F.col("i") - F.col("p"), n_windows).alias("d"))
+            .groupBy(*keys, "d").agg(F.count(F.lit(1)).alias("hits")))
+
+
+def _count_schema(a: DataFrame, b: DataFrame, on: list[str], a_keys: list[str],
+                  b_keys: list[str]) -> T.StructType:
+    return T.StructType([*(a.schema[c] for c in [*on, *a_keys]), *(b.schema[c] for c in b_keys),
+                         T.StructField("d", T.LongType()), T.StructField("hits", T.LongType())])
+
+
+def _spectrum(positions, segment: int, size: int) -> np.ndarray:
+    x = np.zeros(size)
+    x[np.asarray(positions) % segment] = 1.0
+    return np.fft.rfft(x)
+
+
+def _lags(product: np.ndarray, apart: int, segment: int, size: int, n_windows: int
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """(rotation, hits) of a summed product of spectra, ``apart`` segments from each other."""
+    c = np.rint(np.fft.irfft(product, n=size)).astype(np.int64)
+    at = np.nonzero(c)[0]
+    lag = np.where(at < segment, at, at - size)
+    return (lag + apart * segment) % n_windows, c[at]
+
+
 def shift_counts(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str],
                  on: list[str], n_windows: int, pairs: DataFrame | None = None,
                  segment: int = SEGMENT, unroll_limit: int = UNROLL_LIMIT) -> DataFrame:
@@ -43,43 +89,120 @@ def shift_counts(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str
     Pairs not listed in ``pairs`` are dropped while positions are still packed.
     """
     keys = [*on, *a_keys, *b_keys]
-    met = (packed(a, [*on, *a_keys], n_windows, "a", segment)
-           .join(packed(b, [*on, *b_keys], n_windows, "b", segment), [*on, "u"]))
-    if pairs is not None:
-        met = met.join(pairs.select(*keys), keys)
+    pa, pb = (packed(a, [*on, *a_keys], n_windows, "a", segment),
+              packed(b, [*on, *b_keys], n_windows, "b", segment))
+    if n_windows <= segment:
+        found = _one_segment(pa, pb, a_keys, b_keys, on, n_windows, pairs, segment, unroll_limit)
+    else:
+        hot = crowded_offsets(pa, pb, a_keys, b_keys, on, unroll_limit)
+        met = _on_edges(_marked(pa, "a", hot, on, "left_anti"),
+                        _marked(pb, "b", hot, on, "left_anti"), keys, on, n_windows, pairs)
+        found = _unrolled(met, keys, n_windows).unionByName(_overlap_added(
+            _marked(pa, "a", hot, on, "left_semi"), _marked(pb, "b", hot, on, "left_semi"),
+            a_keys, b_keys, on, n_windows, pairs, segment))
+    return found.groupBy(*keys, "d").agg(F.sum("hits").cast("bigint").alias("hits"))
+
+
+def _one_segment(pa: DataFrame, pb: DataFrame, a_keys: list[str], b_keys: list[str],
+                 on: list[str], n_windows: int, pairs: DataFrame | None, segment: int,
+                 unroll_limit: int) -> DataFrame:
+    """Counts where each space has one packed row per offset."""
+    keys = [*on, *a_keys, *b_keys]
+    met = _on_edges(pa, pb, keys, on, n_windows, pairs)
     crowd = F.size("pos_a").cast("bigint") * F.size("pos_b").cast("bigint")
-
-    few = (met.filter(crowd <= unroll_limit)
-           .select(*keys, "pos_b", F.explode("pos_a").alias("i"))
-           .select(*keys, "i", F.explode("pos_b").alias("p"))
-           .select(*keys, modulo(F.col("i") - F.col("p"), n_windows).alias("d"))
-           .groupBy(*keys, "d").agg(F.count(F.lit(1)).alias("hits")))
-
-    schema = T.StructType([met.schema[c] for c in keys]
-                          + [T.StructField("d", T.LongType()),
-                             T.StructField("hits", T.LongType())])
+    schema = _count_schema(pa, pb, on, a_keys, b_keys)
     size = 1 << int(2 * segment - 1).bit_length()
 
     def correlate(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                x = np.zeros(size)
-                y = np.zeros(size)
-                x[np.asarray(row.pos_a) - row.seg_a * segment] = 1.0
-                y[np.asarray(row.pos_b) - row.seg_b * segment] = 1.0
-                c = np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), n=size)
-                c = np.rint(c).astype(np.int64)
-                at = np.nonzero(c)[0]
-                lag = np.where(at < segment, at, at - size)
-                lag = (lag + (row.seg_a - row.seg_b) * segment) % n_windows
-                out = {name: getattr(row, name) for name in keys}
-                yield pd.DataFrame({**out, "d": lag, "hits": c[at]})
-
-    many = (met.filter(crowd > unroll_limit)
-            .select(*keys, "seg_a", "seg_b", "pos_a", "pos_b")
-            .mapInPandas(correlate, schema))
-    return (few.unionByName(many).groupBy(*keys, "d")
-            .agg(F.sum("hits").cast("bigint").alias("hits")))
+                product = (_spectrum(row.pos_a, segment, size)
+                           * np.conj(_spectrum(row.pos_b, segment, size)))
+                d, hits = _lags(product, 0, segment, size, n_windows)
+                yield pd.DataFrame({**{name: getattr(row, name) for name in keys}, "d": d,
+                                    "hits": hits})
+
+    many = met.filter(crowd > unroll_limit).select(*keys, "pos_a", "pos_b")
+    return _unrolled(met.filter(crowd <= unroll_limit), keys, n_windows).unionByName(
+        many.mapInPandas(correlate, schema))
+
+
+def crowded_offsets(pa: DataFrame, pb: DataFrame, a_keys: list[str], b_keys: list[str],
+                    on: list[str], limit: int) -> DataFrame:
+    """(on, u): offsets with more than ``limit`` combinations for some pair of spaces."""
+    def most(packed_: DataFrame, own: list[str], name: str) -> DataFrame:
+        per = packed_.groupBy(*on, *own, "u").agg(F.sum(F.size(f"pos_{name}")).alias("n"))
+        return per.groupBy(*on, "u").agg(F.max("n").alias(f"most_{name}"))
+    both = most(pa, a_keys, "a").join(most(pb, b_keys, "b"), [*on, "u"])
+    return both.filter(F.col("most_a") * F.col("most_b") > limit).select(*on, "u")
+
+
+def _marked(packed_: DataFrame, name: str, hot: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Packed rows whose offset is crowded (left_semi) or not (left_anti)."""
+    salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (packed_.withColumn("salt", F.pmod(f"seg_{name}", F.lit(SALTS)).cast("int"))
+            .join(salted, [*on, "u", "salt"], how).drop("salt"))
+
+
+def lag_groups(pa: DataFrame, pb: DataFrame, n_windows: int, segment: int
+               ) -> tuple[DataFrame, DataFrame]:
+    """Both sides once for each lag block and group they take part in: ``apart`` = segment of a
+    less segment of b, ``part`` = group of the segment of a."""
+    last = F.lit((n_windows - 1) // segment).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+
+    def group(seg):
+        return F.floor(seg / GROUP).cast("bigint").alias("part")
+    left = (pa.withColumn("seg_b", F.explode(F.sequence(zero, last)))
+            .select("*", (F.col("seg_a") - F.col("seg_b")).alias("apart"), group(F.col("seg_a")))
+            .drop("seg_b"))
+    right = (pb.withColumn("seg_a", F.explode(F.sequence(zero, last)))
+             .select("*", (F.col("seg_a") - F.col("seg_b")).alias("apart"), group(F.col("seg_a"))))
+    return left, right
+
+
+def _overlap_added(pa: DataFrame, pb: DataFrame, a_keys: list[str], b_keys: list[str],
+                   on: list[str], n_windows: int, pairs: DataFrame | None, segment: int
+                   ) -> DataFrame:
+    """Counts of crowded offsets, lag block by lag block."""
+    listed = pairs is not None
+    if listed:
+        # the spaces that a space of the first side is to meet travel with it
+        mates = pairs.groupBy(*on, *a_keys).agg(
+            F.collect_set(F.struct(*b_keys)).alias("mates"))
+        pa = pa.join(mates, [*on, *a_keys])
+    left, right = lag_groups(pa, pb, n_windows, segment)
+    schema = _count_schema(pa, pb, on, a_keys, b_keys)
+    size = 1 << int(2 * segment - 1).bit_length()
+
+    def correlate(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        here, apart = dict(zip(on, key)), int(key[-2])
+        out = [pd.DataFrame({c: [] for c in schema.names})]
+        theirs: dict[tuple, dict[tuple, np.ndarray]] = {}
+        for row in right.to_dict("records"):
+            theirs.setdefault(tuple(row[c] for c in b_keys), {})[row["u"], row["seg_a"]] = row[
+                "pos_b"]
+        for space, mine in left.groupby(a_keys, sort=False, dropna=False):
+            allowed = None if not listed else {
+                tuple(m[c] for c in b_keys) for m in mine["mates"].iloc[0]}
+            sums: dict[tuple, np.ndarray] = {}
+            for u, seg, pos in zip(mine["u"], mine["seg_a"], mine["pos_a"]):
+                meets = [o for o, segs in theirs.items()
+                         if (u, seg) in segs and (not listed or o in allowed)]
+                own = _spectrum(pos, segment, size) if meets else None
+                for other in meets:
+                    product = own * np.conj(_spectrum(theirs[other][u, seg], segment, size))
+                    sums[other] = sums[other] + product if other in sums else product
+            for other, product in sums.items():
+                d, hits = _lags(product, apart, segment, size, n_windows)
+                out.append(pd.DataFrame({**here, **dict(zip(a_keys, space)),
+                                         **dict(zip(b_keys, other)), "d": d, "hits": hits}))
+        found = pd.concat([x for x in out if len(x)] or out)[schema.names]
+        # texts of several parts reach Arrow as plain objects
+        return found.astype({c: object for c in [*on, *a_keys, *b_keys]})
+
+    by = [*on, "apart", "part"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(correlate, schema)
 
 
 def shift_curve(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str],

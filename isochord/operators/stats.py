@@ -58,9 +58,9 @@ def cles_auc(values: DataFrame, keys: list[str], value: str, is_a: Column,
 
 def ks_stat(values: DataFrame, keys: list[str], value: str, is_a: Column,
             bounds: list[float] | None = None) -> DataFrame:
-    """Largest gap between the two empirical distribution functions."""
+    """Largest gap between the two empirical distribution functions; NULL with a sample empty."""
     c = _two_sample_counts(values, keys, value, is_a, bounds)
-    gap = F.abs(F.col("cum_a") / F.col("cum_a_all") - F.col("cum_b") / F.col("cum_b_all"))
+    gap = F.abs(F.try_divide("cum_a", "cum_a_all") - F.try_divide("cum_b", "cum_b_all"))
     return c.groupBy(*keys).agg(F.max(gap).alias("ks"))
 
 
@@ -249,7 +249,8 @@ def ancova(df: DataFrame, family: str, x: str, y: str) -> DataFrame:
     """Slope of y on x within families, partial eta squared, p, and the raw slope.
 
     By Frisch-Waugh the adjusted slope is the slope of the family-demeaned columns, so
-    per-family sums are enough.
+    per-family sums are enough. Where x does not vary (within families, for the adjusted one) a
+    slope is NULL, and so is what follows from it.
     """
     d = df.select(family, x, y).filter(
         F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(family).isNotNull())
@@ -265,13 +266,14 @@ def ancova(df: DataFrame, family: str, x: str, y: str) -> DataFrame:
         F.sum(c * F.col("mx") * F.col("my")).alias("bxy"),
         F.sum(c * F.col("mx") * F.col("mx")).alias("bxx"))
     n, one = F.col("n"), F.col("n_fam") < 2
-    raw = ((F.col("sxy") + F.col("bxy") - F.col("bx") * F.col("by") / n)
-           / (F.col("sxx") + F.col("bxx") - F.col("bx") * F.col("bx") / n))
-    adj = F.col("sxy") / F.col("sxx")
-    ss = F.col("sxy") * F.col("sxy") / F.col("sxx")
-    sse = F.col("syy") - ss
+    raw = F.try_divide(
+        F.col("sxy") + F.try_divide(n * F.col("bxy") - F.col("bx") * F.col("by"), n),
+        F.col("sxx") + F.try_divide(n * F.col("bxx") - F.col("bx") * F.col("bx"), n))
+    adj = F.try_divide("sxy", "sxx")
+    ss = F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))
+    sse = F.greatest(F.col("syy") - ss, F.lit(0.0))
     dof = n - F.col("n_fam") - 1
-    t = adj / F.sqrt(sse / dof / F.col("sxx"))
+    t = F.try_divide(adj, F.sqrt(F.try_divide(sse, F.greatest(dof, F.lit(0.0)) * F.col("sxx"))))
     enough = n >= 4
     return tot.select(
         n.cast("bigint").alias("n"), F.when(enough, raw).alias("slope_unadj"),

@@ -65,6 +65,14 @@ def knn_topk(spark, sf):
                     r6("sim").alias("sim")))
 
 
+@query("knn_topk_pruned", f"WITH {S.spaces(S.WHOLE)}, {S.knn()} "
+       f"SELECT i, j, rank::BIGINT AS rank, {S.r6('sim')} AS sim FROM nn WHERE side = 'a'")
+def knn_topk_pruned(spark, sf):
+    """Whole vectors, searched cell by cell: what a pivot's radius rules out is not compared."""
+    out = pruned_knn_edges(B.side(spark, sf, "a", B.WHOLE), ["grid"], B.K, cell_rows=256)
+    return out.select("i", "j", F.col("rank").cast("bigint").alias("rank"), r6("sim").alias("sim"))
+
+
 @query("knn_topk_excl", f"WITH {S.spaces(S.WHOLE)}, {S.knn(excl=10)} "
        f"SELECT i, j, rank::BIGINT AS rank, {S.r6('sim')} AS sim FROM nn WHERE side = 'a'")
 def knn_topk_excl(spark, sf):

@@ -265,14 +265,13 @@ TAPS = "[" + ", ".join(repr(float(h)) for h in filters.resample_taps(2, 5)) + "]
 
 
 @query("resampled_signal", f"WITH {SIG}, hh AS (SELECT unnest({TAPS}::DOUBLE[]) AS h, "
-       f"unnest(range(101)) AS q), len AS (SELECT (max(t) + 1) // 320 * 320 AS n FROM bn), "
-       f"o AS (SELECT unnest(range(n * 2 // 5)) AS m FROM len) "
+       f"unnest(range(101)) AS q), len AS (SELECT max(t) + 1 AS n FROM bn), "
+       f"o AS (SELECT unnest(range((n * 2 + 4) // 5)) AS m FROM len) "
        f"SELECT ch, m::BIGINT AS t, {S.r6('sum(x * h)')} AS x FROM o JOIN hh "
        f"ON (m * 5 + 50 - q) % 2 = 0 JOIN sg ON sg.t = (m * 5 + 50 - q) // 2 "
        f"AND m * 5 + 50 - q >= 0, len WHERE sg.t < len.n GROUP BY 1, 2")
 def resampled_signal(spark, sf):
-    """The whole series at 2/5 of its rate, filtered across segment borders. The SQL leaves out
-    the last part-segment, so the rows at the end differ from it."""
+    """The whole series at 2/5 of its rate, filtered across segment borders."""
     seg = (signal.windows_of(regular_signal(spark, sf), ["ch"], 320, rest=True)
            .withColumnRenamed("w", "seg"))
     out = signal.resample_recording(seg, ["ch"], 2, 5, 320)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import brute_knn, edge_frame, emb_frame, literal_mknn, random_graph
 from isochord.operators import knn, overlap, permute, shift_curve
@@ -158,3 +159,27 @@ def test_truncating_scores_equal_recount(spark):
         ys = y[-min(0, d):w - max(0, d)]
         na, nb = np.array(brute_knn(xs, k)), np.array(brute_knn(ys, k))
         assert got[d] == pytest.approx(literal_mknn(na, nb, 0))
+
+
+@pytest.mark.parametrize("pairs", [False, True])
+def test_all_edges_on_one_offset_of_many_segments(spark, pairs):
+    """Lag blocks count exactly, and no group of segments is much larger than the others."""
+    w, segment = 1000, 40
+    nn = ((np.arange(w) + 1) % w)[:, None]
+    a = edge_frame(spark, nn, grid="g", la=0).union(edge_frame(spark, nn[::-1].copy() * 0, grid="g", la=1))
+    b = edge_frame(spark, nn, grid="g", lb=0)
+    listed = spark.createDataFrame([("g", 0, 0)], "grid string, la int, lb int") if pairs else None
+    counts = shift_curve.shift_counts(a, b, ["la"], ["lb"], ["grid"], w, listed, segment,
+                                      unroll_limit=500)
+    got = {(r["la"], r["d"]): r["hits"] for r in counts.collect()}
+    assert all(got[0, d] == w for d in range(w))
+    # the other space has each offset once
+    assert {la for la, _ in got} == ({0} if pairs else {0, 1})
+    assert pairs or sum(v for (la, _), v in got.items() if la == 1) == w
+    pa = shift_curve.packed(a.filter("la = 0"), ["grid", "la"], w, "a", segment)
+    pb = shift_curve.packed(b, ["grid", "lb"], w, "b", segment)
+    left, right = shift_curve.lag_groups(pa, pb, w, segment)
+    sizes = (left.select("apart", "part", F.size("pos_a").alias("n"))
+             .union(right.select("apart", "part", F.size("pos_b").alias("n")))
+             .groupBy("apart", "part").agg(F.sum("n").alias("n")).toPandas()["n"])
+    assert len(sizes) > 100 and sizes.max() <= 2 * sizes.median()
