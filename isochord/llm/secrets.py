@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isochord.llm.rows import packed
+from isochord.session import written
 
 #: Documents that the network is trained on (chosen by hash), and findings and counterexamples
 #: taken from them, at most.
 SAMPLE_DOCS, SAMPLE_ROWS = 20_000, 6_000
-#: Share of held-back findings that a threshold must keep.
-RECALL = 0.98
+#: Share of held-back findings that a threshold is to keep, and the share of held-back
+#: counterexamples that may reach it.
+RECALL, ALARMS = 0.98, 0.002
 CONTEXT, WIDTH, FILTERS = 24, 5, 24
 STEPS, BATCH, RATE = 400, 64, 0.1
 #: Characters of candidates scored at once.
@@ -55,8 +57,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@-]{8,}")
 RUN = re.compile(r"[^\s\"'`<>()\[\]{},;|\\]{8,}")
 AFTER_SIGN = re.compile(r"(?<=[:=>])[\"'`]?[ \t]*[\"'`]?([^\s\"'`<>()\[\]{},;|\\]+)")
-AFTER_NAME = re.compile(r"(?:pass|pwd|secret|token|key|credential|auth|bearer)\w*[\"'`]?"
-                        r"(?:[ \t]+is)?[ \t:=>-]+[\"'`]?([^\s\"'`<>()\[\]{},;|\\]+)", re.I)
+WORD = re.compile(r"\w+")
+AFTER_WORD = re.compile(r"[\"'`]?(?:[ \t]+is)?[ \t:=>-]+[\"'`]?([^\s\"'`<>()\[\]{},;|\\]+)")
 PLAIN_WORD = re.compile(r"[^\W\d_]{6,}")
 NAMES = ("passw", "secret", "token", "api")
 VALUE_NAMES = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
@@ -66,9 +68,7 @@ OTHER_NAMES = ("pwd", "credential", "auth", "bearer", "private_key", "access key
 SEPARATORS = (" ", ": ", " = ", "=", " is ", " -> ")
 #: Digits as letters.
 LETTERS = str.maketrans("0123456789", "oKzEaSbTBg")
-#: Of these, words are made that the sample doesn't have.
-SYLLABLES = ("ba", "cor", "der", "el", "fin", "gle", "hor", "in", "jum", "kit", "lon", "mor", "nu",
-             "or", "ple", "qui", "rect", "se", "tap", "ul", "ver", "win", "xi", "yel", "zen")
+VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 #: Names under which harmless runs are shown again.
 PLAIN_NAMES = ("name", "title", "file", "page", "order", "date", "version", "see")
 #: Near any of these an unmatched candidate may be a secret.
@@ -100,7 +100,15 @@ def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
         found.update([m.span(1) for m in AFTER_SIGN.finditer(text)])
     low = text.lower()
     if any(name in low for name in VALUE_NAMES):
-        found.update([m.span(1) for m in AFTER_NAME.finditer(text)])
+        # each word is looked at once, however often it holds a name, and none inside a value
+        done = 0
+        for word in WORD.finditer(text):
+            own = word[0].lower()
+            if word.start() >= done and any(name in own for name in VALUE_NAMES):
+                after = AFTER_WORD.match(text, word.end())
+                if after:
+                    found.add(after.span(1))
+                    done = after.end()
     return sorted(_uncovered(text, found, known) if known else found)
 
 
@@ -136,13 +144,25 @@ def outermost(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def harmless(text: str, a: int, b: int) -> bool:
     """Whether a run may serve as a counterexample: few turns between letters, digits and cases,
-    no long unbroken part, and no telling name near."""
+    no long unbroken part, and no telling name near. Capitals are words like others if they are
+    letters alone."""
     run = text[a:b]
     return (len(TURN.findall(run)) <= max(1, len(run) // 6)
-            and all(len(p) < (12 if p.isupper() else 20) for p in PARTS.findall(run))
+            and all(len(p) < (12 if p.isupper() and not p.isalpha() else 24)
+                    for p in PARTS.findall(run))
             and not TELLING.search(text, max(0, a - 2 * CONTEXT), b + CONTEXT))
 
 
+def form(run: str) -> int:
+    """Counterexamples are taken in equal numbers of each: with a digit, with no small letter,
+    with other signs, and plain."""
+    if DIGIT.search(run):
+        return 0
+    if run.upper() == run:
+        return 1
+    return 3 if run.isalpha() else 2
+
+
 def report(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
@@ -177,6 +197,9 @@ class Network:
     slope: float = 1.0
     level: float = 0.0
     threshold: float = 1.0
+    #: shares of held-back findings and counterexamples that reach the threshold
+    recall: float = 0.0
+    alarms: float = 0.0
 
     def maxima(self, batch: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(padded codes, [row, 2 * FILTERS] maxima, their positions); filters end at 0."""
@@ -198,7 +221,12 @@ class Network:
         return self.maxima(batch)[1] @ self.out + self.bias
 
     def scores(self, examples: list) -> np.ndarray:
-        """Calibrated probabilities; candidates of like length are taken together, long ones in
+        """Calibrated probabilities."""
+        z = self.slope * self.outputs(examples) + self.level
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def outputs(self, examples: list) -> np.ndarray:
+        """``logits`` of any number; candidates of like length are taken together, long ones in
         parts whose maxima are joined, so that none is cut short."""
         z = np.zeros(len(examples))
         order = sorted(range(len(examples)), key=lambda i: len(examples[i][0]))
@@ -216,7 +244,7 @@ class Network:
             rows = order[at:to]
             z[rows] = self.logits([examples[i] for i in rows])
             at = to
-        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.level, -30, 30)))
+        return z
 
     @cached_property
     def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,10 +326,12 @@ def parts_of(label: np.ndarray, groups: np.ndarray, rng) -> list[np.ndarray]:
     return [np.flatnonzero(part[of] == k) for k in range(3)]
 
 
-def fitted(examples: list, label: np.ndarray, recall: float = RECALL, seed: int = 0,
-           groups: np.ndarray | None = None) -> Network | None:
+def fitted(examples: list, label: np.ndarray, groups: np.ndarray | None = None,
+           recall: float = RECALL, alarms: float = 1.0, seed: int = 0) -> Network | None:
     """Trains on three fifths of the groups (each example its own if none are given), calibrates
-    on a fifth and sets the threshold on another."""
+    on a fifth and sets the threshold on another: the highest that keeps ``recall`` of its
+    findings, or a higher one if more than ``alarms`` of its counterexamples would reach it. Both
+    shares as measured there are kept with the network."""
     if len(np.unique(label)) < 2 or min(label.sum(), (1 - label).sum()) < 10:
         return None
     rng = np.random.default_rng(seed)
@@ -330,7 +360,7 @@ def fitted(examples: list, label: np.ndarray, recall: float = RECALL, seed: int
             p += g * g
             x -= (RATE * g / np.sqrt(p)).astype(np.float32)
         n.bias -= float(error.sum())
-    z = np.concatenate([n.logits([examples[i]]) for i in back]).astype(float)
+    z = n.outputs([examples[i] for i in back])
     y = label[back]
     scale = max(float(np.abs(z).max()), 1e-6)
     for _ in range(500):    # logistic regression of the label on the output
@@ -338,7 +368,12 @@ def fitted(examples: list, label: np.ndarray, recall: float = RECALL, seed: int
         n.slope -= 2 / scale * float(((p - y) * z / scale).mean())
         n.level -= 0.5 * float((p - y).mean())
     held = np.sort(n.scores([examples[i] for i in last[label[last] == 1]]))
-    n.threshold = float(held[int(np.floor((1 - recall) * len(held)))])
+    others = np.sort(n.scores([examples[i] for i in last[label[last] == 0]]))[::-1]
+    n.threshold = float(max(held[int(np.floor((1 - recall) * len(held)))],
+                            np.nextafter(others[int(alarms * len(others))], 2)
+                            if int(alarms * len(others)) < len(others) else 0))
+    n.recall = float((held >= n.threshold).mean())
+    n.alarms = float((others >= n.threshold).mean())
     return n
 
 
@@ -351,22 +386,40 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows = []
         for text in batch.column("text").to_pylist():
             known = rule_spans(text or "")
-            # no unmatched candidate is a counterexample unless it is harmless
-            # of runs and words without a digit one in 64, by a hash that is the same everywhere
+            # no unmatched candidate is a counterexample unless it is harmless; of plain words
+            # one in 64, by a hash that is the same everywhere
             plain = [(m.start(), m.end()) for m in PLAIN_WORD.finditer(text or "")
                      if all(m.end() <= a or b <= m.start() for a, b, _ in known)]
             other = [(a, b, 3) for a, b in {*candidates(text or "", known), *plain}
-                     if (DIGIT.search(text, a, b) or zlib.crc32(text[a:b].encode()) % 64 == 0)
+                     if (form(text[a:b]) < 3 or zlib.crc32(text[a:b].encode()) % 64 == 0)
                      and harmless(text, a, b)]
             for found, kind in ((known, 1), (other, 0)):
                 for a, b, k in found:
                     if k == 0:      # an assignment is shown by its value
                         a = ASSIGN.match(text, a).start(1)
-                    rows.append({"label": kind, "before": text[max(0, a - CONTEXT):a],
+                    rows.append({"label": kind, "form": -1 if kind else form(text[a:b]), "before": text[max(0, a - CONTEXT):a],
                                  "inside": text[a:b], "after": text[b:b + CONTEXT]})
         yield pa.RecordBatch.from_pylist(rows, pa.schema(
-            [("label", pa.int32()), ("before", pa.string()), ("inside", pa.string()),
-             ("after", pa.string())]))
+            [("label", pa.int32()), ("form", pa.int32()), ("before", pa.string()),
+             ("inside", pa.string()), ("after", pa.string())]))
+
+
+def _false_alarms(network):
+    """Harmless candidates that the network reports nevertheless."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Network = network.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for lo in range(0, len(texts), 200):
+                some = texts[lo:lo + 200]
+                at = [(i, a, b) for i, text in enumerate(some)
+                      for a, b in candidates(text, rule_spans(text)) if harmless(text, a, b)]
+                rows = [(some[i][max(0, a - CONTEXT):a], some[i][a:b], some[i][b:b + CONTEXT])
+                        for (i, a, b), ok in zip(at, model.good(some, at)) if ok]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in rows], pa.string()) for k in range(3)],
+                    ["before", "inside", "after"])
+    return find
 
 
 def learned(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -376,45 +429,83 @@ def learned(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     share = min(1.0, sample_docs / max(docs.count(), 1))
     text = F.col(f"`{text_col}`")
     chosen = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(1 << 30)) < share * (1 << 30)
-    rows = (docs.filter(chosen).select(F.coalesce(text, F.lit("")).alias("text"))
-            .mapInArrow(_training_rows, "label int, before string, inside string, after string")
-            .distinct())
-    taken = []
-    for k in (1, 0):
-        own = rows.filter(F.col("label") == k)
-        taken += own.orderBy(F.xxhash64("before", "inside", "after"), "before", "inside",
-                             "after").limit(sample_rows).collect()
+    # bounded, so that it can be dealt to all tasks
+    sample = written(docs.filter(chosen).select(F.coalesce(text, F.lit("")).alias("text"))
+                     .repartition(docs.sparkSession.sparkContext.defaultParallelism), "sample")
+    kind = "before string, inside string, after string"
+    rows = written(sample.mapInArrow(_training_rows, f"label int, form int, {kind}").distinct(),
+                   "training")
+
+    def some(of: DataFrame, most: int) -> list:
+        return of.orderBy(F.xxhash64("before", "inside", "after"), "before", "inside",
+                          "after").limit(most).collect()
+    found = some(rows.filter("label = 1"), sample_rows)
+    plain = [r for k in range(4) for r in some(rows.filter(F.col("form") == k), sample_rows // 4)]
+    first = fitted(*_shown(found, plain), recall, ALARMS)
+    if first is None:
+        return None
+    # what the first network reports wrongly in the sample teaches the second
+    model = docs.sparkSession.sparkContext.broadcast(first)
+    alarms = some(sample.mapInArrow(_false_alarms(model), kind).distinct(), sample_rows // 2)
+    return fitted(*_shown(found, plain + alarms), recall, ALARMS)
+
+
+def _shown(found: list, plain: list) -> tuple[list, np.ndarray, np.ndarray]:
+    """(examples, labels, groups) of findings and counterexamples (before, inside, after), each as
+    it is and in other writing."""
     examples, label, groups = [], [], []
-    words = [w for r in taken if not r.label for w in PARTS.findall(r.inside) if w.isalpha()]
-    for r in taken:
+    words = [w for r in plain for w in PARTS.findall(r.inside) if w.isalpha()]
+    for kind, r in [*((1, r) for r in found), *((0, r) for r in plain)]:
         pick = _rank(r.before + r.inside)
-        names = OTHER_NAMES if r.label else PLAIN_NAMES
-        name, sign = names[pick[0] % len(names)], SEPARATORS[pick[1] % len(SEPARATORS)]
-        shown = [(r.before, r.inside, r.after, r.label),
-                 (r.before[:8] + name + sign, r.inside, r.after, r.label)]
-        if r.label:     # the name of a secret is none
-            shown.append((r.before[:8] + " ", name, sign + r.inside + r.after, 0))
-            shown += [(r.before[:8] + name + sign + head, inside, r.after, 1)
-                      for head, inside in _other_forms(r.inside, pick, words)]
-        for before, inside, after, kind in shown:
-            examples.append(_example(before, inside, after))
-            label.append(kind)
+        own = OTHER_NAMES if kind else PLAIN_NAMES
+        sign = SEPARATORS[pick[1] % len(SEPARATORS)]
+        before = r.before[:8] + own[pick[0] % len(own)] + sign
+        shown = [(r.before, r.inside, kind), (before, r.inside, kind)]
+        if kind:
+            other, joined = _other_forms(r.inside, pick, words)
+            shown += [(before + head, inside, 1) for head, inside in other]
+            shown += [(r.before + head, inside, 1) for head, inside in other if head]
+            # letters alone are a secret after a telling name, and none after others; nor is the
+            # name itself
+            shown += [(before, inside, 1) for inside in joined]
+            shown += [(r.before[:8] + PLAIN_NAMES[pick[15] % len(PLAIN_NAMES)] + sign, inside, 0)
+                      for inside in joined]
+            examples.append(_example(r.before[:8] + " ", own[pick[0] % len(own)],
+                                     sign + r.inside + r.after))
+            label.append(0)
+            groups.append(int.from_bytes(_rank(r.inside)[:7]))
+        for head, inside, k in shown:
+            examples.append(_example(head, inside, r.after))
+            label.append(k)
             groups.append(int.from_bytes(_rank(r.inside)[:7]))
-    return fitted(examples, np.array(label), recall, groups=np.array(groups))
+    return examples, np.array(label, int), np.array(groups, np.int64)
 
 
-def _other_forms(value: str, pick: bytes, words: list[str]) -> list[tuple[str, str]]:
-    """(characters before, candidate): a finding's value in letters alone, short, with further
-    signs, as words joined together, and as what follows the end of a rule's match."""
+def _other_forms(value: str, pick: bytes, words: list[str]
+                 ) -> tuple[list[tuple[str, str]], list[str]]:
+    """(characters before, candidate) of a finding's value in letters alone, short, with further
+    signs and as what follows the end of a rule's match; and words joined together, of the sample
+    and invented."""
     letters = value.translate(LETTERS)
     sign = "@!#$%&*"[pick[3] % 7]
     half = len(value) // 2
     joined = "".join(words[int.from_bytes(pick[k:k + 4], "big") % len(words)].capitalize()
                      for k in (4, 7, 10, 12)[:2 + pick[2] % 3]) if words else letters
-    spoken = "".join(SYLLABLES[x % len(SYLLABLES)].capitalize() if k % 2 == 0
-                     else SYLLABLES[x % len(SYLLABLES)] for k, x in enumerate(pick[4:8 + pick[2] % 6]))
-    return [("", letters), ("", value[:4 + pick[2] % 5]), ("", joined), ("", spoken),
-            ("", value[:half] + sign + value[half:]), (value[:half], sign + value[half:])]
+    return [("", letters), ("", value[:4 + pick[2] % 5]), ("", value[:half] + sign + value[half:]),
+            # not so much before it that the name is out of sight
+            (value[:min(half, 12)], sign + value[half:])], [joined, spoken(pick)]
+
+
+def spoken(pick: bytes) -> str:
+    """Two to four invented words of consonants and vowels in turn, joined, from these bytes."""
+    draw, words = hashlib.sha256(pick).digest(), []
+    for k in range(2 + draw[0] % 3):
+        part = draw[1 + 7 * k:8 + 7 * k]
+        turn = part[0] % 2
+        words.append("".join((VOWELS if (i + turn) % 2 else CONSONANTS)[x % (5 if (i + turn) % 2 else 21)]
+                             * (2 if i and x > 225 else 1)
+                             for i, x in enumerate(part[:4 + part[1] % 4])).capitalize())
+    return "".join(words)
 
 
 REPORT = "n_assign long, n_access long, n_hex long, base string, spans string"

@@ -1,6 +1,6 @@
-import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -96,8 +96,33 @@ def test_long_candidates_are_scored_whole():
     assert abs(net._long(one) - float(net.logits([one])[0])) < 1e-3
 
 
-def test_digest_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_candidates_of_long_texts_take_linear_time():
+    for text in ("key" * 350_000, "key " * 260_000, ":" * 1_000_000, "pass=" * 200_000,
+                 ": " * 500_000, "token" + " " * 1_000_000):
+        t0 = time.process_time()
+        sc.candidates(text, [])
+        assert time.process_time() - t0 < 6, text[:6]
+
+
+def test_names_inside_words_and_values_after_names():
+    text = "mypassword is Xy1 and PWD->ab; authors 'qq' keys"
+    found = {text[a:b] for a, b in sc.candidates(text, [])}
+    assert {"Xy1", "ab", "qq"} <= found
+
+
+def test_prose_in_capitals_raises_few_alarms(spark):
+    rng = random.Random(21)
+
+    def word():
+        return "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou")
+                       for _ in range(rng.randint(2, 6)))
+    texts = corpus()
+    for i in range(200):
+        loud = " ".join(word().upper() + rng.choice(("!!", "!!!", ".", "")) for _ in range(12))
+        texts.append(" ".join(word() for _ in range(12)) + " " + loud + f" {word()}*** {word()}###")
+    got = {r.row.doc_id: r for r in sc.secrets(frame(spark, texts)).collect()}
+    first = len(corpus())
+    assert sum("model:" in got[i].spans for i in range(first, len(texts))) <= 4
 
 
 def test_unlabelled_secrets_in_the_training_table_are_found(spark):
@@ -169,7 +194,7 @@ def test_forms_of_one_value_share_a_part_and_parts_are_three(monkeypatch):
         trained.extend(batch) if len(batch) == sc.BATCH else None, f(self, batch))[1])
     text = [f"{g:03d}" + "abcdefg"[g % 7] * 12 for g in groups]
     sc.fitted([sc._example("pwd = " if y else "page ", x, "") for x, y in zip(text, label)],
-              label, groups=groups)
+              label, groups)
     seen = {tuple(c[a:a + 3] - 97) for c, a, _ in trained}
     held = {tuple(sc._codes(text[i][:3])) for p in parts[1:] for i in p}
     own = sc.parts_of(label, groups, np.random.default_rng(0))
