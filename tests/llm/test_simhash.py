@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -108,3 +109,92 @@ def test_components_of_paths_stars_and_loops(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     want = {i: 0 for i in range(201)} | {500: 500, 501: 500} | {1000 + i: 1000 for i in range(301)}
     assert got == want
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(
+        {c: c + 32 for c in range(65, 91)}))
+
+
+def shingle_set(text, width=5):
+    w = words_of(text)
+    return {tuple(w[i:i + width]) for i in range(max(len(w) - width + 1, min(len(w), 1)))}
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def brute_near(rows, radius=48):
+    """{id: smallest id of its group}, all pairs compared bit by bit."""
+    data = [(t or "").encode() for _, t in rows]
+    off = np.cumsum([0, *map(len, data)])
+    prints = simhash.wide_fingerprints(np.frombuffer(b"".join(data), np.uint8), off, 5, 4, 42)
+    ids, group = [i for i, _ in rows], {i: i for i, _ in rows}
+    near = [(i, j) for i in range(len(rows)) for j in range(i)
+            if sum(int(x).bit_count() for x in prints[i] ^ prints[j]) <= radius]
+    moved = True
+    while moved:
+        moved = False
+        for i, j in near:
+            least = min(group[ids[i]], group[ids[j]])
+            for x in (ids[i], ids[j]):
+                moved |= group[x] != least
+                group[x] = least
+    return group
+
+
+def test_wide_fingerprints_have_the_majority_of_each_bit():
+    texts = ["", "One two three", "a b c d e", "a b c d e f g A B C D E", "x " * 40, "é日 ü"]
+    data = [t.encode() for t in texts]
+    off = np.cumsum([0, *map(len, data)])
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    got = simhash.wide_fingerprints(flat, off, 5, 4, 42)
+    assert not got[0].any() and got[1:].any(axis=1).all()
+    for i in range(1, len(texts)):
+        one = simhash.wide_fingerprints(np.frombuffer(data[i].lower(), np.uint8),
+                                   np.array([0, len(data[i])]), 5, 4, 42)
+        assert (one[0] == got[i]).all()
+    # a text of one shingle has that shingle's bits, whatever the repeats
+    twice = simhash.wide_fingerprints(np.frombuffer(b"x x x x x x x x x", np.uint8), np.array([0, 17]),
+                                 5, 4, 42)
+    assert (twice[0] == got[4]).all()
+
+
+def planted(seed, n, share):
+    """Pairs (text, copy) with single words replaced."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        w = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(rng.randint(80, 250))]
+        c = [("zz" + x if rng.random() < share else x) for x in w]
+        out.append((" ".join(w), " ".join(c)))
+    return out
+
+
+def test_copies_of_similarity_beyond_eight_tenths_are_caught(spark):
+    pairs = [p for s in (0.005, 0.01, 0.02, 0.09) for p in planted(int(s * 1000), 150, s)]
+    similar = [0.8 <= jaccard(a, b) < 1 for a, b in pairs]
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {r.id: r.grp for r in simhash.near_groups(spark.createDataFrame(
+        rows, "doc_id long, text string")).collect()}
+    caught = [got[2 * i] == got[2 * i + 1] for i, ok in enumerate(similar) if ok]
+    assert len(caught) > 150 and np.mean(caught) >= 0.95
+    low = [got[2 * i] == got[2 * i + 1] for i, (a, b) in enumerate(pairs) if jaccard(a, b) < 0.5]
+    assert len(low) > 50 and np.mean(low) <= 0.02
+    assert all(got[2 * i] != got[2 * j] for i, j in zip(range(300), range(1, 301)))
+
+
+def test_one_near_keeps_the_smallest_of_each_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE_LEAST", 20)
+    pairs = planted(4, 40, 0.004)
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    rows += [(500, None), (501, ""), (502, " "), (503, "few words"), (504, "Few words"),
+             (None, pairs[0][0]), (3, pairs[1][1]), (3, pairs[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node",
+                                                                             "2 AS grp")
+    kept = [r.doc_id for r in simhash.one_near(docs).collect()]
+    group = brute_near([r for r in rows if r[0] is not None])
+    assert sorted(kept) == sorted(set(group.values()))
+    assert simhash.one_near(docs.limit(0)).count() == 0
