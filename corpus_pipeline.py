@@ -15,7 +15,7 @@ from isochord.llm.line_dedup import drop_repeated_lines
 from isochord.llm.mixing import mixed
 from isochord.llm.quality import scored
 from isochord.llm.rows import table
-from isochord.llm.simhash import one_of_each
+from isochord.llm.simhash import one_near
 from isochord.session import ship, written
 
 
@@ -37,8 +37,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return one_of_each(docs, width=4, radius=4, seed=42)
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more
+    (fingerprints of 256 bits, of which 48 may differ)."""
+    return one_near(docs, width=5, radius=48, lanes=4, seed=42)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
