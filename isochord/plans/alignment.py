@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from isochord.functions.vectors import doubles, l2, modulo, r6, signed_shift
 from isochord.operators import calibrate as cal
 from isochord.operators import cka, knn, overlap, shift_curve
+from isochord.operators.gram import gram_cka
+from isochord.operators.knn_pivots import pruned_knn_edges
 from isochord.plans import bindings as B
 from isochord.plans import sqltext as S
 from isochord.plans.registry import query
@@ -338,40 +340,50 @@ def null_percentiles(spark, sf):
     return rounded(out, ["subject"], ["p05", "p95"])
 
 
-# families against one partner: every model of a family meets model m7
-FAM = (f"{MCURVE}, fm AS (SELECT fa, ra, d, score, n, abs({S.signed()}) >= {TAIL} AS tail "
-       f"FROM cv, nw WHERE b = 'm7' AND fa <> fb)")
+# families against every partner of another family; a pair seen from its other side is rotated back
+FAM = (f"{MCURVE}, bo AS (SELECT fa, ra, b AS partner, fb, d, score FROM cv UNION ALL "
+       f"SELECT fb, rb, a, fa, (n - d) % n, score FROM cv, nw), "
+       f"fm AS (SELECT fa, ra, partner, d, score, n, abs({S.signed()}) >= {TAIL} AS tail "
+       f"FROM bo, nw WHERE fa <> fb)")
 
 
 def family_curves(spark, sf):
-    return model_curves(spark, sf).filter("model_b = 'm7' AND family_a != family_b")
-
-
-@query("family_mean_z", f"{FAM}, zs AS (SELECT fa, ra, avg(score) AS mu, "
-       f"stddev_samp(score) AS sd FROM fm WHERE tail GROUP BY 1, 2), "
-       f"pd AS (SELECT fa, d, tail, round(avg((score - mu) / sd), 12) AS z FROM fm "
-       f"JOIN zs USING (fa, ra) GROUP BY 1, 2, 3), "
-       f"ob AS (SELECT fa, z AS zbar FROM pd WHERE d = 0) "
-       f"SELECT fa AS family, {S.r6('max(zbar)')} AS zbar, "
+    """(family, size_rank, partner, d, score) for every model and every partner of other
+    families."""
+    n = B.window_count(spark, sf)
+    views = F.explode(F.array(*[
+        F.struct(F.col(f"family_{x}").alias("family"), F.col(f"rank_{x}").alias("size_rank"),
+                 F.col(f"model_{y}").alias("partner"), F.col(f"family_{y}").alias("other"),
+                 d.cast("bigint").alias("d"))
+        for x, y, d in (("a", "b", F.col("d")), ("b", "a", modulo(-F.col("d"), n)))]))
+    return (model_curves(spark, sf).select("score", views.alias("v")).select("v.*", "score")
+            .filter("family != other").drop("other"))
+
+
+@query("family_mean_z", f"{FAM}, zs AS (SELECT fa, ra, partner, avg(score) AS mu, "
+       f"stddev_samp(score) AS sd FROM fm WHERE tail GROUP BY 1, 2, 3), "
+       f"pd AS (SELECT fa, partner, d, tail, round(avg((score - mu) / sd), 12) AS z FROM fm "
+       f"JOIN zs USING (fa, ra, partner) GROUP BY 1, 2, 3, 4), "
+       f"ob AS (SELECT fa, partner, z AS zbar FROM pd WHERE d = 0) "
+       f"SELECT fa AS family, partner, {S.r6('max(zbar)')} AS zbar, "
        f"{S.r6('(2 + count(*) FILTER (tail AND z >= zbar)) / (2 + count(*) FILTER (tail))')} "
-       f"AS p FROM pd JOIN ob USING (fa) GROUP BY fa")
+       f"AS p FROM pd JOIN ob USING (fa, partner) GROUP BY fa, partner")
 def family_mean_z(spark, sf):
-    out = cal.family_mean_z(family_curves(spark, sf), ["rank_a"], ["family_a"],
+    out = cal.family_mean_z(family_curves(spark, sf), ["size_rank"], ["family", "partner"],
                             B.window_count(spark, sf), TAIL)
-    return rounded(out.withColumnRenamed("family_a", "family"), ["family"], ["zbar", "p"])
+    return rounded(out, ["family", "partner"], ["zbar", "p"])
 
 
-@query("slope_null", f"{FAM}, sl AS (SELECT fa, d, tail, round(regr_slope(score, ra), 12) "
-       f"AS s FROM fm GROUP BY 1, 2, 3 HAVING count(*) >= 2), "
-       f"ob AS (SELECT fa, s AS o FROM sl WHERE d = 0) "
-       f"SELECT fa AS family, {S.r6('max(o)')} AS slope, "
+@query("slope_null", f"{FAM}, sl AS (SELECT fa, partner, d, tail, "
+       f"round(regr_slope(score, ra), 12) AS s FROM fm GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2), "
+       f"ob AS (SELECT fa, partner, s AS o FROM sl WHERE d = 0) "
+       f"SELECT fa AS family, partner, {S.r6('max(o)')} AS slope, "
        f"{S.r6('(1 + count(*) FILTER (tail AND s >= o)) / (1 + count(*) FILTER (tail))')} "
-       f"AS p_slope FROM sl JOIN ob USING (fa) GROUP BY fa")
+       f"AS p_slope FROM sl JOIN ob USING (fa, partner) GROUP BY fa, partner")
 def slope_null(spark, sf):
-    out = cal.slope_null(family_curves(spark, sf), ["family_a"], "rank_a",
+    out = cal.slope_null(family_curves(spark, sf), ["family", "partner"], "size_rank",
                          B.window_count(spark, sf), TAIL)
-    return rounded(out.withColumnRenamed("family_a", "family"), ["family"],
-                   ["slope", "p_slope"])
+    return rounded(out, ["family", "partner"], ["slope", "p_slope"])
 
 
 # -- flagship -----------------------------------------------------------------------
@@ -441,6 +453,15 @@ def cka_shifts_sample(spark, sf):
             .select(F.col("shift").cast("bigint").alias("shift"), r6("cka").alias("cka")))
 
 
+@query("cka_gram", cka_sql(CKA_SHIFTS, S.PLAIN)
+       + f"SELECT shift, {S.r6('cka')} AS cka FROM cka")
+def cka_gram(spark, sf):
+    """The same from window-by-window products, the form for spaces wider than they are long."""
+    return (gram_cka(cka_side(spark, sf, "a", B.PLAIN), cka_side(spark, sf, "b", B.PLAIN),
+                     ["la"], ["lb"], ["grid"], B.window_count(spark, sf), CKA_SHIFTS)
+            .select(F.col("shift").cast("bigint").alias("shift"), r6("cka").alias("cka")))
+
+
 @query("cka_per_subject", cka_sql([0], S.SUBJECTS)
        + f"SELECT subject, {S.r6('cka')} AS cka FROM cka")
 def cka_per_subject(spark, sf):

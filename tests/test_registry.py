@@ -1,3 +1,5 @@
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -20,3 +22,14 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_missing_optional_packages_leave_the_rest(monkeypatch):
+    """What the training-corpus part needs and does not find must not take the rest with it."""
+    for name in [m for m in sys.modules if m.startswith("isochord.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    for name in ("public_tokenizers", "tokenizers", "xxhash"):
+        monkeypatch.setitem(sys.modules, name, None)
+    found = entry.queries()
+    assert "knn_topk" in found and not any(q.startswith("op") or q == "pipeline" for q in found)
+    assert set(entry.oracle_sql()) <= set(found)
