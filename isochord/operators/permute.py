@@ -6,10 +6,14 @@ on any engine, any number of executors and after any lost task.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isochord.operators import stats
+from isochord.operators.knn import _matrix
 from isochord.operators.ordered import attach, by_ratio, quantiles
 from isochord.operators.overlap import shared_edges
 from isochord.operators.regrid import vector_sum
@@ -106,6 +110,12 @@ def drawn_samples(population: DataFrame, keys: list[str], sizes: DataFrame, n: i
     ``sizes`` has (keys, size, first): ``first`` numbers the places so that different sets
     get different draws. ``population`` is keyed by ``w`` in 0..n-1.
     """
+    return drawn_places(keys, sizes, n, n_draws, stream).join(population, "w")
+
+
+def drawn_places(keys: list[str], sizes: DataFrame, n: int, n_draws: int,
+                 stream: int = 0) -> DataFrame:
+    """(keys, draw, w): the windows that ``drawn_samples`` takes."""
     draws = F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))
     # a set of any size is laid out in parts, which are dealt out before their places are made
     parts = F.explode(F.sequence(F.lit(0).cast("bigint"),
@@ -116,7 +126,61 @@ def drawn_samples(population: DataFrame, keys: list[str], sizes: DataFrame, n: i
             .repartition("draw", "first", "part").select("*", places.alias("m")).drop("part")
             .withColumn("w", draw_index(F.col("draw").cast("bigint"),
                                         F.col("first") + F.col("m"), n, stream))
-            .select(*keys, "draw", "w").join(population, "w"))
+            .select(*keys, "draw", "w"))
+
+
+#: Windows and draws that meet in one task.
+MEET_WINDOWS, MEET_DRAWS = 4096, 32
+
+
+def drawn_moments(places: DataFrame, features: DataFrame, n_features: int, n_draws: int
+                  ) -> DataFrame:
+    """(draw, f, mean, var): moments of each feature over each draw's windows, NULLs left out.
+
+    ``places`` (draw, w); ``features`` (w, x: array of doubles). A block of windows meets a few
+    draws at a time: how often each draw takes each window, times the values and their squares,
+    are two matrix products, so rows of draws never carry values. Values are taken from the mean
+    of their feature, so that squares don't cancel.
+    """
+    block = F.floor(F.col("w") / MEET_WINDOWS).cast("bigint").alias("block")
+    chunk = F.floor(F.col("draw") / MEET_DRAWS).cast("int").alias("chunk")
+    means = features.select(F.posexplode("x").alias("f", "v")).groupBy("f").agg(
+        F.avg("v").alias("mean"))
+    # one row, as long as the list of features
+    centre = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "mean"))),
+                                   lambda m: F.coalesce(m["mean"], F.lit(0.0))).alias("c"))
+    moved = attach(features, centre, []).select(
+        "w", F.zip_with("x", "c", lambda v, c: v - c).alias("x"), block,
+        F.explode(F.sequence(F.lit(0), F.lit((n_draws - 1) // MEET_DRAWS))).alias("chunk"))
+    schema = T.StructType([T.StructField("draw", T.LongType())] + [
+        T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("n", "s", "q")])
+
+    def meet(key: tuple, taken: pa.Table, values: pa.Table) -> pa.Table:
+        first, low = key[1].as_py() * MEET_DRAWS, key[0].as_py() * MEET_WINDOWS
+        x = np.full((MEET_WINDOWS, n_features), np.nan)
+        x[values.column("w").to_numpy() - low] = _matrix(values.column("x"))
+        cell = ((taken.column("draw").to_numpy() - first) * MEET_WINDOWS
+                + taken.column("w").to_numpy() - low)
+        count = np.bincount(cell, minlength=MEET_DRAWS * MEET_WINDOWS).reshape(
+            MEET_DRAWS, MEET_WINDOWS).astype(float)
+        met = np.flatnonzero(count.any(axis=1))
+        there, full = ~np.isnan(x), np.nan_to_num(x)
+        sums = [count[met] @ m for m in (there.astype(float), full, full * full)]
+        return pa.table([pa.array(met + first),
+                         *(pa.array(list(m), pa.list_(pa.float64())) for m in sums)], schema.names)
+
+    met = (places.select(F.col("draw").cast("long").alias("draw"), "w", block, chunk)
+           .groupBy("block", "chunk").cogroup(moved.groupBy("block", "chunk"))
+           .applyInArrow(meet, schema))
+    total = (met.select("draw", F.posexplode(F.arrays_zip("n", "s", "q")).alias("f", "m"))
+             .groupBy("draw", "f").agg(F.sum("m.n").alias("n"), F.sum("m.s").alias("s"),
+                                       F.sum("m.q").alias("q")))
+    mean = F.try_divide("s", "n")
+    var = F.greatest(F.try_divide("q", "n") - mean * mean, F.lit(0.0))
+    # NULL where a draw met no value
+    return (total.join(F.broadcast(means), "f")
+            .select("draw", "f", (mean + F.col("mean")).alias("mean"),
+                    F.when(F.col("n") > 0, var).alias("var")))
 
 
 def two_sided(null: str, obs: str) -> Column:
@@ -150,10 +214,11 @@ def neighbour_enrichment(edges: DataFrame, features: DataFrame, names: list[str]
         F.round(F.avg("v"), TIE_DIGITS).alias("obs_mean"),
         F.round(F.var_pop("v"), TIE_DIGITS).alias("obs_var"))
     total = edges.agg(F.count(F.lit(1)).alias("size")).withColumn("first", F.lit(0).cast("bigint"))
-    null = (drawn_samples(population, [], total, n, n_draws)
-            .groupBy("feature", "draw")
-            .agg(F.round(F.avg("v"), TIE_DIGITS).alias("null_mean"),
-                 F.round(F.var_pop("v"), TIE_DIGITS).alias("null_var")))
+    wide = features.select("w", F.array(*[F.col(x).cast("double") for x in names]).alias("x"))
+    null = drawn_moments(drawn_places([], total, n, n_draws), wide, len(names), n_draws).select(
+        F.element_at(F.array(*[F.lit(x) for x in names]), F.col("f") + 1).alias("feature"), "draw",
+        F.round("mean", TIE_DIGITS).alias("null_mean"),
+        F.round("var", TIE_DIGITS).alias("null_var"))
     joined = null.join(near, "feature")
     p = joined.groupBy("feature").agg(two_sided("null_mean", "obs_mean").alias("p_mean"),
                                       two_sided("null_var", "obs_var").alias("p_var"))

@@ -246,14 +246,19 @@ FEATS = ("ft AS (SELECT w, unnest(['e1', 'e2', 'label']) AS feature, "
          "unnest([v[1], v[2], label::DOUBLE]) AS x FROM e)")
 
 
+FEATURES = [*(f"e{i}" for i in range(1, 65)), "label"]
+ALL_FEATS = (f"ft AS (SELECT w, unnest({FEATURES}) AS feature, "
+             "unnest(list_concat(v::DOUBLE[], [label::DOUBLE])) AS x FROM e)")
+
+
 def window_feature_table(spark, sf):
-    emb = B.embeddings(spark, sf)
-    return emb.select("w", F.col("embedding")[0].cast("double").alias("e1"),
-                      F.col("embedding")[1].cast("double").alias("e2"),
-                      F.col("label").cast("double").alias("label"))
+    """Every element of the vectors and the label, one column each."""
+    return B.embeddings(spark, sf).select(
+        "w", *[F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(64)],
+        F.col("label").cast("double").alias("label"))
 
 
-@query("neighbour_enrichment", f"WITH {S.spaces()}, {S.knn()}, {FEATS}, "
+@query("neighbour_enrichment", f"WITH {S.spaces()}, {S.knn()}, {ALL_FEATS}, "
        f"ed AS (SELECT i, j FROM nn WHERE side = 'b'), tot AS (SELECT count(*) AS c FROM ed), "
        f"pl AS (SELECT unnest(range({R_ENRICH})) AS draw, c FROM tot), "
        f"pp AS (SELECT draw, unnest(range(c)) AS m FROM pl), "
@@ -261,8 +266,10 @@ def window_feature_table(spark, sf):
        f"po AS (SELECT feature, avg(x) AS pm, stddev_pop(x) AS psd, var_pop(x) AS pv FROM ft "
        f"GROUP BY 1), ne AS (SELECT feature, count(*)::BIGINT AS c, round(avg(x), 9) AS om, "
        f"round(var_pop(x), 9) AS ov FROM ed JOIN ft ON ed.j = ft.w GROUP BY 1), "
-       f"nu AS (SELECT feature, draw, round(avg(x), 9) AS nm, round(var_pop(x), 9) AS nv FROM dr JOIN ft "
-       f"ON idx = ft.w GROUP BY 1, 2), pq AS (SELECT feature, "
+       f"dn AS (SELECT draw, idx, count(*) AS c FROM dr GROUP BY 1, 2), "
+       f"nu AS (SELECT ft.feature, draw, round(sum(c * (x - pm)) / sum(c) + any_value(pm), 9) AS nm, "
+       f"round(sum(c * (x - pm) * (x - pm)) / sum(c) - (sum(c * (x - pm)) / sum(c)) ** 2, 9) AS nv "
+       f"FROM dn JOIN ft ON idx = ft.w JOIN po ON po.feature = ft.feature GROUP BY 1, 2), pq AS (SELECT feature, "
        f"least(1.0, 2 * least(avg((nm >= om)::INT), avg((nm <= om)::INT))) AS p_mean, "
        f"least(1.0, 2 * least(avg((nv >= ov)::INT), avg((nv <= ov)::INT))) AS p_var "
        f"FROM nu JOIN ne USING (feature) GROUP BY 1), "
@@ -286,7 +293,7 @@ def window_feature_table(spark, sf):
 def neighbour_enrichment(spark, sf):
     out = permute.neighbour_enrichment(
         edges(spark, sf, "b").select("i", "j"), window_feature_table(spark, sf),
-        ["e1", "e2", "label"], B.window_count(spark, sf), R_ENRICH)
+        FEATURES, B.window_count(spark, sf), R_ENRICH)
     return rounded(out, ["feature", "n_neighbours"],
                    ["mean_shift_sigma", "var_ratio", "cohens_d", "auc", "ks", "p_mean", "p_var"])
 

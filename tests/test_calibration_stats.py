@@ -276,6 +276,28 @@ def test_neighbourhood_tests(spark):
     assert t["median_ratio"] == pytest.approx(want)
 
 
+def test_moments_of_draws_over_blocks_and_gaps(spark, monkeypatch):
+    monkeypatch.setattr(permute, "MEET_WINDOWS", 16)
+    monkeypatch.setattr(permute, "MEET_DRAWS", 3)
+    rng = np.random.default_rng(3)
+    x = rng.normal(5, 1, (50, 2))
+    draws = rng.integers(0, 50, (7, 30))
+    draws[:, 0] = 49
+    places = spark.createDataFrame([(d, int(w)) for d in range(7) for w in draws[d]],
+                                   "draw long, w long")
+    feats = spark.createDataFrame([(w, [None if w % 5 == 0 else float(x[w, 0]), float(x[w, 1]), None])
+                                   for w in range(50)], "w long, x array<double>")
+    got = {(r["draw"], r["f"]): r for r in
+           permute.drawn_moments(places, feats, 3, 7).collect()}
+    assert len(got) == 21
+    for d in range(7):
+        for f, keep in ((0, draws[d] % 5 != 0), (1, draws[d] >= 0)):
+            v = x[draws[d][keep], f]
+            assert got[d, f]["mean"] == pytest.approx(v.mean())
+            assert got[d, f]["var"] == pytest.approx(v.var())
+        assert got[d, 2]["mean"] is None and got[d, 2]["var"] is None
+
+
 def test_labels(spark):
     row = spark.createDataFrame([(0.0005, 0.005, 0.03, 0.5, 86, 1100)],
                                 "a double, b double, c double, d double, m int, g int")
