@@ -35,6 +35,8 @@ from isochord.session import scratch_path, written
 LINES_PER_BLOCK = 1000
 FILE_BYTES = 1 << 30
 SLICE_BYTES = 4 << 20
+#: Bytes of archives that one task reads back.
+FETCH_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = ("key string, id long, type string, digest string, payload_bytes long, "
            "file string, offset long, length long")
@@ -308,12 +310,17 @@ def _fetcher(folder: str, with_payload: bool):
     return fetch
 
 
-def fetch(captures: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
+def fetch(captures: DataFrame, folder: str, with_payload: bool = True,
+          part_bytes: int = FETCH_BYTES) -> DataFrame:
     """The records (RECORD) of captures, by range reads in the order of file and offset.
 
-    The payload of a response is checked against its digest; that of a revisit is NULL.
+    A task reads about ``part_bytes`` of archives: their number follows from the lengths of the
+    records, not from the much shorter lines that name them. The payload of a response is checked
+    against its digest; that of a revisit is NULL.
     """
-    ordered = (captures.select("file", "offset", "length").repartitionByRange("file", "offset")
+    lines = written(captures.select("file", "offset", "length"), "found")
+    parts = max(1, -(-(lines.agg(F.sum("length")).first()[0] or 0) // part_bytes))
+    ordered = (lines.repartitionByRange(parts, "file", "offset")
                .sortWithinPartitions("file", "offset"))
     return ordered.mapInArrow(_fetcher(folder, with_payload), RECORD)
 
