@@ -380,7 +380,8 @@ def _firsts(docs: DataFrame, groups: DataFrame, text_col: str, id_col: str) -> D
     rows = packed(docs)
     k1, k2 = digest128(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`"))
     marked = (rows.select("row", k1.alias("k1"), k2.alias("k2"))
-              .join(written(marks, "marks"), ["k1", "k2"], "left"))
+              # marks grow with the table: never broadcast, so that every size runs alike
+              .join(written(marks, "marks").hint("merge"), ["k1", "k2"], "left"))
     alone = marked.filter("stays IS NULL").select("row")
     copies = marked.filter("stays").groupBy("k1", "k2").agg(F.first("row").alias("row"))
     return alone.union(copies.select("row")).select("row.*")
