@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isochord.functions.vectors import modulo
+from isochord.operators.ordered import merged
 
 
 def shared_edges(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Edges (i, j) present on both sides; key columns of either side are kept."""
-    return a.drop("rank", "sim").join(b.drop("rank", "sim"), [*on, "i", "j"])
+    return merged(a.drop("rank", "sim"), b.drop("rank", "sim"), [*on, "i", "j"])
 
 
 def layer_pairs(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str],
@@ -83,8 +84,8 @@ def mknn_by_k(a: DataFrame, b: DataFrame, on: list[str], n_windows: int,
     kept, at most one per neighbour place.
     """
     worse = F.greatest(F.col("ra"), F.col("rb"))
-    met = (a.select(*on, "i", "j", F.col("rank").alias("ra"))
-           .join(b.select(*on, "i", "j", F.col("rank").alias("rb")), [*on, "i", "j"])
+    met = (merged(a.select(*on, "i", "j", F.col("rank").alias("ra")),
+                  b.select(*on, "i", "j", F.col("rank").alias("rb")), [*on, "i", "j"])
            .groupBy(*on, worse.alias("rank")).agg(F.count(F.lit(1)).alias("hits")))
     reached = F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank")))
     per_k = met.select(*on, reached.alias("k"), "hits").groupBy(*on, "k").agg(
