@@ -2,13 +2,14 @@
 
 With D features and W windows the cross-covariance form needs D x D sums, this one W x W: the
 better one where D > W. Windows are cut into blocks and a task holds one pair of blocks, of both
-spaces, so that neither a D x D nor a W x W array exists anywhere. It returns three sums of products
-and the row sums of its tile, all that centring needs:
+spaces, and multiplies them a strip at a time, so that neither a D x D nor a W x W array exists
+anywhere. It returns three sums of products and the row sums of its tile, all that centring needs:
 
     <K, L> centred = sum K L - 2/n sum_w k_w l_w + k l / n^2,   k_w, l_w row sums, k, l totals.
 
 Row sums meet by window and then by key, in ordinary aggregates. Blocks shrink as vectors get
-wider, so a task's memory is bounded by ``HELD`` numbers whatever D is.
+wider, so a task's memory is bounded by ``HELD`` numbers whatever D is, and larger as recordings get
+longer, so that rows are copied to a fixed number of tiles until ``HELD`` is met.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isochord.functions.vectors import modulo
-from isochord.operators.knn import _matrix
-from isochord.operators.ordered import attach
+from isochord.operators.knn import BLOCKS_WANTED, _matrix, partitions
+from isochord.operators.ordered import attach, merged
 
-#: Numbers of one side of one block.
-HELD = 1 << 21
+#: Numbers of one side of one block, and of one strip of products.
+HELD, STRIP = 1 << 21, 1 << 19
 
 
-def tile_sums(both: DataFrame, keys: list[str], block_windows: int | None = None) -> DataFrame:
+def tile_sums(both: DataFrame, keys: list[str], block_windows: int | None = None,
+              n_tasks: int | None = None) -> DataFrame:
     """(keys, w, k, l, kk, ll, kl): row sums and, on one row of each tile, sums of products.
 
     ``both`` has the keys, ``w``, ``vec_a`` and ``vec_b``; vectors of one key have one length each.
@@ -35,7 +37,8 @@ def tile_sums(both: DataFrame, keys: list[str], block_windows: int | None = None
     names, n = list(keys), F.count(F.lit(1))
     widest = F.max(F.greatest(F.size("vec_a"), F.size("vec_b"), F.lit(1)))
     rows = F.lit(block_windows) if block_windows else F.greatest(
-        F.lit(16), F.least(F.lit(2048), F.floor(F.lit(HELD) / widest)))
+        F.lit(16), F.least(F.greatest(F.lit(2048), F.ceil(n / BLOCKS_WANTED)),
+                           F.floor(F.lit(HELD) / widest)))
     blocks = both.groupBy(*names).agg(F.ceil(n / rows).cast("int").alias("blocks"))
     own = attach(both, blocks, names).withColumn(
         "block", F.pmod(F.xxhash64("w"), F.col("blocks")).cast("int"))
@@ -52,18 +55,26 @@ def tile_sums(both: DataFrame, keys: list[str], block_windows: int | None = None
         a, b = _matrix(tile.column("vec_a")), _matrix(tile.column("vec_b"))
         x, y = key[-2].as_py(), key[-1].as_py()
         i, j = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        k, l = a[i] @ a[j].T, b[i] @ b[j].T
-        at, ks, ls = [w[i]], [k.sum(1)], [l.sum(1)]
+        ai, aj, bi, bj = a[i], a[j], b[i], b[j]
+        at, ks, ls = [w[i]], [np.empty(len(i))], [np.empty(len(i))]
         if x != y:      # the tile on the other side of the diagonal is this one turned
-            at, ks, ls = at + [w[j]], ks + [k.sum(0)], ls + [l.sum(0)]
+            at, ks, ls = at + [w[j]], ks + [np.zeros(len(j))], ls + [np.zeros(len(j))]
         at = np.concatenate(at)
-        sums = np.zeros((3, len(at)))
-        if len(at):
-            sums[:, 0] = np.array([(k * k).sum(), (l * l).sum(), (k * l).sum()]) * (1 + (x != y))
+        sums, step = np.zeros((3, len(at))), max(1, STRIP // max(1, len(j)))
+        for start in range(0, len(i), step):
+            some = slice(start, start + step)
+            k, l = ai[some] @ aj.T, bi[some] @ bj.T
+            ks[0][some], ls[0][some] = k.sum(1), l.sum(1)
+            if x != y:
+                ks[1] += k.sum(0)
+                ls[1] += l.sum(0)
+            sums[:, 0] += np.array([np.vdot(k, k), np.vdot(l, l), np.vdot(k, l)]) * (1 + (x != y))
         return pa.table([*(pa.repeat(key[c], len(at)) for c in range(len(names))), pa.array(at),
                          pa.array(np.concatenate(ks)), pa.array(np.concatenate(ls)),
                          *(pa.array(s) for s in sums)], schema.names)
 
+    if n_tasks:
+        tiles = tiles.repartition(n_tasks, *names, "x", "y")
     return tiles.groupBy(*names, "x", "y").applyInArrow(products, schema)
 
 
@@ -77,10 +88,11 @@ def gram_cka(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str], o
     rotated = (b.select(*on, *b_keys, F.col("vec").alias("vec_b"), "w",
                         F.explode(F.array(*[F.lit(int(s)) for s in shifts])).alias("shift"))
                .withColumn("w", modulo(F.col("w") + F.col("shift"), n_windows)))
-    both = a.select(*on, *a_keys, "w", F.col("vec").alias("vec_a")).join(rotated, [*on, "w"])
+    both = merged(a.select(*on, *a_keys, "w", F.col("vec").alias("vec_a")), rotated, [*on, "w"])
     keys = [*on, *a_keys, *b_keys, "shift"]
     numbers = ["k", "l", "kk", "ll", "kl"]
-    by_window = tile_sums(both, keys, block_windows).groupBy(*keys, "w").agg(
+    n_tasks = partitions(both, block_windows, n_windows)
+    by_window = tile_sums(both, keys, block_windows, n_tasks).groupBy(*keys, "w").agg(
         *[F.sum(c).alias(c) for c in numbers])
     n = F.count(F.lit(1))
 
