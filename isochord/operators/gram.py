@@ -68,7 +68,7 @@ def tile_sums(both: DataFrame, keys: list[str], block_windows: int | None = None
             if x != y:
                 ks[1] += k.sum(0)
                 ls[1] += l.sum(0)
-            sums[:, 0] += np.array([np.vdot(k, k), np.vdot(l, l), np.vdot(k, l)]) * (1 + (x != y))
+            sums[:, 0] += np.array([(k * k).sum(), (l * l).sum(), (k * l).sum()]) * (1 + (x != y))
         return pa.table([*(pa.repeat(key[c], len(at)) for c in range(len(names))), pa.array(at),
                          pa.array(np.concatenate(ks)), pa.array(np.concatenate(ls)),
                          *(pa.array(s) for s in sums)], schema.names)
@@ -101,5 +101,6 @@ def gram_cka(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str], o
                 + F.sum(x) * F.sum(y) / (n * n))
     scale = F.sqrt(F.greatest(centred("kk", "k", "k"), F.lit(0.0))
                    * F.greatest(centred("ll", "l", "l"), F.lit(0.0)))
-    return by_window.groupBy(*keys).agg((centred("kl", "k", "l") / (scale + F.lit(1e-20)))
-                                        .alias("cka"))
+    return by_window.groupBy(*keys).agg(
+        F.when(scale == 0, 0.0).otherwise(centred("kl", "k", "l") / (scale + F.lit(1e-20)))
+        .alias("cka"))
