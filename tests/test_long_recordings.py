@@ -6,6 +6,7 @@ import pytest
 from helpers import brute_knn, edge_frame, emb_frame, literal_mknn, random_graph
 from isochord.operators import gram, knn, overlap, permute, shift_curve
 from isochord.operators import knn_pivots as kp
+from isochord.plans import alignment
 
 
 def planned(df):
@@ -108,3 +109,17 @@ def test_neighbours_of_every_cut_come_from_one_search(spark, smooth, monkeypatch
         assert {(r["i"], r["j"]) for r in found if r["low"] <= c <= r["high"]} == want
     twice = shift_curve.cut_edges(emb.union(emb), ["grid"], n, k, cuts).collect()
     assert max(sum(r["low"] <= c <= r["high"] for r in twice if r["i"] == 30) for c in cuts) == 2 * k
+
+
+def test_models_of_a_long_recording_are_searched_once(spark, tmp_path, monkeypatch):
+    """Before, the neighbours of all models were sought again for the other side of their pairs."""
+    x = np.random.default_rng(11).normal(size=(40, 64))
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)],
+                          "vec_id bigint, embedding array<float>, label int").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    short = alignment.model_curves(spark, str(tmp_path))
+    monkeypatch.setattr(shift_curve, "SEGMENT", 16)
+    long = alignment.model_curves(spark, str(tmp_path))
+    assert "FlatMapGroupsInArrow" in planned(short) and "FlatMapGroupsInArrow" not in planned(long)
+    cols = ["model_a", "model_b", "d", "score"]
+    assert sorted(short.select(*cols).collect()) == sorted(long.select(*cols).collect())
