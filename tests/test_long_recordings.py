@@ -123,3 +123,14 @@ def test_models_of_a_long_recording_are_searched_once(spark, tmp_path, monkeypat
     assert "FlatMapGroupsInArrow" in planned(short) and "FlatMapGroupsInArrow" not in planned(long)
     cols = ["model_a", "model_b", "d", "score"]
     assert sorted(short.select(*cols).collect()) == sorted(long.select(*cols).collect())
+
+
+def test_draws_are_made_once(spark):
+    """Before, every reading of the ratios drew and gathered the windows of all draws again."""
+    x = np.random.default_rng(12).normal(size=(30, 4))
+    emb = emb_frame(spark, x, grid="g")
+    e = knn.knn_edges(emb, ["grid"], 3).select("i", "j")
+    features = emb.selectExpr("w", "vec[0] AS x")
+    assert "collect_list" in planned(permute.trace_cov(emb.withColumn("i", emb.w % 5), ["i"]))
+    assert "collect_list" not in planned(permute.trace_cov_ratio(e, emb, 30, 4))
+    assert "var_samp" not in planned(permute.varratio(e, features, ["x"], 30, 4))
