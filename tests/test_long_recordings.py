@@ -134,3 +134,35 @@ def test_draws_are_made_once(spark):
     assert "collect_list" in planned(permute.trace_cov(emb.withColumn("i", emb.w % 5), ["i"]))
     assert "collect_list" not in planned(permute.trace_cov_ratio(e, emb, 30, 4))
     assert "var_samp" not in planned(permute.varratio(e, features, ["x"], 30, 4))
+
+
+def test_permuted_edges_travel_packed_and_equal_a_recount(spark, monkeypatch):
+    """Many ranges of windows, sets of draws, repeated edges and two layers on either side."""
+    monkeypatch.setattr(permute, "CUT_BITS", 3)
+    monkeypatch.setattr(permute, "CUT", 8)
+    monkeypatch.setattr(permute, "RANGES", 3)
+    rng = np.random.default_rng(12)
+    w, k, draws = 50, 3, 10
+    sides = {(x, n): random_graph(rng, w, k) for x in "ab" for n in (0, 1)}
+    e = {x: edge_frame(spark, sides[x, 0], grid="g", **{f"l{x}": 0}).union(
+        edge_frame(spark, sides[x, 1], grid="g", **{f"l{x}": 1})) for x in "ab"}
+    twice = e["b"].union(e["b"].filter("i < 7"))
+    perms = permute.permutation_table(spark, w, draws)
+    pairs = spark.createDataFrame([("g", 0, 0), ("g", 0, 1), ("g", 1, 1)],
+                                  "grid string, la int, lb int")
+    rows = permute.permuted_scores(e["a"], twice, ["la"], ["lb"], ["grid"], perms, draws, w, k,
+                                   pairs).collect()
+    got = {(r["la"], r["lb"], r["draw"]): r["score"] for r in rows}
+    new = {d: g.set_index("old")["new"] for d, g in perms.toPandas().groupby("draw")}
+    new[-1] = np.arange(w)
+    expected = {}
+    for la, lb in ((0, 0), (0, 1), (1, 1)):
+        edges = {(i, int(j)) for i in range(w) for j in sides["a", la][i]}
+        for d, to in new.items():
+            hits = sum((2 if i < 7 else 1) * ((to[i], to[int(j)]) in edges)
+                       for i in range(w) for j in sides["b", lb][i])
+            expected[la, lb, d] = pytest.approx(hits / (w * k))
+    assert got == expected and sum(got.values()) > 0
+    moved = permute.moved_edges(e["b"], ["grid", "lb"], perms, draws, w)
+    per_row = moved.select("code").toPandas()["code"].map(len)
+    assert per_row.sum() == 2 * w * k * draws and per_row.mean() > 4
