@@ -108,12 +108,12 @@ MODEL_QUERIES = {
 @pytest.mark.parametrize("name", MODEL_QUERIES)
 def test_model_queries_of_a_long_recording(spark, tmp_path, monkeypatch, name):
     """Before, recordings of more than one segment failed with an ambiguous column."""
-    x = np.random.default_rng(13).normal(size=(70, 64))
+    x = np.random.default_rng(13).normal(size=(260, 64))
     spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)],
                           "vec_id bigint, embedding array<float>, label int").write.parquet(
         str(tmp_path / "embeddings.parquet"))
     query = getattr(*MODEL_QUERIES[name])
     short = sorted(query(spark, str(tmp_path)).collect())
-    monkeypatch.setattr(alignment.shift_curve, "SEGMENT", 16)
-    monkeypatch.setattr(alignment.shift_curve.shift_counts, "__defaults__", (None, 16, 2))
+    monkeypatch.setattr(alignment.shift_curve, "SEGMENT", 64)
+    monkeypatch.setattr(alignment.shift_curve.shift_counts, "__defaults__", (None, 64, 2))
     assert sorted(query(spark, str(tmp_path)).collect()) == short and short
