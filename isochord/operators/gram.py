@@ -14,8 +14,9 @@ made once, and each rotation reads its own part of L. Windows that are missing a
 there; where most are, or a vector is not finite, each rotation has products of its own.
 
 Stripes travel to tiles as bytes, and so do row sums to where those of their stripe meet; then
-they are added by key, in an ordinary aggregate. Blocks shrink as vectors get wider, so a task's memory is bounded by ``HELD`` numbers whatever D is, and larger as recordings get
-longer, so that rows are copied to a fixed number of tiles until ``HELD`` is met.
+they are added by key, in an ordinary aggregate. Blocks shrink as vectors get wider, so a task's
+memory is bounded by ``HELD`` numbers whatever D is, and larger as recordings get longer, so that
+rows are copied to a fixed number of tiles until ``HELD`` is met.
 """
 
 from __future__ import annotations
@@ -340,8 +341,8 @@ def gram_cka(a: DataFrame, b: DataFrame, a_keys: list[str], b_keys: list[str], o
              n_windows: int, shifts: list[int], block_windows: int | None = None) -> DataFrame:
     """(on, a_keys, b_keys, shift, cka), as ``cka_at_shifts`` has it, for wide spaces.
 
-    Windows that only one side has are left out, on both sides. A space that does not vary has a
-    CKA of 0; an empty side gives no rows.
+    Windows that only one side has, or whose vector is NULL, are left out, on both sides. A space that
+    does not vary has a CKA of 0; an empty side gives no rows.
     """
     windows, spaces = max(1, n_windows), [*on, *a_keys, *b_keys]
 

@@ -66,9 +66,10 @@ def test_rotations_that_share_products(spark, kind, block):
     if kind == "far apart":
         wa, wb = wa[wa % 5 == 0], wb[wb % 5 != 1]
     x, y = x[wa % n] + 0.1 * rng.normal(size=(len(wa), 5)), y[wb] + 0.1 * rng.normal(size=(len(wb), 4))
-    a, b = (spark.createDataFrame([("g", 0, int(w), v.tolist()) for w, v in zip(at, m)],
+    empty = [("g", 0, 99, None), ("g", 0, None, [1.0] * 5)] if kind == "missing" else []
+    a, b = (spark.createDataFrame([("g", 0, int(w), v.tolist()) for w, v in zip(at, m)] + more,
                                   f"grid string, {name} int, w bigint, vec array<double>")
-            for at, m, name in ((wa, x, "la"), (wb, y, "lb")))
+            for at, m, name, more in ((wa, x, "la", empty), (wb, y, "lb", [])))
     got = gram_cka(a, b, ["la"], ["lb"], ["grid"], n, shifts, block).collect()
     want = {s: joined_cka((wa, x), (wb, y), n, s) for s in shifts}
     assert {r["shift"]: r["cka"] for r in got} == {
